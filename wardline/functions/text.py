@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"^[\s ]+|[\s ]+$"
+_SPACE = r"[\s\x0B\p{Z}\x{85}]"
+_EDGE_SPACE = rf"^{_SPACE}+|{_SPACE}+\z"
 
 
 def strip_white(text: Column) -> Column:
