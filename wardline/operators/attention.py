@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.vectors import dot
@@ -33,15 +33,6 @@ def score_bands(df: DataFrame, score: str) -> DataFrame:
     return df.withColumns({"_band": band, "_mass": F.exp(F.col(score) - band * _BAND)})
 
 
-def _top_and_total(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Largest band and total mass relative to it, from one (mass) row per key and band."""
-    top = bands.groupBy(*keys).agg(F.max("_band").alias("_top"), F.collect_list(F.struct("_band", "_mass")).alias("_bands"))
-    total = F.aggregate(
-        F.array_sort("_bands"), F.lit(0.0), lambda t, b: t + b["_mass"] * F.exp((b["_band"] - F.col("_top")) * _BAND)
-    )
-    return top.select(*keys, "_top", total.alias("_total"))
-
-
 def softmax_pool_weights(df: DataFrame, keys: Sequence[str], score: str, name: str = "weight") -> DataFrame:
     """Softmax of the scores of each group.
 
@@ -50,8 +41,15 @@ def softmax_pool_weights(df: DataFrame, keys: Sequence[str], score: str, name: s
     """
     keys = list(keys)
     masses = score_bands(df, score).groupBy(*keys, "_band").agg(F.sum("_mass").alias("_mass"))
+    totals = _relative_mass(masses, keys).groupBy(*keys).agg(F.max("_top").alias("_top"), F.sum("_weight").alias("_total"))
     weight = F.exp(F.col(score) - F.col("_top") * _BAND) / F.col("_total")
-    return df.join(_top_and_total(masses, keys), keys).withColumn(name, weight).drop("_top", "_total")
+    return df.join(totals, keys).withColumn(name, weight).drop("_top", "_total")
+
+
+def _relative_mass(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mass of each band relative to the largest band of its key; a key has score range / width bands."""
+    top = F.max("_band").over(Window.partitionBy(*keys))
+    return bands.withColumn("_top", top).withColumn("_weight", F.col("_mass") * F.exp((F.col("_band") - F.col("_top")) * _BAND))
 
 
 def attention_score(step: Column, query: Column, width: int) -> Column:
@@ -65,12 +63,10 @@ def softmax_attention_pool(df: DataFrame, entity: str, step: str, query: Column,
     shuffled and no sequence has to fit a task.
     """
     scored = score_bands(df.select(entity, step, attention_score(F.col(step), query, width).alias("_score")), "_score")
-    by_band = mean_vector(scored, [entity, "_band"], step, "_mean", weight="_mass").join(
-        scored.groupBy(entity, "_band").agg(F.sum("_mass").alias("_mass")), [entity, "_band"]
-    )
-    tops = by_band.groupBy(entity).agg(F.max("_band").alias("_top"))
-    merged = by_band.join(tops, entity).withColumn("_weight", F.col("_mass") * F.exp((F.col("_band") - F.col("_top")) * _BAND))
-    return mean_vector(merged.where(F.col("_weight") > 0), [entity], "_mean", name, weight="_weight")
+    mass = F.sum("_mass").alias("_mass")
+    by_band = mean_vector(scored, [entity, "_band"], step, "_mean", weight="_mass", extra=[mass])
+    merged = _relative_mass(by_band, [entity]).where(F.col("_weight") > 0)
+    return mean_vector(merged, [entity], "_mean", name, weight="_weight")
 
 
 def layer_attention_mean(attention: DataFrame) -> DataFrame:

@@ -98,11 +98,13 @@ def pad_batches(df: DataFrame, batch: str, sequence: str, filler: Column, length
     })
 
 
-def mean_vector(df: DataFrame, keys: Sequence[str], vector: str, name: str = "mean", weight: str | None = None) -> DataFrame:
+def mean_vector(
+    df: DataFrame, keys: Sequence[str], vector: str, name: str = "mean", weight: str | None = None, extra: Sequence[Column] = ()
+) -> DataFrame:
     """Element-wise (weighted) mean of equally long arrays, merged before the shuffle."""
     packed = df.withColumn("_vector", array_to_vector(F.col(vector).cast("array<double>")))
     mean = Summarizer.mean(F.col("_vector")) if weight is None else Summarizer.mean(F.col("_vector"), F.col(weight))
-    return packed.groupBy(*keys).agg(vector_to_array(mean).alias(name))
+    return packed.groupBy(*keys).agg(vector_to_array(mean).alias(name), *extra)
 
 
 def sequence_mean_pool(df: DataFrame, entity: str, vector: str) -> DataFrame:
