@@ -11,7 +11,12 @@ WAVE_BASE = 10000.0
 
 def one_hot(value: Column, categories: Column) -> Column:
     """One slot per category, in order; a value outside the categories gives zeros only."""
-    return F.transform(categories, lambda c: F.coalesce((c == value).cast("double"), F.lit(0.0)))
+    zero = F.lit(0.0)
+    place, width = F.array_position(categories, value), F.size(categories)
+    marked = F.concat(
+        F.array_repeat(zero, (place - 1).cast("int")), F.array(F.lit(1.0)), F.array_repeat(zero, (width - place).cast("int"))
+    )
+    return F.when(place > 0, marked).otherwise(F.array_repeat(zero, width))
 
 
 def standardize(value: Column, mean: Column, deviation: Column) -> Column:
@@ -21,11 +26,8 @@ def standardize(value: Column, mean: Column, deviation: Column) -> Column:
 
 def time_waves(scaled: Column, width: int = 16) -> Column:
     """Sine at even and cosine at odd slots; slot ``i`` divides by ``base ** (i / width)``."""
-    def slot(i: Column) -> Column:
-        angle = scaled / F.pow(F.lit(WAVE_BASE), i / F.lit(float(width)))
-        return F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), slot)
+    angles = [scaled / F.lit(WAVE_BASE ** (i / width)) for i in range(width)]
+    return F.array(*[F.cos(angle) if i % 2 else F.sin(angle) for i, angle in enumerate(angles)])
 
 
 def position_waves(position: Column, width: int = 256) -> Column:
