@@ -363,8 +363,7 @@ def fn_null_and_compare(t: Tables) -> DataFrame:
 def fn_struct_array(t: Tables) -> DataFrame:
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_quantity"]
     arrays = ordered.gather(
-        t.lineitem.select("l_orderkey", *order), ["l_orderkey"], [F.col(c) for c in order], [F.col("l_shipdate"), F.col("l_linenumber")],
-        100_000, "items", [F.col(c) for c in order],
+        t.lineitem.select("l_orderkey", *order), ["l_orderkey"], [F.col(c) for c in order], [F.col(c) for c in order], 100_000, "items"
     )
     rows = arrays.select("l_orderkey", "part", F.posexplode("items").alias("p", "item"))
     return rows.select(

@@ -54,9 +54,7 @@ def head_k_per_entity(t: Tables) -> DataFrame:
 
 @query("sequence_per_entity", f"SELECT user_id, pos, event_type, props, minutes FROM ({_POSITIONS_SQL})")
 def sequence_per_entity(t: Tables) -> DataFrame:
-    arrays = sequences.sequence_per_entity(
-        steps(t), "user_id", [F.col("event_type"), F.col("props"), F.col("minutes")], order(), sort_values()
-    )
+    arrays = sequences.sequence_per_entity(steps(t), "user_id", ["event_type", "props", "minutes"], "minutes", TIES)
     rows = arrays.select("user_id", "part", F.posexplode("steps").alias("at", "s"))
     pos = F.col("part").cast("long") * sequences.STEP_PART_ROWS + F.col("at")
     return rows.select("user_id", pos.alias("pos"), "s.event_type", "s.props", "s.minutes")
@@ -197,7 +195,7 @@ def timestep_vector(t: Tables) -> DataFrame:
 def _truncated(t: Tables, length: int) -> DataFrame:
     """Event numbers of each user in order, at most ``length`` of them."""
     kept = sequences.head_k_per_entity(steps(t).select("user_id", "event_id", "minutes"), "user_id", order(), length)
-    arrays = sequences.sequence_per_entity(kept, "user_id", [F.col("event_id")], order(), sort_values())
+    arrays = sequences.sequence_per_entity(kept, "user_id", ["event_id"], "minutes", TIES)
     return arrays.select("user_id", F.transform("steps", lambda s: s["event_id"].cast("double")).alias("seq"))
 
 

@@ -121,5 +121,5 @@ LAB_EVENT: list[Field] = [
 ]
 
 
-def field_text(fields: list[Field], separator: str, resolve: Resolver) -> Column:
-    return labelled_text([(label, text(resolve), nullable) for label, text, nullable in fields], separator)
+def field_text(fields: list[Field], separator: str, resolve: Resolver, strip: bool = False) -> Column:
+    return labelled_text([(label, text(resolve), nullable) for label, text, nullable in fields], separator, strip)

@@ -7,38 +7,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x0B\p{Z}\x{85}]"
-_EDGE_SPACE = rf"^{_SPACE}+|{_SPACE}+\z"
+# The characters Unicode calls white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_white(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def num_to_text(x: Column) -> Column:
     """A number as the warehouse prints it: ``1``, ``0.5``, ``1e+20``; no trailing ``.0``."""
     d = x.cast("double")
-    shown = d.cast("string")
-    magnitude = F.abs(d)
-    plain = F.regexp_replace(shown, r"\.0$", "")
+    shown, size = d.cast("string"), F.abs(d)
     # Java switches to 1.0E7 below 1e-3 and from 1e7 on; the warehouse below 1e-4 and from 1e15 on
-    positional = F.regexp_replace(shown.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
-    whole = d.cast("decimal(38,0)").cast("string")
-    digits = F.regexp_replace(F.regexp_extract(shown, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    power = F.regexp_extract(shown, r"E(-?[0-9]+)$", 1).cast("int")
-    scientific = F.concat(
-        digits,
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
+    positional = F.regexp_replace(shown.cast("decimal(38,20)").cast("string"), r"0+$", "")
+    exponent = F.replace(F.regexp_replace(F.lower(shown), r"(\.0)?e", "e+"), F.lit("+-"), F.lit("-"))
+    scientific = F.replace(F.regexp_replace(exponent, r"([+-])(\d)$", "$10$2"), F.lit("infinity"), F.lit("inf"))
     return (
-        F.when(F.isnan(d), F.lit("nan"))
-        .when(shown.isin("Infinity", "-Infinity"), F.regexp_replace(F.lower(shown), "inity", ""))
-        .when(((magnitude >= 1e-3) & (magnitude < 1e7)) | (d == 0), plain)
-        .when((magnitude >= 1e7) & (magnitude < 1e15), F.when(F.floor(d) == d, whole).otherwise(positional))
-        .when((magnitude >= 1e-4) & (magnitude < 1e-3), positional)
+        F.when((size < 1e15) & (F.floor(d) == d), F.floor(d).cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), shown)
+        .when((size >= 1e-4) & (size < 1e15), positional)
         .otherwise(scientific)
     )
 
@@ -59,15 +50,18 @@ def text_key(text: Column) -> Column:
     return F.md5(text_or_empty(text))
 
 
-def labelled_text(fields: Sequence[tuple[str, Column, bool]], separator: str) -> Column:
+def labelled_text(fields: Sequence[tuple[str, Column, bool]], separator: str, strip: bool = False) -> Column:
     """``label value`` pairs in a row.
 
     Each field is (label, text, nullable): a nullable field makes the whole text NULL when it has no
-    value, any other field is shown empty.
+    value, any other field is shown empty. ``strip`` removes white space at both ends of the text; as
+    labels neither begin nor end with it, only the last value has any to lose.
     """
     pieces: list[Column] = []
     for index, (label, value, nullable) in enumerate(fields):
         pieces.append(F.lit(label if index == 0 else separator + label))
+        if strip and index == len(fields) - 1:
+            value = F.rtrim(value, F.lit(WHITE_SPACE))
         pieces.append(value if nullable else F.coalesce(value, F.lit("")))
     return F.concat(*pieces)
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fields
 from wardline.functions.scalars import minutes_between
-from wardline.functions.text import from_columns, strip_white
-from wardline.operators.ordered import gather
+from wardline.functions.text import from_columns
+from wardline.operators.ordered import crowded, gather
 
 EVENT_FIELDS = ["event_time", "event_type", "event_text", "relative_time_to_final_event"]
 EVENT_PART_ROWS = 100_000
@@ -53,12 +53,12 @@ SOURCES = {
 
 
 def canonical_events(rows: DataFrame, time: Column, event_type: str, text: Column, stay: str = "stay_id") -> DataFrame:
-    """Shape rows that carry ``final_time`` into canonical events."""
+    """Shape rows that carry ``final_time`` into canonical events; ``text`` has no white space at its ends."""
     return rows.select(
         F.col(stay).alias("icu_stay_id"),
         time.alias("event_time"),
         F.lit(event_type).alias("event_type"),
-        strip_white(text).alias("event_text"),
+        text.alias("event_text"),
         minutes_between(time, F.col("final_time")).alias("relative_time_to_final_event"),
     )
 
@@ -73,7 +73,7 @@ def event_branch(source: EventSource, rows: DataFrame, stay_ref: DataFrame) -> D
     reference = stay_ref.select("stay_id", *[k for k in source.keys if k != "stay_id"], "final_time")
     spare = [c for c in ("stay_id", "hadm_id", "subject_id") if c in timed.columns and c not in source.keys]
     joined = timed.drop(*spare).join(reference, list(source.keys), "inner")
-    text = fields.field_text(source.fields, source.separator, from_columns)
+    text = fields.field_text(source.fields, source.separator, from_columns, strip=True)
     return canonical_events(joined, source.time(), source.event_type, text)
 
 
@@ -83,21 +83,25 @@ def event_union(tables: dict[str, DataFrame], stay_ref: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
+def may_exceed(tables: dict[str, DataFrame], part_rows: int) -> bool:
+    """Whether a stay may have more than ``part_rows`` events, judged by the keys of the sources alone."""
+    share = part_rows // len(SOURCES)
+    return bool(crowded(share, {s.table: (tables[s.table], s.keys) for s in SOURCES.values()}))
+
+
 def event_order() -> list[Column]:
     """Time order with a tie-break over the remaining fields, so equal order means equal rows."""
     return [F.col(c).asc_nulls_first() for c in EVENT_FIELDS]
 
 
-def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS) -> DataFrame:
+def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS, may_split: bool = True) -> DataFrame:
     """Ordered event arrays per stay: ``(icu_stay_id, part, events)``.
 
     A stay with up to ``part_rows`` events has the single part 0. A larger stay continues in parts 1,
     2, …, as one cell cannot hold any number of events; the parts in order are the whole array.
     """
-    return gather(
-        events, ["icu_stay_id"], event_order(), [F.col(c) for c in EVENT_FIELDS], part_rows, "events",
-        [F.col(c) for c in EVENT_FIELDS],
-    )
+    layout = [F.col(c) for c in EVENT_FIELDS]
+    return gather(events, ["icu_stay_id"], event_order(), layout, part_rows, "events", may_split=may_split)
 
 
 def attach_events(base: DataFrame, arrays: DataFrame, empty_array: bool = False) -> DataFrame:

@@ -15,8 +15,9 @@ Both ways give the same answer; no row is dropped or capped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,21 @@ def _split_hot(df: DataFrame, keys: Sequence[str], limit: int | None) -> _Split:
     return _Split(df.join(sizes, on, "left_anti"), df.join(sizes, on, "left_semi"), int(rows))
 
 
+def crowded(limit: int, sources: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> set[str]:
+    """Names of the tables in which some key has more than ``limit`` rows.
+
+    One job counts the keys of all tables, from the key columns alone. A group that is made of the rows
+    of one key cannot be larger than the key, so tables that are not named need no further count.
+    """
+    tests = [
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+        .agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("keys"))
+        for name, (df, keys) in sources.items()
+    ]
+    counts = reduce(DataFrame.unionByName, tests).collect()  # one row per table
+    return {row["name"] for row in counts if row["keys"]}
+
+
 def _slices(split: _Split, keys: Sequence[str], order: Sequence[Column], slice_rows: int) -> DataFrame:
     """Hot rows with ``_slice``: consecutive ranges of (group, order), each of bounded size."""
     # the first checkpoint fixes the row numbers, which let equal rows go to different slices
@@ -112,13 +128,15 @@ def with_parts(
     part_rows: int,
     slice_rows: int = SLICE_ROWS,
     name: str = "part",
+    may_split: bool = True,
 ) -> DataFrame:
     """Number the consecutive parts of each group, ``part_rows`` rows to a part.
 
-    A group that fits one part needs no order here: its rows all get part 0.
+    A group that fits one part needs no order here: its rows all get part 0. ``may_split=False`` states
+    that all groups do, which saves the count.
     """
     keys = list(keys)
-    split = _split_hot(df, keys, part_rows)
+    split = _split_hot(df, keys, part_rows if may_split else None)
     light = split.light.withColumn(name, F.lit(0))
     if split.hot is None:
         return light
@@ -166,19 +184,21 @@ def gather(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    fields: Sequence[Column],
+    layout: Sequence[Column],
     part_rows: int,
     name: str,
-    sort_values: Sequence[Column],
+    pick: Callable[[Column], Column] | None = None,
     slice_rows: int = SLICE_ROWS,
+    may_split: bool = True,
 ) -> DataFrame:
-    """One ordered array of structs per (group, part).
+    """One ordered array per (group, part).
 
-    ``sort_values`` are ascending stand-ins for ``order`` (natural struct order, NULL first); the
-    array is sorted by them and holds ``fields`` only.
+    ``layout`` are the fields of an item. Their natural ascending order, NULL first, must agree with
+    ``order``, so ascending stand-ins come first and carried values last. ``pick`` turns a sorted item
+    into the one to keep.
     """
-    parted = with_parts(df, keys, order, part_rows, slice_rows)
-    item = F.struct(F.struct(*[v.alias(f"k{i}") for i, v in enumerate(sort_values)]).alias("k"),
-                    F.struct(*fields).alias("v"))
-    arrays = parted.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return arrays.select(*keys, "part", F.transform("_items", lambda x: x["v"]).alias(name))
+    parted = with_parts(df, keys, order, part_rows, slice_rows, may_split=may_split)
+    # lists do not shrink before a shuffle, so the plain rows are shuffled and gathered once
+    placed = parted.select(*keys, "part", F.struct(*layout).alias("_item")).repartition(*keys, "part")
+    arrays = placed.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_item")).alias(name))
+    return arrays if pick is None else arrays.withColumn(name, F.transform(name, pick))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardline.functions import fields
 from wardline.functions.text import from_columns, from_nothing
 from wardline.operators.cohort import dictionary_join
-from wardline.operators.ordered import with_parts
+from wardline.operators.ordered import crowded, gather
 from wardline.sources.schemas import column_types
 
 TEXT_PART_ROWS = 50_000
@@ -55,26 +55,32 @@ ROLLUPS = {
 }
 
 
-def ordered_text(items: DataFrame, column: str, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
+def ordered_text(items: DataFrame, column: str, part_rows: int = TEXT_PART_ROWS, may_split: bool = True) -> DataFrame:
     """Join the ``item`` texts of a stay in ``at`` order: ``(stay_id, part, column)``.
 
     ``items`` has ``stay_id, at, item``; NULL items do not count, as in any text aggregate.
     """
     order = [F.col("at").asc_nulls_first(), F.col("item").asc()]
-    parted = with_parts(items.where(F.col("item").isNotNull()), ["stay_id"], order, part_rows)
-    text = F.expr(f"listagg(item, '{ITEM_SEPARATOR}') within group (order by at asc nulls first, item asc)")
-    return parted.groupBy("stay_id", "part").agg(text.alias(column))
+    present = items.where(F.col("item").isNotNull())
+    gathered = gather(present, ["stay_id"], order, [F.col("at"), F.col("item")], part_rows, "_items", lambda x: x["item"], may_split=may_split)
+    return gathered.select("stay_id", "part", F.array_join("_items", ITEM_SEPARATOR).alias(column))
 
 
 def _stay_columns(stays: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return stays.select("stay_id", *[k for k in keys if k != "stay_id"], "intime", "outtime")
 
 
-def field_rollup(rollup: Rollup, rows: DataFrame, stays: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
+def field_rollup(
+    rollup: Rollup, rows: DataFrame, stays: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
+) -> DataFrame:
+    """Items of one source per stay. ``may_split`` tells whether a key of the source may exceed a part."""
+    if may_split is None:
+        may_split = bool(crowded(part_rows, {rollup.table: (rows, rollup.keys)}))
     spare = [c for c in ("stay_id", "hadm_id", "subject_id") if c in rows.columns and c not in rollup.keys]
     joined = rows.drop(*spare).join(_stay_columns(stays, rollup.keys), list(rollup.keys), "inner")
     item = fields.field_text(rollup.fields, "|", from_columns)
-    return ordered_text(joined.select("stay_id", F.col(rollup.order).alias("at"), item.alias("item")), rollup.column, part_rows)
+    items = joined.select("stay_id", F.col(rollup.order).alias("at"), item.alias("item"))
+    return ordered_text(items, rollup.column, part_rows, may_split)
 
 
 def empty_text(rollup: Rollup) -> Column | None:
@@ -85,22 +91,30 @@ def empty_text(rollup: Rollup) -> Column | None:
     return fields.field_text(rollup.fields, "|", from_nothing(types))
 
 
-def rollup_procedures(stays: DataFrame, procedures: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
+def rollup_procedures(
+    stays: DataFrame, procedures: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
+) -> DataFrame:
     """``title (date)`` by date; a procedure without a date has no text."""
+    if may_split is None:
+        may_split = bool(crowded(part_rows, {"procedures": (procedures, ("subject_id", "hadm_id"))}))
     joined = procedures.join(stays.select("stay_id", "subject_id", "hadm_id"), ["subject_id", "hadm_id"], "inner")
     titled = dictionary_join(joined, titles, ["icd_code", "icd_version"], "long_title")
     item = F.concat(
         F.coalesce("long_title", F.lit(UNKNOWN_PROCEDURE)), F.lit(" ("), F.col("chartdate").cast("string"), F.lit(")")
     )
-    return ordered_text(titled.select("stay_id", F.col("chartdate").alias("at"), item.alias("item")), "procedure_list", part_rows)
+    return ordered_text(titled.select("stay_id", F.col("chartdate").alias("at"), item.alias("item")), "procedure_list", part_rows, may_split)
 
 
-def rollup_diagnoses(stays: DataFrame, diagnoses: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS) -> DataFrame:
+def rollup_diagnoses(
+    stays: DataFrame, diagnoses: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
+) -> DataFrame:
     """Distinct titles in order; repeated titles are merged before they are gathered."""
+    if may_split is None:
+        may_split = bool(crowded(part_rows, {"diagnoses": (diagnoses, ("hadm_id",))}))
     joined = diagnoses.join(stays.select("stay_id", "hadm_id"), "hadm_id", "inner")
     titled = dictionary_join(joined, titles, ["icd_code", "icd_version"], "long_title")
     items = titled.select("stay_id", F.col("long_title").alias("at"), F.col("long_title").alias("item"))
-    return ordered_text(items.where(F.col("item").isNotNull()).distinct(), "diagnosis", part_rows)
+    return ordered_text(items.where(F.col("item").isNotNull()).distinct(), "diagnosis", part_rows, may_split)
 
 
 def with_all_stays(stays: DataFrame, rolled: DataFrame, column: str, default: Column | None, skeleton: bool = True) -> DataFrame:
@@ -113,13 +127,17 @@ def with_all_stays(stays: DataFrame, rolled: DataFrame, column: str, default: Co
 def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -> dict[str, tuple[DataFrame, Column | None]]:
     """Every rollup, by result column in export order, with the default for stays without items."""
     stays = tables["icustays"]
+    sources = {r.table: (tables[r.table], r.keys) for r in ROLLUPS.values()}
+    sources["diagnoses_icd"] = (tables["diagnoses_icd"], ("hadm_id",))
+    sources["procedures_icd"] = (tables["procedures_icd"], ("subject_id", "hadm_id"))
+    large = crowded(part_rows, sources)
 
     def of(name: str) -> tuple[DataFrame, Column | None]:
         rollup = ROLLUPS[name]
-        return field_rollup(rollup, tables[rollup.table], stays, part_rows), empty_text(rollup)
+        return field_rollup(rollup, tables[rollup.table], stays, part_rows, rollup.table in large), empty_text(rollup)
 
-    diagnoses = rollup_diagnoses(stays, tables["diagnoses_icd"], tables["d_icd_diagnoses"], part_rows)
-    procedures = rollup_procedures(stays, tables["procedures_icd"], tables["d_icd_procedures"], part_rows)
+    diagnoses = rollup_diagnoses(stays, tables["diagnoses_icd"], tables["d_icd_diagnoses"], part_rows, "diagnoses_icd" in large)
+    procedures = rollup_procedures(stays, tables["procedures_icd"], tables["d_icd_procedures"], part_rows, "procedures_icd" in large)
     return {
         "chronology_of_medications": of("medications"),
         "diagnosis": (diagnoses, None),

@@ -56,14 +56,24 @@ def first_row_per_entity(df: DataFrame, entity: str, columns: Sequence[str], sor
 def sequence_per_entity(
     df: DataFrame,
     entity: str,
-    steps: Sequence[Column],
-    order: Sequence[Column],
-    sort_values: Sequence[Column],
+    steps: Sequence[str],
+    time: str = RELATIVE_TIME,
+    ties: Sequence[str] = ("event_type", "event_text"),
     part_rows: int = STEP_PART_ROWS,
     name: str = "steps",
 ) -> DataFrame:
-    """Ordered steps per entity: ``(entity, part, steps)``; long sequences continue in further parts."""
-    return gather(df, [entity], order, steps, part_rows, name, sort_values)
+    """Ordered steps per entity: ``(entity, part, steps)``; long sequences continue in further parts.
+
+    A step holds the columns ``steps``; a column that also orders the steps is stored once.
+    """
+    untimed, counted_down, *tied = timeline_sort_values(time, ties)
+    carried = [c for c in steps if c not in ties and c != time]
+    layout = [untimed.alias("_untimed"), counted_down.alias("_countdown"), *tied, *[F.col(c) for c in carried]]
+
+    def step(item: Column) -> Column:
+        return F.struct(*[(-item["_countdown"] if c == time else item[c]).alias(c) for c in steps])
+
+    return gather(df, [entity], timeline_order(time, ties), layout, part_rows, name, step)
 
 
 def sequence_lengths(df: DataFrame, entity: str) -> DataFrame:

@@ -28,6 +28,7 @@ from wardline.sources.schemas import STATIC_CATEGORIES, STATIC_NUMBER
 from wardline.sources.vector_cache import vector_cache_lookup
 
 LABEL = "patient_expired_in_hospital"
+TIES = ("event_type", "event_text", "icu_stay_id")
 
 
 def flat_events(base: DataFrame, events: DataFrame) -> DataFrame:
@@ -37,8 +38,7 @@ def flat_events(base: DataFrame, events: DataFrame) -> DataFrame:
 
 def row_order() -> tuple[list[Column], list[Column]]:
     """Timeline order with a tie-break by event and stay, as descending columns and ascending values."""
-    ties = ["event_type", "event_text", "icu_stay_id"]
-    return timeline_order(RELATIVE_TIME, ties), timeline_sort_values(RELATIVE_TIME, ties)
+    return timeline_order(RELATIVE_TIME, TIES), timeline_sort_values(RELATIVE_TIME, TIES)
 
 
 def entity_rows(flat: DataFrame, entity: str = "patient_id", static: Sequence[str] = STATIC_CATEGORIES, number: str = STATIC_NUMBER) -> DataFrame:
@@ -91,11 +91,11 @@ def prepare_training_set(
     """
     entities = stratified_split(entity_rows(flat, entity, static, number), entity, "label", *shares, seed)
     fitted = flat if fit_on == "all" else flat.join(entities.where(F.col("split") == "train").select(entity), entity, "left_semi")
-    order, sort_values = row_order()
+    order, _ = row_order()
     steps = flat if max_events is None else head_k_per_entity(flat, entity, order, max_events)
     keyed = vector_cache_lookup(steps.select(entity, "icu_stay_id", "event_type", "event_text", RELATIVE_TIME), "event_text", vectors)
     encoded = keyed.withColumn("vector", step_vector(fitted, F.col("embedding"))).drop("embedding")
-    sequences = sequence_per_entity(encoded, entity, [F.col("vector")], order, sort_values, part_rows)
+    sequences = sequence_per_entity(encoded, entity, ["vector"], RELATIVE_TIME, TIES, part_rows)
     return TrainingSet(
         sequences=sequences.withColumn("steps", F.transform("steps", lambda s: s["vector"])),
         entities=entities.select(entity, static_vector(fitted, static, number).alias("static"), "label", "split"),
