@@ -225,12 +225,7 @@ def pad_sequence(t: Tables) -> DataFrame:
 
 @query("padding_mask", f"SELECT user_id, pos, real FROM ({_PADDED_SQL})")
 def padding_mask(t: Tables) -> DataFrame:
-    # the mask is taken from the lengths before padding
-    batched = _truncated(t, sequences.TRUNCATED_LENGTH).withColumn("batch", F.col("user_id") % 4)
-    lengths = batched.select("user_id", "batch", F.size("seq").alias("n"))
-    longest = lengths.groupBy("batch").agg(F.max("n").alias("longest"))
-    mask = vectors.padding_mask(F.col("n"), F.col("longest"))
-    return lengths.join(longest, "batch").select("user_id", F.posexplode(mask).alias("pos", "real"))
+    return _padded(t).select("user_id", F.posexplode("mask").alias("pos", "real"))
 
 
 # ---- split ----

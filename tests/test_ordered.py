@@ -78,8 +78,9 @@ def test_crowded_names_the_tables_with_a_large_key(spark):
     assert ordered.crowded(50, {"a": (df, ["k"]), "b": (df, ["k", "v"])}) == {"a"}
 
 
-def test_head_k(spark):
-    kept = ordered.head_k(skewed(spark), ["k"], order(), 3).collect()
+@pytest.mark.parametrize("hot_rows", [None, 10, 1000])
+def test_head_k(spark, hot_rows):
+    kept = ordered.head_k(skewed(spark), ["k"], order(), 3, hot_rows=hot_rows).collect()
     assert {r.pos for r in kept} == {0, 1, 2}
     for key, rows in expected(spark).items():
         ours = sorted((r for r in kept if r.k == key), key=lambda r: r.pos)

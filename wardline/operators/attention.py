@@ -103,13 +103,14 @@ def head_statistics(importance: DataFrame) -> DataFrame:
 def top_k_positions(importance: DataFrame, k: int = TOP_POSITIONS) -> DataFrame:
     """The ``k`` most important positions of each head, ranked from 0."""
     order = [F.col("importance").desc_nulls_last(), F.col("pos").asc()]
-    return head_k(importance, ["head"], order, k, "rank")
+    # few rows per head: one per position, already merged
+    return head_k(importance, ["head"], order, k, "rank", hot_rows=None)
 
 
 def top_k_features(outputs: DataFrame, k: int = TOP_FEATURES) -> DataFrame:
     """The ``k`` largest mean outputs of each position, ranked from 0."""
     means = outputs.groupBy("pos", "dim").agg(F.avg("value").alias("importance"))
-    return head_k(means, ["pos"], [F.col("importance").desc_nulls_last(), F.col("dim").asc()], k, "rank")
+    return head_k(means, ["pos"], [F.col("importance").desc_nulls_last(), F.col("dim").asc()], k, "rank", hot_rows=None)
 
 
 def critical_positions(pooling: DataFrame, threshold: float = CRITICAL_WEIGHT) -> DataFrame:

@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from wardline.session import cut_lineage
 from wardline.sources import vector_cache as cache
 
 # Fixed values
@@ -22,9 +21,9 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def word_slots(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Signed word counts per (text, slot). Rows stay where the text is, so this adds no shuffle."""
+    """Signed word counts per (text, slot); a text without words has one row with a NULL slot."""
     words = texts.select("text_md5", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
-    digest = words.where(F.col("word") != "").select("text_md5", F.md5("word").alias("digest"))
+    digest = words.select("text_md5", F.when(F.col("word") != "", F.md5("word")).alias("digest"))
     slot = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % width
     sign = F.when(F.substring("digest", 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
     return digest.groupBy("text_md5", slot.cast("int").alias("slot")).agg(F.sum(sign).alias("value"))
@@ -33,20 +32,25 @@ def word_slots(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 def hashed_word_vectors(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Default encoder: hashed word counts of the whole text, scaled to length 1.
 
-    ``texts`` are distinct and partitioned by ``text_md5``; both aggregations reuse that partitioning.
-    A text holds at most ``width`` slots, which bounds the list per text.
+    Distinct texts are partitioned by their key, and both aggregations keep that partitioning: the
+    words never leave the task of their text. A text fills at most ``width`` slots, which bounds its list.
     """
-    slots = word_slots(texts, width).groupBy("text_md5").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("slots"),
-        F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"),
+    used = F.col("slot").isNotNull()
+    filled = word_slots(texts, width).groupBy("text_md5").agg(
+        F.sort_array(F.collect_list(F.when(used, F.struct("slot", "value")))).alias("slots"),
+        F.sqrt(F.sum(F.when(used, F.col("value") * F.col("value")))).alias("length"),
     )
-    filled = texts.select("text_md5").join(slots, "text_md5", "left")
-    value = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.when(F.col("length") > 0, F.coalesce(F.col("slots")[i], F.lit(0.0)) / F.col("length"))
-        .otherwise(F.lit(0.0)).cast("float"),
-    )
-    return filled.select("text_md5", value.alias("embedding"))
+    zero, slots = F.lit(0.0).cast("float"), F.col("slots")
+
+    def with_gap(entry: Column, at: Column) -> Column:
+        """A slot preceded by the empty slots since the one before."""
+        before = F.when(at > 0, F.get(slots, at - 1)["slot"]).otherwise(F.lit(-1))
+        share = F.when(F.col("length") > 0, entry["value"] / F.col("length")).otherwise(F.lit(0.0)).cast("float")
+        return F.concat(F.array_repeat(zero, entry["slot"] - before - 1), F.array(share))
+
+    last = F.coalesce(F.get(slots, F.size(slots) - 1)["slot"], F.lit(-1))
+    vector = F.concat(F.flatten(F.transform(slots, with_gap)), F.array_repeat(zero, F.lit(width - 1) - last))
+    return filled.select("text_md5", vector.alias("embedding"))
 
 
 def encoded_vectors(texts: DataFrame, encoder: Encoder, batch: int = BATCH) -> DataFrame:
@@ -67,12 +71,9 @@ def embed_text(spark: SparkSession, df: DataFrame, text: str, cache_path: str, e
 
     Each distinct text is encoded once, however many rows share it.
     """
-    known = cache.vector_cache_scan(spark, cache_path)
-    # stored, as the cache this is compared with is about to grow
-    misses = cut_lineage(cache.vector_cache_misses(cache.distinct_texts(df, text), known))
-    if not misses.isEmpty():
-        fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
-        cache.vector_cache_append(fresh, cache_path)
+    misses = cache.vector_cache_misses(cache.distinct_texts(df, text), cache.vector_cache_scan(spark, cache_path))
+    fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
+    cache.vector_cache_append(fresh, cache_path)
     return cache.vector_cache_scan(spark, cache_path)
 
 

@@ -121,28 +121,16 @@ def with_position(
     return light.unionByName(placed.select(*light.columns))
 
 
-def with_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    part_rows: int,
-    slice_rows: int = SLICE_ROWS,
-    name: str = "part",
-    may_split: bool = True,
-) -> DataFrame:
-    """Number the consecutive parts of each group, ``part_rows`` rows to a part.
-
-    A group that fits one part needs no order here: its rows all get part 0. ``may_split=False`` states
-    that all groups do, which saves the count.
-    """
-    keys = list(keys)
-    split = _split_hot(df, keys, part_rows if may_split else None)
-    light = split.light.withColumn(name, F.lit(0))
+def _numbered_parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], part_rows: int, slice_rows: int
+) -> DataFrame | None:
+    """Rows with ``part``, the consecutive parts of each group; None where every group fits one part."""
+    split = _split_hot(df, keys, part_rows)
     if split.hot is None:
-        return light
+        return None
     placed = with_position(split.hot, keys, order, "_pos", hot_rows=HOT_ROWS, slice_rows=slice_rows)
-    numbered = placed.withColumn(name, F.floor(F.col("_pos") / part_rows).cast("int"))
-    return light.unionByName(numbered.select(*light.columns))
+    numbered = placed.withColumn("part", F.floor(F.col("_pos") / part_rows).cast("int")).drop("_pos")
+    return numbered.unionByName(split.light.withColumn("part", F.lit(0)))
 
 
 def running_min(
@@ -169,15 +157,33 @@ def running_min(
     return light.unionByName(placed.select(*light.columns))
 
 
-def head_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:
+def _head(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k)
+
+
+def head_k(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    k: int,
+    name: str = "pos",
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    Spark limits the groups before the shuffle (WindowGroupLimit), so a hot group sends at most
-    ``k`` rows per input task.
+    Spark limits the groups before the shuffle (WindowGroupLimit), so a group sends at most ``k`` rows
+    per input task. Hot groups have rows in very many tasks; their heads are first taken over sets of
+    input tasks and then over the sets.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k)
-    return ranked.withColumn(name, F.col("_rank").cast("long") - 1).drop("_rank")
+    keys, order = list(keys), list(order)
+    split = _split_hot(df, keys, hot_rows)
+    rows = split.light
+    if split.hot is not None:
+        sets = max(2, int((split.hot_rows / SLICE_ROWS) ** 0.5))
+        grouped = split.hot.withColumn("_set", F.spark_partition_id() % sets)
+        rows = rows.unionByName(_head(grouped, [*keys, "_set"], order, k).select(*rows.columns))
+    return _head(rows, keys, order, k).withColumn(name, F.col("_rank").cast("long") - 1).drop("_rank")
 
 
 def gather(
@@ -191,14 +197,21 @@ def gather(
     slice_rows: int = SLICE_ROWS,
     may_split: bool = True,
 ) -> DataFrame:
-    """One ordered array per (group, part).
+    """One ordered array per group and part: ``(keys, part, name)``.
+
+    A group with up to ``part_rows`` rows is part 0; a larger one continues in parts 1, 2, and so on.
+    ``may_split=False`` states that no group is larger, which saves the count.
 
     ``layout`` are the fields of an item. Their natural ascending order, NULL first, must agree with
     ``order``, so ascending stand-ins come first and carried values last. ``pick`` turns a sorted item
     into the one to keep.
     """
-    parted = with_parts(df, keys, order, part_rows, slice_rows, may_split=may_split)
+    keys = list(keys)
+    parted = _numbered_parts(df, keys, order, part_rows, slice_rows) if may_split else None
+    rows, cell = (df, keys) if parted is None else (parted, [*keys, "part"])
     # lists do not shrink before a shuffle, so the plain rows are shuffled and gathered once
-    placed = parted.select(*keys, "part", F.struct(*layout).alias("_item")).repartition(*keys, "part")
-    arrays = placed.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_item")).alias(name))
-    return arrays if pick is None else arrays.withColumn(name, F.transform(name, pick))
+    placed = rows.select(*cell, F.struct(*layout).alias("_item")).repartition(*cell)
+    arrays = placed.groupBy(*cell).agg(F.sort_array(F.collect_list("_item")).alias(name))
+    part = F.lit(0) if parted is None else F.col("part")
+    kept = F.col(name) if pick is None else F.transform(name, pick)
+    return arrays.select(*keys, part.alias("part"), kept.alias(name))

@@ -102,10 +102,8 @@ def pad_batches(df: DataFrame, batch: str, sequence: str, filler: Column, length
     """
     longest = df.groupBy(batch).agg(F.max(F.size(sequence)).alias(length))
     joined = df.join(longest, batch, "left")
-    return joined.withColumns({
-        sequence: vectors.pad(F.col(sequence), F.col(length), filler),
-        "mask": vectors.padding_mask(F.size(sequence), F.col(length)),
-    })
+    masked = joined.withColumn("mask", vectors.padding_mask(F.size(sequence), F.col(length)))
+    return masked.withColumn(sequence, vectors.pad(F.col(sequence), F.col(length), filler))
 
 
 def mean_vector(

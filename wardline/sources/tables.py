@@ -31,8 +31,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
     """CSV with a header; quoted text may hold line breaks, commas and doubled quotes.
 
     A file with line breaks in its quotes cannot be split, so large exports should come in shards:
-    a folder or glob reads them all as one table, a file per task. The writer marks empty text with
-    ``""`` and NULL with nothing.
+    a folder or glob reads them all as one table, a file per task. Empty text reads as NULL.
     """
     return (
         spark.read.schema(schema)
@@ -50,9 +49,7 @@ def write_csv_shards(df: DataFrame, path: str, shards: int | None = None) -> Non
     (
         out.write.mode("errorifexists")
         .option("header", True)
-        .option("quoteAll", False)
         .option("escape", '"')
-        .option("emptyValue", '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
