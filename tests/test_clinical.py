@@ -136,6 +136,16 @@ def test_small_parts_hold_the_same_events(data):
     assert sorted(str(r[:1] + r[2:]) for r in whole) == sorted(str(tuple(r)) for r in exports.timeline(data).collect())
 
 
+def test_attached_parts_are_the_whole_stay(data):
+    whole = {r.icu_stay_id: r.events for r in exports.structured_export(data).collect()}
+    found = {}
+    for r in exports.structured_export(data, part_rows=5).orderBy("icu_stay_id", "part").collect():
+        assert r.events is None or len(r.events) <= 5
+        found.setdefault(r.icu_stay_id, []).append(r.events)
+    assert len(found[1]) > 1 and found[4] == [None]
+    assert {k: None if v == [None] else [e for part in v for e in part] for k, v in found.items()} == whole
+
+
 def test_small_text_parts_join_to_the_whole_text(data, wide):
     texts = {}
     for r in exports.wide_export(data, part_rows=2).orderBy("icu_stay_id", "part").collect():

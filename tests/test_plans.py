@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from suite.all_queries import QUERIES
 from suite.clinical_view import clinical_tables
-from wardline.operators import cohort, events, fits, sequences, split
+from wardline.operators import cohort, events, fits, rollups, sequences, split
 from wardline.plans import exports
 
 
@@ -45,10 +45,20 @@ def test_event_array_shuffles_events_once(spark, tables):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_extra_parts_vanish_when_no_stay_is_split(tables):
-    wide = exports.wide_export(clinical_tables(tables))
-    logical = wide._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" not in logical
+def test_texts_are_shuffled_once_on_the_way_to_the_wide_export(spark, tables):
+    data = clinical_tables(tables)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = rollups.all_rollups(data)
+        alone = sum(plan(t.texts).count("Exchange hashpartitioning") for t in texts.values())
+        whole = plan(exports.wide_export(data)).count("Exchange hashpartitioning")
+        base = plan(exports.base_of(data)).count("Exchange hashpartitioning")
+        assert whole <= alone + base + 1  # one more, for the cohort rows
+        assert "Union" not in plan(exports.wide_export(data))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_first_row_needs_no_sort(tables):

@@ -94,3 +94,13 @@ def dictionary_join(rows: DataFrame, dictionary: DataFrame, keys: Sequence[str],
 def matched_only(left: DataFrame, right: DataFrame, keys: Sequence[str], required: str) -> DataFrame:
     """A left join followed by a not-null test on the right side, written as the inner join it is."""
     return left.join(right.where(F.col(required).isNotNull()), list(keys), "inner")
+
+
+def for_all_parts(base: DataFrame, parts: DataFrame) -> DataFrame:
+    """Cohort rows with ``part``: part 0 for every stay, and the parts above 0 that ``parts`` lists.
+
+    Joining on (stay, part) spreads an oversized stay over as many tasks as it has parts.
+    """
+    further = parts.where(F.col("part") > 0).select("icu_stay_id", "part").distinct()
+    first = base.withColumn("part", F.lit(0))
+    return first.unionByName(base.join(further, "icu_stay_id").select(*first.columns))

@@ -58,10 +58,9 @@ def encoded_vectors(texts: DataFrame, encoder: Encoder, batch: int = BATCH) -> D
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                chunk = frame.iloc[start:start + batch]
-                vectors = np.asarray(encoder(chunk["text"].tolist()), dtype=np.float32)
-                yield pd.DataFrame({"text_md5": chunk["text_md5"].to_numpy(), "embedding": list(vectors)})
+            words = frame["text"].tolist()
+            vectors = [np.asarray(encoder(words[i:i + batch]), dtype=np.float32) for i in range(0, len(words), batch)]
+            yield pd.DataFrame({"text_md5": frame["text_md5"], "embedding": [v for chunk in vectors for v in chunk]})
 
     return texts.select("text_md5", "text").mapInPandas(encode, cache.CACHE_SCHEMA)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wardline.functions import fields
 from wardline.functions.scalars import minutes_between
 from wardline.functions.text import from_columns
+from wardline.operators.cohort import for_all_parts
 from wardline.operators.ordered import crowded, gather
 
 EVENT_FIELDS = ["event_time", "event_type", "event_text", "relative_time_to_final_event"]
@@ -104,11 +105,18 @@ def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS, may_split:
     return gather(events, ["icu_stay_id"], event_order(), layout, part_rows, "events", may_split=may_split)
 
 
-def attach_events(base: DataFrame, arrays: DataFrame, empty_array: bool = False) -> DataFrame:
-    """Cohort rows with their events; a stay without events keeps NULL, or an empty array on request."""
-    joined = base.join(arrays, "icu_stay_id", "left")
+def attach_events(base: DataFrame, arrays: DataFrame, may_split: bool = True, empty_array: bool = False) -> DataFrame:
+    """Cohort rows with their events; a stay without events keeps NULL, or an empty array on request.
+
+    ``may_split=False`` states that every stay has one part, so the join is on the stay alone and keeps
+    the partitioning of the arrays.
+    """
+    if may_split:
+        joined = for_all_parts(base, arrays).join(arrays, ["icu_stay_id", "part"], "left")
+    else:
+        joined = base.withColumn("part", F.lit(0)).join(arrays.drop("part"), "icu_stay_id", "left")
     events = F.coalesce("events", F.array().cast(arrays.schema["events"].dataType)) if empty_array else F.col("events")
-    return joined.select(*[base[c] for c in base.columns], F.coalesce("part", F.lit(0)).alias("part"), events.alias("events"))
+    return joined.select(*base.columns, "part", events.alias("events"))
 
 
 def event_flatten(arrays: DataFrame, part_rows: int = EVENT_PART_ROWS) -> DataFrame:

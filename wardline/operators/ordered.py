@@ -26,6 +26,8 @@ from wardline.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 SLICE_ROWS = 250_000
+# a counted list of up to this many hot keys is sent to every task, a longer one is joined as any table
+BROADCAST_KEYS = 100_000
 
 
 @dataclass
@@ -55,8 +57,10 @@ def _split_hot(df: DataFrame, keys: Sequence[str], limit: int | None) -> _Split:
     rows, groups = sizes.agg(F.sum("_rows"), F.count(F.lit(1))).first()
     if not groups:
         return _Split(df, None, 0)
-    # at most (all rows / limit) keys
+    # stored, as it is used twice; there are at most (all rows / limit) hot keys
     sizes = cut_lineage(sizes)
+    if groups <= BROADCAST_KEYS:
+        sizes = F.broadcast(sizes)
     on = _match(df, sizes, list(zip(keys, names)))
     return _Split(df.join(sizes, on, "left_anti"), df.join(sizes, on, "left_semi"), int(rows))
 

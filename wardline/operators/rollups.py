@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fields
 from wardline.functions.text import from_columns, from_nothing
-from wardline.operators.cohort import dictionary_join
+from wardline.operators.cohort import dictionary_join, for_all_parts
 from wardline.operators.ordered import crowded, gather
 from wardline.sources.schemas import column_types
 
@@ -124,24 +124,36 @@ def with_all_stays(stays: DataFrame, rolled: DataFrame, column: str, default: Co
     return joined.select("stay_id", F.coalesce("part", F.lit(0)).alias("part"), text.alias(column))
 
 
-def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -> dict[str, tuple[DataFrame, Column | None]]:
-    """Every rollup, by result column in export order, with the default for stays without items."""
+@dataclass(frozen=True)
+class StayTexts:
+    """Texts ``(stay_id, part, column)``, the text of a stay without items, and whether a stay may have several parts."""
+
+    texts: DataFrame
+    default: Column | None
+    may_split: bool
+
+
+def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -> dict[str, StayTexts]:
+    """Every rollup, by result column in export order. One job tells which sources have a key beyond one part."""
     stays = tables["icustays"]
     sources = {r.table: (tables[r.table], r.keys) for r in ROLLUPS.values()}
     sources["diagnoses_icd"] = (tables["diagnoses_icd"], ("hadm_id",))
     sources["procedures_icd"] = (tables["procedures_icd"], ("subject_id", "hadm_id"))
     large = crowded(part_rows, sources)
 
-    def of(name: str) -> tuple[DataFrame, Column | None]:
+    def of(name: str) -> StayTexts:
         rollup = ROLLUPS[name]
-        return field_rollup(rollup, tables[rollup.table], stays, part_rows, rollup.table in large), empty_text(rollup)
+        split = rollup.table in large
+        return StayTexts(field_rollup(rollup, tables[rollup.table], stays, part_rows, split), empty_text(rollup), split)
+
+    def titled(rollup, table: str, titles: str) -> StayTexts:
+        split = table in large
+        return StayTexts(rollup(stays, tables[table], tables[titles], part_rows, split), None, split)
 
-    diagnoses = rollup_diagnoses(stays, tables["diagnoses_icd"], tables["d_icd_diagnoses"], part_rows, "diagnoses_icd" in large)
-    procedures = rollup_procedures(stays, tables["procedures_icd"], tables["d_icd_procedures"], part_rows, "procedures_icd" in large)
     return {
         "chronology_of_medications": of("medications"),
-        "diagnosis": (diagnoses, None),
-        "procedure_list": (procedures, None),
+        "diagnosis": titled(rollup_diagnoses, "diagnoses_icd", "d_icd_diagnoses"),
+        "procedure_list": titled(rollup_procedures, "procedures_icd", "d_icd_procedures"),
         "procedure_event_list": of("procedure_events"),
         "microbiology_cultures": of("microbiology"),
         "labevents": of("labs"),
@@ -149,26 +161,27 @@ def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -
     }
 
 
-def assemble_wide(base: DataFrame, rollups: dict[str, tuple[DataFrame, Column | None]], skeleton: bool = True) -> DataFrame:
+def assemble_wide(base: DataFrame, rollups: dict[str, StayTexts], skeleton: bool = True) -> DataFrame:
     """Cohort rows with their seven texts: one row per stay, or one per part of an oversized stay.
 
-    Each rollup is aggregated before it is joined, so no join multiplies rows.
+    Each rollup is aggregated before it is joined, so no join multiplies rows. Where every stay is in one
+    part, the joins are on the stay alone and keep the partitioning the texts were gathered in.
     """
-    further = reduce(
-        DataFrame.unionByName,
-        [rolled.where(F.col("part") > 0).select("stay_id", "part") for rolled, _ in rollups.values()],
-    ).distinct()
-    first = base.withColumn("part", F.lit(0))
-    spine = first.unionByName(
-        base.join(further.withColumnRenamed("stay_id", "icu_stay_id"), "icu_stay_id").select(*first.columns)
-    )
-    wide = spine
-    for rolled, _ in rollups.values():
-        wide = wide.join(rolled.withColumnRenamed("stay_id", "icu_stay_id"), ["icu_stay_id", "part"], "left")
-
-    def text(column: str, default: Column | None) -> Column:
+    texts = {column: r.texts.withColumnRenamed("stay_id", "icu_stay_id") for column, r in rollups.items()}
+    large = [texts[column].select("icu_stay_id", "part") for column, r in rollups.items() if r.may_split]
+    if large:
+        wide = for_all_parts(base, reduce(DataFrame.unionByName, large))
+        for text in texts.values():
+            wide = wide.join(text, ["icu_stay_id", "part"], "left")
+    else:
+        wide = base.withColumn("part", F.lit(0))
+        for text in texts.values():
+            wide = wide.join(text.drop("part"), "icu_stay_id", "left")
+
+    def shown(column: str) -> Column:
+        default = rollups[column].default
         if default is None or not skeleton:
             return F.col(column)
         return F.when(F.col("part") == 0, F.coalesce(column, default)).otherwise(F.col(column)).alias(column)
 
-    return wide.select(*base.columns, "part", *[text(c, d) for c, (_, d) in rollups.items()])
+    return wide.select(*base.columns, "part", *[shown(c) for c in rollups])

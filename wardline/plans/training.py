@@ -49,10 +49,9 @@ def entity_rows(flat: DataFrame, entity: str = "patient_id", static: Sequence[st
 
 
 def step_vector(fit_on: DataFrame, embedding: Column) -> Column:
-    """Event type, text vector and scaled time of a step, in this order."""
-    return F.concat(
-        one_hot_column(fit_on, "event_type"), embedding.cast("array<double>"), F.array(scaled_column(fit_on, RELATIVE_TIME))
-    )
+    """Event type, text vector and scaled time of a step, in this order, as 4-byte numbers."""
+    kind, time = one_hot_column(fit_on, "event_type"), F.array(scaled_column(fit_on, RELATIVE_TIME))
+    return F.concat(kind.cast("array<float>"), embedding.cast("array<float>"), time.cast("array<float>"))
 
 
 @dataclass(frozen=True)
