@@ -55,15 +55,24 @@ ROLLUPS = {
 }
 
 
-def ordered_text(items: DataFrame, column: str, part_rows: int = TEXT_PART_ROWS, may_split: bool = True) -> DataFrame:
+def ordered_text(
+    rows: DataFrame, at: Column, item: Column, column: str, part_rows: int = TEXT_PART_ROWS, may_split: bool = True
+) -> DataFrame:
     """Join the ``item`` texts of a stay in ``at`` order: ``(stay_id, part, column)``.
 
-    ``items`` has ``stay_id, at, item``; NULL items do not count, as in any text aggregate.
+    NULL items do not count, as in any text aggregate. The text of an item is longer than the columns it is
+    made of, so it is built after the shuffle; only where stays may be split is it needed before.
     """
-    order = [F.col("at").asc_nulls_first(), F.col("item").asc()]
-    present = items.where(F.col("item").isNotNull())
-    gathered = gather(present, ["stay_id"], order, [F.col("at"), F.col("item")], part_rows, "_items", lambda x: x["item"], may_split=may_split)
-    return gathered.select("stay_id", "part", F.array_join("_items", ITEM_SEPARATOR).alias(column))
+    if may_split:
+        rows = rows.select("stay_id", at.alias("at"), item.alias("item")).where(F.col("item").isNotNull())
+        at, item = F.col("at"), F.col("item")
+    order = [at.asc_nulls_first(), item.asc()]
+    layout = [at.alias("at"), item.alias("item")]
+    gathered = gather(
+        rows, ["stay_id"], order, layout, part_rows, "_items", lambda x: x["item"], may_split=may_split, present=item.isNotNull()
+    )
+    text = F.when(F.size("_items") > 0, F.array_join("_items", ITEM_SEPARATOR))
+    return gathered.select("stay_id", "part", text.alias(column))
 
 
 def _stay_columns(stays: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -79,8 +88,7 @@ def field_rollup(
     spare = [c for c in ("stay_id", "hadm_id", "subject_id") if c in rows.columns and c not in rollup.keys]
     joined = rows.drop(*spare).join(_stay_columns(stays, rollup.keys), list(rollup.keys), "inner")
     item = fields.field_text(rollup.fields, "|", from_columns)
-    items = joined.select("stay_id", F.col(rollup.order).alias("at"), item.alias("item"))
-    return ordered_text(items, rollup.column, part_rows, may_split)
+    return ordered_text(joined, F.col(rollup.order), item, rollup.column, part_rows, may_split)
 
 
 def empty_text(rollup: Rollup) -> Column | None:
@@ -102,7 +110,7 @@ def rollup_procedures(
     item = F.concat(
         F.coalesce("long_title", F.lit(UNKNOWN_PROCEDURE)), F.lit(" ("), F.col("chartdate").cast("string"), F.lit(")")
     )
-    return ordered_text(titled.select("stay_id", F.col("chartdate").alias("at"), item.alias("item")), "procedure_list", part_rows, may_split)
+    return ordered_text(titled, F.col("chartdate"), item, "procedure_list", part_rows, may_split)
 
 
 def rollup_diagnoses(
@@ -113,8 +121,9 @@ def rollup_diagnoses(
         may_split = bool(crowded(part_rows, {"diagnoses": (diagnoses, ("hadm_id",))}))
     joined = diagnoses.join(stays.select("stay_id", "hadm_id"), "hadm_id", "inner")
     titled = dictionary_join(joined, titles, ["icd_code", "icd_version"], "long_title")
-    items = titled.select("stay_id", F.col("long_title").alias("at"), F.col("long_title").alias("item"))
-    return ordered_text(items.where(F.col("item").isNotNull()).distinct(), "diagnosis", part_rows, may_split)
+    distinct = titled.select("stay_id", "long_title").where(F.col("long_title").isNotNull()).distinct()
+    title = F.col("long_title")
+    return ordered_text(distinct, title, title, "diagnosis", part_rows, may_split)
 
 
 def with_all_stays(stays: DataFrame, rolled: DataFrame, column: str, default: Column | None, skeleton: bool = True) -> DataFrame:
