@@ -187,14 +187,14 @@ def _flat(arrays: DataFrame) -> DataFrame:
 
 @query("event_array", with_views(f"SELECT icu_stay_id, count(*) AS events, md5(string_agg(event_type || ':' || coalesce(event_text, '-'), ',' ORDER BY pos)) AS digest FROM ({_POSITION_SQL}) GROUP BY icu_stay_id"))
 def event_array(t: Tables) -> DataFrame:
-    arrays = exports.event_arrays(clinical_tables(t))
+    arrays = exports.event_arrays_of(clinical_tables(t))
     shown = F.transform("events", lambda e: F.concat(e["event_type"], F.lit(":"), F.coalesce(F.md5(e["event_text"]), F.lit("-"))))
     return arrays.select("icu_stay_id", F.size("events").cast("long").alias("events"), F.md5(F.array_join(shown, ",")).alias("digest"))
 
 
 @query("event_flatten", with_views(_POSITION_SQL))
 def event_flatten(t: Tables) -> DataFrame:
-    return _flat(exports.event_arrays(clinical_tables(t)))
+    return _flat(exports.event_arrays_of(clinical_tables(t)))
 
 
 @query("attach_events", with_views(f"""WITH base AS ({_BASE_SQL}), flat AS ({_POSITION_SQL})

@@ -128,8 +128,8 @@ def test_structured_export_orders_events_and_keeps_empty_stays(data):
 
 
 def test_small_parts_hold_the_same_events(data):
-    whole = events.event_flatten(exports.event_arrays(data)).collect()
-    parts = exports.event_arrays(data, part_rows=5)
+    whole = events.event_flatten(exports.event_arrays_of(data)).collect()
+    parts = exports.event_arrays_of(data, part_rows=5)
     assert parts.where("part > 0").count() > 0
     assert sorted(map(str, whole)) == sorted(map(str, events.event_flatten(parts, 5).collect()))
     # flattening gives back the events that went in

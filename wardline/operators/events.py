@@ -68,7 +68,7 @@ def event_branch(source: EventSource, rows: DataFrame, stay_ref: DataFrame) -> D
     """Events of one source, repeated for every stay they belong to.
 
     The join is inner, as an event without a time is dropped anyway. The text is built after the join
-    so that a shuffle carries the raw columns.
+    so that its shuffle carries the raw columns.
     """
     timed = rows.where(source.time().isNotNull())
     reference = stay_ref.select("stay_id", *[k for k in source.keys if k != "stay_id"], "final_time")
@@ -105,6 +105,12 @@ def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS, may_split:
     return gather(events, ["icu_stay_id"], event_order(), layout, part_rows, "events", may_split=may_split)
 
 
+def event_arrays(tables: dict[str, DataFrame], stay_ref: DataFrame, part_rows: int = EVENT_PART_ROWS) -> tuple[DataFrame, bool]:
+    """Ordered event arrays per stay from the sources, and whether a stay may have several parts."""
+    may_split = may_exceed(tables, part_rows)
+    return event_array(event_union(tables, stay_ref), part_rows, may_split), may_split
+
+
 def attach_events(base: DataFrame, arrays: DataFrame, may_split: bool = True, empty_array: bool = False) -> DataFrame:
     """Cohort rows with their events; a stay without events keeps NULL, or an empty array on request.
 

@@ -200,7 +200,6 @@ def gather(
     pick: Callable[[Column], Column] | None = None,
     slice_rows: int = SLICE_ROWS,
     may_split: bool = True,
-    present: Column | None = None,
 ) -> DataFrame:
     """One ordered array per group and part: ``(keys, part, name)``.
 
@@ -209,15 +208,14 @@ def gather(
 
     ``layout`` are the fields of an item. Their natural ascending order, NULL first, must agree with
     ``order``, so ascending stand-ins come first and carried values last. Layout expressions run after
-    the shuffle, which carries the columns they need. ``present`` leaves out the rows where it is not
-    true, though not their group. ``pick`` turns a sorted item into the one to keep.
+    the shuffle, which carries the columns they need. ``pick`` turns a sorted item into the one to keep.
     """
     keys = list(keys)
     parted = _numbered_parts(df, keys, order, part_rows, slice_rows) if may_split else None
     rows, cell = (df, keys) if parted is None else (parted, [*keys, "part"])
     # lists do not shrink before a shuffle, so the plain rows are shuffled and gathered once
-    item = F.struct(*layout) if present is None else F.when(present, F.struct(*layout))
-    arrays = rows.repartition(*cell).groupBy(*cell).agg(F.sort_array(F.collect_list(item)).alias(name))
+    items = F.sort_array(F.collect_list(F.struct(*layout)))
+    arrays = rows.repartition(*cell).groupBy(*cell).agg(items.alias(name))
     part = F.lit(0) if parted is None else F.col("part")
     kept = F.col(name) if pick is None else F.transform(name, pick)
     return arrays.select(*keys, part.alias("part"), kept.alias(name))

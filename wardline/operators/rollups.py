@@ -68,10 +68,8 @@ def ordered_text(
         at, item = F.col("at"), F.col("item")
     order = [at.asc_nulls_first(), item.asc()]
     layout = [at.alias("at"), item.alias("item")]
-    gathered = gather(
-        rows, ["stay_id"], order, layout, part_rows, "_items", lambda x: x["item"], may_split=may_split, present=item.isNotNull()
-    )
-    text = F.when(F.size("_items") > 0, F.array_join("_items", ITEM_SEPARATOR))
+    gathered = gather(rows, ["stay_id"], order, layout, part_rows, "_items", lambda x: x["item"], may_split=may_split)
+    text = F.when(F.exists("_items", lambda x: x.isNotNull()), F.array_join("_items", ITEM_SEPARATOR))
     return gathered.select("stay_id", "part", text.alias(column))
 
 
