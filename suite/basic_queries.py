@@ -257,11 +257,12 @@ def patient_history_join(t: Tables) -> DataFrame:
 
 
 @query("dictionary_join", """SELECT l_orderkey, l_linenumber, p_name AS title FROM lineitem
-  LEFT JOIN (SELECT * FROM part WHERE p_size > 5) p ON l_partkey = p_partkey""")
+  LEFT JOIN part ON l_partkey = p_partkey AND l_linenumber % 2 = p_partkey % 2""")
 def dictionary_join(t: Tables) -> DataFrame:
-    titles = t.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
-    joined = cohort.dictionary_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), titles, ["l_partkey"], "title")
-    return joined.drop("l_partkey")
+    # code and version: a part is listed in one of two versions, so some lines have no title
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("code"), (F.col("l_linenumber") % 2).cast("long").alias("version"))
+    titles = t.part.select(F.col("p_partkey").alias("code"), (F.col("p_partkey") % 2).alias("version"), F.col("p_name").alias("title"))
+    return cohort.dictionary_join(lines, titles, ["code", "version"], "title").drop("code", "version")
 
 
 @query("left_join_not_null", """SELECT o_orderkey, l_linenumber, l_shipdate FROM orders LEFT JOIN lineitem

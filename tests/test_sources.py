@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardline import session
 from wardline.operators import embedding
 from wardline.sources import tables, vector_cache
 from wardline.sources.schemas import FLAT_EVENTS, STATIC_CATEGORIES, STATIC_NUMBER
@@ -38,6 +39,19 @@ def test_csv_keeps_line_breaks_quotes_and_null(spark, flat, tmp_path):
         assert ours.event_text == (row.event_text or None)  # empty text reads as NULL
 
 
+def test_missing_words_read_as_null(spark, tmp_path):
+    (tmp_path / "words.csv").write_text("id,word,n\n1,None,2.5\n2,some,NaN\n3,NA,\n")
+    rows = tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double", tables.MISSING_WORDS).collect()
+    assert [r.word for r in sorted(rows)] == [None, "some", None]
+    assert [r.word for r in tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double").collect()][0] == "None"
+
+
+def test_shared_folder_is_the_named_one(spark, tmp_path):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or session.shared_dir(spark) == named.rstrip("/")
+    assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
+
+
 def test_parquet_shards_and_inspection(spark, flat, tmp_path):
     path = str(tmp_path / "shards")
     flat.repartition(4).write.parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from wardline.sources.schemas import CLINICAL, schema_of
 
@@ -27,13 +27,22 @@ def scan_tables(spark: SparkSession, root: str, tables: Iterable[str] = CLINICAL
     return {t: conform(spark.read.parquet(f"{root}/{t}.parquet"), schema_of(t), t) for t in tables}
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
+# Words that common data-frame readers take for a missing value.
+MISSING_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+)
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, missing: Iterable[str] = ()) -> DataFrame:
     """CSV with a header; quoted text may hold line breaks, commas and doubled quotes.
 
+    Text equal to one of the ``missing`` words reads as NULL (``MISSING_WORDS`` for the usual ones).
+
     A file with line breaks in its quotes cannot be split, so large exports should come in shards:
     a folder or glob reads them all as one table, a file per task. Empty text reads as NULL.
     """
-    return (
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
@@ -41,6 +50,11 @@ def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
         .csv(path)
     )
+    words = list(missing)
+    if not words:
+        return rows
+    texts = [f.name for f in rows.schema if isinstance(f.dataType, StringType)]
+    return rows.withColumns({c: F.when(~F.col(c).isin(words), F.col(c)) for c in texts})
 
 
 def write_csv_shards(df: DataFrame, path: str, shards: int | None = None) -> None:
