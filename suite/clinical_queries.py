@@ -79,7 +79,7 @@ def _one(t: Tables, name: str) -> DataFrame:
     tables = clinical_tables(t)
     rollup = rollups.ROLLUPS[name]
     rolled = rollups.field_rollup(rollup, tables[rollup.table], tables["icustays"])
-    return rollups.with_all_stays(tables["icustays"], rolled, rollup.column, rollups.empty_text(rollup)).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
 
 
 for _name in _ROLLUP_SQL:
@@ -90,14 +90,14 @@ for _name in _ROLLUP_SQL:
 def rollup_procedures(t: Tables) -> DataFrame:
     tables = clinical_tables(t)
     rolled = rollups.rollup_procedures(tables["icustays"], tables["procedures_icd"], tables["d_icd_procedures"])
-    return rollups.with_all_stays(tables["icustays"], rolled, "procedure_list", None).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
 
 
 @query("rollup_diagnoses", with_views(_DIAGNOSES_SQL))
 def rollup_diagnoses(t: Tables) -> DataFrame:
     tables = clinical_tables(t)
     rolled = rollups.rollup_diagnoses(tables["icustays"], tables["diagnoses_icd"], tables["d_icd_diagnoses"])
-    return rollups.with_all_stays(tables["icustays"], rolled, "diagnosis", None).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
 
 
 def _renames(columns: dict[str, str], table: str) -> str:

@@ -196,7 +196,24 @@ def test_scan_tables_checks_the_schema(spark, data, tmp_path):
         conform(data["labevents"].drop("flag"), data["labevents"].schema, "labevents")
 
 
-def test_two_key_and_three_key_joins_keep_the_left_side(data):
-    joined = cohort.keyed_left_join(data["icustays"], data["labevents"], ["subject_id", "hadm_id"])
-    assert joined.select("stay_id").distinct().count() == 5
+def test_keyed_left_join_is_a_left_join(spark, data):
+    stays = data["icustays"].unionByName(data["icustays"].limit(1).withColumn("hadm_id", F.lit(None).cast("long")))
+    for keys in (["subject_id"], ["subject_id", "hadm_id"], ["subject_id", "hadm_id", "starttime"]):
+        left = stays.withColumn("starttime", F.col("intime"))
+        right = data["prescriptions"].select(*keys, "drug")
+        ours, plain = cohort.keyed_left_join(left, right, keys), left.join(right, keys, "left")
+        assert ours.columns == plain.columns and sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_single_rollup_lists_every_stay_whole_or_in_parts(data, wide):
+    for part_rows in (1, 1000):
+        rolled = rollups.rollup_diagnoses(data["icustays"], data["diagnoses_icd"], data["d_icd_diagnoses"], part_rows)
+        found = {}
+        for r in rollups.with_all_stays(data["icustays"], rolled).orderBy("stay_id", "part").collect():
+            found.setdefault(r.stay_id, []).append(r.diagnosis)
+        assert sorted(found) == [1, 2, 3, 4, 5] and len(found[1]) == (2 if part_rows == 1 else 1)
+        assert all("\n".join(texts) == wide[stay].diagnosis if texts != [None] else wide[stay].diagnosis is None for stay, texts in found.items())
+
+
+def test_culture_texts_have_no_default():
     assert rollups.empty_text(rollups.ROLLUPS["microbiology"]) is None

@@ -51,7 +51,7 @@ def test_texts_are_shuffled_once_on_the_way_to_the_wide_export(spark, tables):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         texts = rollups.all_rollups(data)
-        alone = sum(plan(t.texts).count("Exchange hashpartitioning") for t in texts.values())
+        alone = sum(plan(t.texts).count("Exchange hashpartitioning") for t in texts)
         whole = plan(exports.wide_export(data)).count("Exchange hashpartitioning")
         base = plan(exports.base_of(data)).count("Exchange hashpartitioning")
         assert whole <= alone + base + 1  # one more, for the cohort rows

@@ -82,12 +82,19 @@ def stay_reference(stays: DataFrame, admissions: DataFrame) -> DataFrame:
 
 
 def keyed_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on one or more equal keys; Spark chooses the strategy from the sizes it sees."""
-    return left.join(right, list(keys), "left")
+    """Left join on equal keys to a table that may hold very many rows of one key.
+
+    A skewed right side cannot be split under a left join, but can under an inner one. So matches come
+    from an inner join, and the left rows without any from a test against the distinct right keys.
+    """
+    keys = list(keys)
+    matched = left.join(right, keys, "inner")
+    unmatched = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def dictionary_join(rows: DataFrame, dictionary: DataFrame, keys: Sequence[str], title: str) -> DataFrame:
-    """Look up the title of a code; unknown codes keep their row."""
+    """Look up the title of a code, which the dictionary holds once; unknown codes keep their row."""
     return rows.join(dictionary.select(*keys, title), list(keys), "left")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fields
 from wardline.functions.text import from_columns, from_nothing
-from wardline.operators.cohort import dictionary_join, for_all_parts
+from wardline.operators.cohort import dictionary_join, for_all_parts, keyed_left_join
 from wardline.operators.ordered import crowded, gather
 from wardline.sources.schemas import column_types
 
@@ -55,6 +55,16 @@ ROLLUPS = {
 }
 
 
+@dataclass(frozen=True)
+class StayTexts:
+    """``(stay_id, part, column)`` of the stays with items; the text of the others; whether stays may have several parts."""
+
+    texts: DataFrame
+    column: str
+    default: Column | None
+    may_split: bool
+
+
 def ordered_text(
     rows: DataFrame, at: Column, item: Column, column: str, part_rows: int = TEXT_PART_ROWS, may_split: bool = True
 ) -> DataFrame:
@@ -79,14 +89,15 @@ def _stay_columns(stays: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def field_rollup(
     rollup: Rollup, rows: DataFrame, stays: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
-) -> DataFrame:
+) -> StayTexts:
     """Items of one source per stay. ``may_split`` tells whether a key of the source may exceed a part."""
     if may_split is None:
         may_split = bool(crowded(part_rows, {rollup.table: (rows, rollup.keys)}))
     spare = [c for c in ("stay_id", "hadm_id", "subject_id") if c in rows.columns and c not in rollup.keys]
     joined = rows.drop(*spare).join(_stay_columns(stays, rollup.keys), list(rollup.keys), "inner")
     item = fields.field_text(rollup.fields, "|", from_columns)
-    return ordered_text(joined, F.col(rollup.order), item, rollup.column, part_rows, may_split)
+    texts = ordered_text(joined, F.col(rollup.order), item, rollup.column, part_rows, may_split)
+    return StayTexts(texts, rollup.column, empty_text(rollup), may_split)
 
 
 def empty_text(rollup: Rollup) -> Column | None:
@@ -99,7 +110,7 @@ def empty_text(rollup: Rollup) -> Column | None:
 
 def rollup_procedures(
     stays: DataFrame, procedures: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
-) -> DataFrame:
+) -> StayTexts:
     """``title (date)`` by date; a procedure without a date has no text."""
     if may_split is None:
         may_split = bool(crowded(part_rows, {"procedures": (procedures, ("subject_id", "hadm_id"))}))
@@ -108,12 +119,13 @@ def rollup_procedures(
     item = F.concat(
         F.coalesce("long_title", F.lit(UNKNOWN_PROCEDURE)), F.lit(" ("), F.col("chartdate").cast("string"), F.lit(")")
     )
-    return ordered_text(titled, F.col("chartdate"), item, "procedure_list", part_rows, may_split)
+    texts = ordered_text(titled, F.col("chartdate"), item, "procedure_list", part_rows, may_split)
+    return StayTexts(texts, "procedure_list", None, may_split)
 
 
 def rollup_diagnoses(
     stays: DataFrame, diagnoses: DataFrame, titles: DataFrame, part_rows: int = TEXT_PART_ROWS, may_split: bool | None = None
-) -> DataFrame:
+) -> StayTexts:
     """Distinct titles in order; repeated titles are merged before they are gathered."""
     if may_split is None:
         may_split = bool(crowded(part_rows, {"diagnoses": (diagnoses, ("hadm_id",))}))
@@ -121,27 +133,19 @@ def rollup_diagnoses(
     titled = dictionary_join(joined, titles, ["icd_code", "icd_version"], "long_title")
     distinct = titled.select("stay_id", "long_title").where(F.col("long_title").isNotNull()).distinct()
     title = F.col("long_title")
-    return ordered_text(distinct, title, title, "diagnosis", part_rows, may_split)
-
-
-def with_all_stays(stays: DataFrame, rolled: DataFrame, column: str, default: Column | None, skeleton: bool = True) -> DataFrame:
-    """Add the stays without items: ``(stay_id, part, column)``."""
-    joined = stays.select("stay_id").join(rolled, "stay_id", "left")
-    text = F.coalesce(column, default) if default is not None and skeleton else F.col(column)
-    return joined.select("stay_id", F.coalesce("part", F.lit(0)).alias("part"), text.alias(column))
+    return StayTexts(ordered_text(distinct, title, title, "diagnosis", part_rows, may_split), "diagnosis", None, may_split)
 
 
-@dataclass(frozen=True)
-class StayTexts:
-    """Texts ``(stay_id, part, column)``, the text of a stay without items, and whether a stay may have several parts."""
-
-    texts: DataFrame
-    default: Column | None
-    may_split: bool
+def with_all_stays(stays: DataFrame, rolled: StayTexts, skeleton: bool = True) -> DataFrame:
+    """The texts of all stays, with and without items: ``(stay_id, part, column)``."""
+    ids = stays.select("stay_id")
+    joined = keyed_left_join(ids, rolled.texts, ["stay_id"]) if rolled.may_split else ids.join(rolled.texts, "stay_id", "left")
+    text = F.coalesce(rolled.column, rolled.default) if rolled.default is not None and skeleton else F.col(rolled.column)
+    return joined.select("stay_id", F.coalesce("part", F.lit(0)).alias("part"), text.alias(rolled.column))
 
 
-def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -> dict[str, StayTexts]:
-    """Every rollup, by result column in export order. One job tells which sources have a key beyond one part."""
+def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -> list[StayTexts]:
+    """Every rollup in export order. One job tells which sources have a key beyond one part."""
     stays = tables["icustays"]
     sources = {r.table: (tables[r.table], r.keys) for r in ROLLUPS.values()}
     sources["diagnoses_icd"] = (tables["diagnoses_icd"], ("hadm_id",))
@@ -150,45 +154,40 @@ def all_rollups(tables: dict[str, DataFrame], part_rows: int = TEXT_PART_ROWS) -
 
     def of(name: str) -> StayTexts:
         rollup = ROLLUPS[name]
-        split = rollup.table in large
-        return StayTexts(field_rollup(rollup, tables[rollup.table], stays, part_rows, split), empty_text(rollup), split)
-
-    def titled(rollup, table: str, titles: str) -> StayTexts:
-        split = table in large
-        return StayTexts(rollup(stays, tables[table], tables[titles], part_rows, split), None, split)
+        return field_rollup(rollup, tables[rollup.table], stays, part_rows, rollup.table in large)
 
-    return {
-        "chronology_of_medications": of("medications"),
-        "diagnosis": titled(rollup_diagnoses, "diagnoses_icd", "d_icd_diagnoses"),
-        "procedure_list": titled(rollup_procedures, "procedures_icd", "d_icd_procedures"),
-        "procedure_event_list": of("procedure_events"),
-        "microbiology_cultures": of("microbiology"),
-        "labevents": of("labs"),
-        "ingredient_events": of("ingredients"),
-    }
+    diagnoses, procedures = tables["diagnoses_icd"], tables["procedures_icd"]
+    return [
+        of("medications"),
+        rollup_diagnoses(stays, diagnoses, tables["d_icd_diagnoses"], part_rows, "diagnoses_icd" in large),
+        rollup_procedures(stays, procedures, tables["d_icd_procedures"], part_rows, "procedures_icd" in large),
+        of("procedure_events"),
+        of("microbiology"),
+        of("labs"),
+        of("ingredients"),
+    ]
 
 
-def assemble_wide(base: DataFrame, rollups: dict[str, StayTexts], skeleton: bool = True) -> DataFrame:
-    """Cohort rows with their seven texts: one row per stay, or one per part of an oversized stay.
+def assemble_wide(base: DataFrame, rollups: list[StayTexts], skeleton: bool = True) -> DataFrame:
+    """Cohort rows with their texts: one row per stay, or one per part of an oversized stay.
 
     Each rollup is aggregated before it is joined, so no join multiplies rows. Where every stay is in one
     part, the joins are on the stay alone and keep the partitioning the texts were gathered in.
     """
-    texts = {column: r.texts.withColumnRenamed("stay_id", "icu_stay_id") for column, r in rollups.items()}
-    large = [texts[column].select("icu_stay_id", "part") for column, r in rollups.items() if r.may_split]
+    texts = [r.texts.withColumnRenamed("stay_id", "icu_stay_id") for r in rollups]
+    large = [text.select("icu_stay_id", "part") for text, r in zip(texts, rollups) if r.may_split]
     if large:
         wide = for_all_parts(base, reduce(DataFrame.unionByName, large))
-        for text in texts.values():
+        for text in texts:
             wide = wide.join(text, ["icu_stay_id", "part"], "left")
     else:
         wide = base.withColumn("part", F.lit(0))
-        for text in texts.values():
+        for text in texts:
             wide = wide.join(text.drop("part"), "icu_stay_id", "left")
 
-    def shown(column: str) -> Column:
-        default = rollups[column].default
-        if default is None or not skeleton:
-            return F.col(column)
-        return F.when(F.col("part") == 0, F.coalesce(column, default)).otherwise(F.col(column)).alias(column)
+    def shown(r: StayTexts) -> Column:
+        if r.default is None or not skeleton:
+            return F.col(r.column)
+        return F.when(F.col("part") == 0, F.coalesce(r.column, r.default)).otherwise(F.col(r.column)).alias(r.column)
 
-    return wide.select(*base.columns, "part", *[shown(c) for c in rollups])
+    return wide.select(*base.columns, "part", *[shown(r) for r in rollups])
