@@ -62,15 +62,15 @@ _ROLLUP_SQL = {
 def _rollup_sql(name: str) -> str:
     table, keys, order, text = _ROLLUP_SQL[name]
     on = " AND ".join(f"p.{k} = i.{k}" for k in keys)
-    return f"""SELECT stay_id, string_agg(item, chr(10) ORDER BY sort_at NULLS FIRST, item) AS {rollups.ROLLUPS[name].column}
+    return f"""SELECT stay_id, 0 AS part, string_agg(item, chr(10) ORDER BY sort_at NULLS FIRST, item) AS {rollups.ROLLUPS[name].column}
       FROM (SELECT i.stay_id, {order} AS sort_at, {text} AS item FROM icustays i LEFT JOIN {table} p ON {on}) GROUP BY stay_id"""
 
 
-_PROCEDURES_SQL = """SELECT stay_id, string_agg(item, chr(10) ORDER BY sort_at NULLS FIRST, item) AS procedure_list FROM (
+_PROCEDURES_SQL = """SELECT stay_id, 0 AS part, string_agg(item, chr(10) ORDER BY sort_at NULLS FIRST, item) AS procedure_list FROM (
     SELECT i.stay_id, p.chartdate AS sort_at, coalesce(d.long_title, 'Unknown Procedure') || ' (' || cast(p.chartdate AS string) || ')' AS item
     FROM icustays i LEFT JOIN procedures_icd p ON p.subject_id = i.subject_id AND p.hadm_id = i.hadm_id
     LEFT JOIN d_icd_procedures d ON d.icd_code = p.icd_code AND d.icd_version = p.icd_version) GROUP BY stay_id"""
-_DIAGNOSES_SQL = """SELECT stay_id, string_agg(title, chr(10) ORDER BY title) AS diagnosis FROM (
+_DIAGNOSES_SQL = """SELECT stay_id, 0 AS part, string_agg(title, chr(10) ORDER BY title) AS diagnosis FROM (
     SELECT DISTINCT i.stay_id, d.long_title AS title FROM icustays i LEFT JOIN diagnoses_icd p ON p.hadm_id = i.hadm_id
     LEFT JOIN d_icd_diagnoses d ON d.icd_code = p.icd_code AND d.icd_version = p.icd_version) GROUP BY stay_id"""
 
@@ -79,7 +79,7 @@ def _one(t: Tables, name: str) -> DataFrame:
     tables = clinical_tables(t)
     rollup = rollups.ROLLUPS[name]
     rolled = rollups.field_rollup(rollup, tables[rollup.table], tables["icustays"])
-    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled)
 
 
 for _name in _ROLLUP_SQL:
@@ -90,14 +90,14 @@ for _name in _ROLLUP_SQL:
 def rollup_procedures(t: Tables) -> DataFrame:
     tables = clinical_tables(t)
     rolled = rollups.rollup_procedures(tables["icustays"], tables["procedures_icd"], tables["d_icd_procedures"])
-    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled)
 
 
 @query("rollup_diagnoses", with_views(_DIAGNOSES_SQL))
 def rollup_diagnoses(t: Tables) -> DataFrame:
     tables = clinical_tables(t)
     rolled = rollups.rollup_diagnoses(tables["icustays"], tables["diagnoses_icd"], tables["d_icd_diagnoses"])
-    return rollups.with_all_stays(tables["icustays"], rolled).drop("part")
+    return rollups.with_all_stays(tables["icustays"], rolled)
 
 
 def _renames(columns: dict[str, str], table: str) -> str:
@@ -131,14 +131,14 @@ _TEXTS = ["chronology_of_medications", "diagnosis", "procedure_list", "procedure
 _WIDE_SQL = f"""WITH base AS ({_BASE_SQL}), r1 AS ({_rollup_sql("medications")}), r2 AS ({_DIAGNOSES_SQL}), r3 AS ({_PROCEDURES_SQL}),
   r4 AS ({_rollup_sql("procedure_events")}), r5 AS ({_rollup_sql("microbiology")}), r6 AS ({_rollup_sql("labs")}),
   r7 AS ({_rollup_sql("ingredients")})
-  SELECT b.*, {", ".join(f"md5(r{i + 1}.{c}) AS {c}" for i, c in enumerate(_TEXTS))} FROM base b
+  SELECT b.*, 0 AS part, {", ".join(f"md5(r{i + 1}.{c}) AS {c}" for i, c in enumerate(_TEXTS))} FROM base b
   {" ".join(f"LEFT JOIN r{i} ON r{i}.stay_id = b.icu_stay_id" for i in range(1, 8))}"""
 
 
 @query("assemble_wide", with_views(_WIDE_SQL))
 def assemble_wide(t: Tables) -> DataFrame:
     wide = exports.wide_export(clinical_tables(t))
-    return wide.drop("part").withColumns({c: F.md5(c) for c in _TEXTS})
+    return wide.withColumns({c: F.md5(c) for c in _TEXTS})
 
 
 _FINAL = "CASE WHEN a.hospital_expire_flag = 1 THEN a.deathtime ELSE i.outtime END"
@@ -185,11 +185,12 @@ def _flat(arrays: DataFrame) -> DataFrame:
     return events.event_flatten(arrays).withColumn("event_text", F.md5("event_text"))
 
 
-@query("event_array", with_views(f"SELECT icu_stay_id, count(*) AS events, md5(string_agg(event_type || ':' || coalesce(event_text, '-'), ',' ORDER BY pos)) AS digest FROM ({_POSITION_SQL}) GROUP BY icu_stay_id"))
+@query("event_array", with_views(f"""SELECT icu_stay_id, (pos // {events.EVENT_PART_ROWS})::int AS part, count(*) AS events,
+  md5(string_agg(event_type || ':' || coalesce(event_text, '-'), ',' ORDER BY pos)) AS digest FROM ({_POSITION_SQL}) GROUP BY 1, 2"""))
 def event_array(t: Tables) -> DataFrame:
     arrays = exports.event_arrays_of(clinical_tables(t))
     shown = F.transform("events", lambda e: F.concat(e["event_type"], F.lit(":"), F.coalesce(F.md5(e["event_text"]), F.lit("-"))))
-    return arrays.select("icu_stay_id", F.size("events").cast("long").alias("events"), F.md5(F.array_join(shown, ",")).alias("digest"))
+    return arrays.select("icu_stay_id", "part", F.size("events").cast("long").alias("events"), F.md5(F.array_join(shown, ",")).alias("digest"))
 
 
 @query("event_flatten", with_views(_POSITION_SQL))
