@@ -396,7 +396,7 @@ def fn_sin_cos_pow(t: Tables) -> DataFrame:
 
 @query("fn_exp_log", "SELECT event_id, round(exp(-value / 100), 6) AS e, round(ln(value), 6) AS l FROM events")
 def fn_exp_log(t: Tables) -> DataFrame:
-    return t.events.select("event_id", rounded(F.exp(-F.col("value") / 100)).alias("e"), rounded(F.ln("value")).alias("l"))
+    return t.events.select("event_id", rounded(F.exp(-F.col("value") / 100)).alias("e"), rounded(scalars.natural_log(F.col("value"))).alias("l"))
 
 
 @query("fn_sigmoid", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS p FROM events")

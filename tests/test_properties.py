@@ -53,6 +53,11 @@ def test_loss_is_clamped_and_ignores_missing_probabilities(spark):
     assert [r[0] for r in rows.select(scalars.cross_entropy(F.col("p"), F.col("y"))).collect()] == [100.0, 0.0, pytest.approx(math.log(2)), None]
 
 
+def test_natural_log_at_and_below_zero(spark):
+    row = one(spark, *[scalars.natural_log(F.lit(x).cast("double")).alias(n) for n, x in (("a", 1.0), ("b", 0.0), ("c", -1.0), ("d", None))])
+    assert row.a == 0.0 and row.b == float("-inf") and math.isnan(row.c) and row.d is None
+
+
 def test_waves(spark):
     row = one(spark, vectors.time_waves(F.lit(0.7), 16).alias("t"), vectors.position_waves(F.lit(3), 8).alias("p"))
     assert row.t == pytest.approx([math.cos(0.7 / 10000 ** (i / 16)) if i % 2 else math.sin(0.7 / 10000 ** (i / 16)) for i in range(16)])

@@ -44,6 +44,11 @@ def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
+def natural_log(x: Column) -> Column:
+    """Natural logarithm with minus infinity at zero and NaN below, where Spark gives NULL."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def _floored_log(x: Column) -> Column:
     # ln(0) is NULL in Spark and minus infinity in the loss; both end at the floor
     return F.greatest(F.coalesce(F.ln(x), F.lit(LOG_FLOOR)), F.lit(LOG_FLOOR))
