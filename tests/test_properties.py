@@ -106,6 +106,12 @@ def test_split_covers_every_key_once_with_rounded_shares(spark, hot_rows):
     assert sorted(rows) == sorted(again)
 
 
+def test_rows_without_a_label_are_training_rows(spark):
+    df = spark.createDataFrame([(i, None if i < 3 else 1) for i in range(13)], "id int, y int")
+    found = {r.id: r.split for r in split.stratified_split(df, "id", "y").collect()}
+    assert [found[i] for i in range(3)] == ["train"] * 3 and sorted(found.values()).count("test") == 2
+
+
 def test_datasets_are_read_by_split(spark, tmp_path):
     rows = split.stratified_split(spark.range(50).withColumn("y", F.lit(1)), "id", "y")
     split.write_datasets(rows, str(tmp_path / "sets"))

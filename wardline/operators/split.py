@@ -21,7 +21,7 @@ def key_hash(key: Column, seed: int = SEED) -> Column:
 
 def label_sizes(df: DataFrame, label: str, limit: int = MAX_LABELS) -> Column:
     """Rows per label as a map. More than ``limit`` labels raise an error."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1)
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1)
     as_map = counts.agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("sizes"), F.count(F.lit(1)).alias("labels"))
     error = F.raise_error(F.lit(f"{label}: more than {limit} labels")).cast(as_map.schema["sizes"].dataType)
     return as_map.select(F.when(F.col("labels") > limit, error).otherwise(F.col("sizes"))).scalar()
@@ -43,7 +43,8 @@ def stratified_split(
     """Add ``split``: within each label, the first keys in hash order are test, then validation.
 
     Shares are rounded half up per label, validation is a share of what the test set leaves. A label
-    may hold most of the rows, so its order is taken in slices (see ``ordered``).
+    may hold most of the rows, so its order is taken in slices (see ``ordered``). Rows without a label
+    are training rows.
     """
     hashed = df.withColumn("_hash", key_hash(F.col(key), seed))
     placed = with_position(hashed, [label], [F.col("_hash"), F.col(key)], "_place", hot_rows)
