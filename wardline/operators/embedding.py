@@ -70,6 +70,7 @@ def embed_text(spark: SparkSession, df: DataFrame, text: str, cache_path: str, e
 
     Each distinct text is encoded once, however many rows share it.
     """
+    cache.vector_cache_create(spark, cache_path)
     misses = cache.vector_cache_misses(cache.distinct_texts(df, text), cache.vector_cache_scan(spark, cache_path))
     fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
     cache.vector_cache_append(fresh, cache_path)

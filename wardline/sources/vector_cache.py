@@ -26,6 +26,11 @@ def vector_cache_scan(spark: SparkSession, path: str) -> DataFrame:
     return cached.dropDuplicates(["text_md5"])
 
 
+def vector_cache_create(spark: SparkSession, path: str) -> None:
+    """Make an empty cache unless there is one."""
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(path)
+
+
 def vector_cache_append(vectors: DataFrame, path: str) -> None:
     vectors.select("text_md5", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(path)
 
