@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.byte_bpe import encode_documents
 from wardline.llm.common import read_table
+from wardline.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,3 +24,8 @@ def register(function):
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@register
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
