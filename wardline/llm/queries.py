@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from wardline.llm.byte_bpe import encode_documents
 from wardline.llm.common import read_table
 from wardline.llm.packing import pack_documents
+from wardline.llm.quality import score_quality
+from wardline.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +31,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
