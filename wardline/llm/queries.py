@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm.byte_bpe import encode_documents
 from wardline.llm.common import read_table
+from wardline.llm.exact_dedup import exact_duplicates
 from wardline.llm.packing import pack_documents
 from wardline.llm.quality import score_quality
+from wardline.llm.secrets import scan_secrets
 from wardline.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +43,28 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@register
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op6_exact_dedup"] = """
+WITH texts AS (
+  SELECT doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
+  FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY norm) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept,
+       sha256(norm) AS text_sha256
+FROM texts
+"""
+
+
+@register
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
