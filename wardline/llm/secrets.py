@@ -1,0 +1,162 @@
+"""Secret scans with multipart linking, with DataFrame functions only.
+
+Strong spans (``assign``, ``access``, ``hex``) always count. Weak ones (``id``: access identifiers of other forms,
+``secret``: bare 40-character tokens with a digit, ``endpoint``: URLs) are reported only where complementary parts lie
+in their scope, SCOPE characters to either side: an id beside a secret, a secret beside an id, an endpoint beside both.
+That interval join is two sweeps over the ordered spans of a text, so it is linear in them and moves no row.
+
+Null or empty text has no span. Each row is judged on its own, so repeated rows, a null doc_id and rows in any order
+give the same result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from wardline.llm.common import documents_of, free_name
+
+KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
+_ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS = r"AKIA[A-Z0-9]{12,}"
+_HEX = r"[0-9a-f]{32,}"
+_ID = (
+    r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""
+    r"""|(?i:access|client|account)[_-]?(?i:key[_-]?)?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,})"""
+)
+_SECRET = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+_ENDPOINT = r"""(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s"'<>]*"""
+SCOPE = 256
+_FAR = 1 << 30
+_SPANS = "array<struct<start: int, kind: int, end: int>>"
+
+
+def _found(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
+    """Spans of the matches whose ``value_group`` has at least ``least`` characters, in order."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+    # text between the matches and the matches themselves, in turn, give the places
+    gaps = F.split(text, pattern, -1)
+    empty = F.array().cast(_SPANS)
+
+    def step(so_far: Column, part: Column) -> Column:
+        start = so_far["at"] + F.length(part["gap"])
+        end = start + F.length(part["whole"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        keep = F.length(part["value"]) >= least
+        return F.struct(end.alias("at"), F.when(keep, F.concat(so_far["out"], F.array(span))).otherwise(so_far["out"]).alias("out"))
+
+    parts = F.arrays_zip(
+        F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value")
+    )
+    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda so_far: so_far["out"])
+    return F.when(F.size(whole) > 0, walked).otherwise(empty)
+
+
+def base_spans(text: Column) -> Column:
+    """The strong spans, ordered by start and kind."""
+    return F.array_sort(F.concat(
+        _found(text, _ASSIGN, 0, value_group=2, least=8), _found(text, _ACCESS, 1), _found(text, _HEX, 2),
+    ))
+
+
+def _weak_spans(text: Column) -> Column:
+    return F.concat(_found(text, _ID, 3), _found(text, _SECRET, 4), _found(text, _ENDPOINT, 5))
+
+
+def _linked(base: Column, weak: Column) -> Column:
+    """All spans in order: the strong ones and the weak ones with their complements in scope."""
+    is_id = lambda p: p["kind"].isin(1, 3)
+    is_secret = lambda p: p["kind"].isin(0, 2, 4)
+    fields = "start: int, kind: int, end: int, id: int, secret: int, covered: int"
+
+    def forward(so_far: Column, p: Column) -> Column:
+        seen = F.struct(
+            p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"),
+            so_far["id"].alias("id"), so_far["secret"].alias("secret"), so_far["covered"].alias("covered"),
+        )
+        return F.struct(
+            F.greatest(so_far["id"], F.when(is_id(p), p["end"]).otherwise(-_FAR)).alias("id"),
+            F.greatest(so_far["secret"], F.when(is_secret(p), p["end"]).otherwise(-_FAR)).alias("secret"),
+            F.greatest(so_far["covered"], F.when(p["kind"] < 3, p["end"]).otherwise(-_FAR)).alias("covered"),
+            F.concat(so_far["out"], F.array(seen)).alias("out"),
+        )
+
+    def backward(so_far: Column, p: Column) -> Column:
+        near_id = (p["start"] - p["id"] <= SCOPE) | (so_far["id"] - p["end"] <= SCOPE)
+        near_secret = (p["start"] - p["secret"] <= SCOPE) | (so_far["secret"] - p["end"] <= SCOPE)
+        linked = (
+            F.when(p["kind"] == 3, near_secret).when(p["kind"] == 4, near_id).when(p["kind"] == 5, near_id & near_secret)
+        )
+        reported = (p["kind"] < 3) | ((p["start"] >= p["covered"]) & linked)
+        span = F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
+        return F.struct(
+            F.least(so_far["id"], F.when(is_id(p), p["start"]).otherwise(_FAR)).alias("id"),
+            F.least(so_far["secret"], F.when(is_secret(p), p["start"]).otherwise(_FAR)).alias("secret"),
+            F.when(reported, F.concat(so_far["out"], F.array(span))).otherwise(so_far["out"]).alias("out"),
+        )
+
+    ordered = F.array_sort(F.concat(base, weak))
+    seen = F.aggregate(
+        ordered,
+        F.struct(
+            F.lit(-_FAR).alias("id"), F.lit(-_FAR).alias("secret"), F.lit(-_FAR).alias("covered"),
+            F.array().cast(f"array<struct<{fields}>>").alias("out"),
+        ),
+        forward, lambda so_far: so_far["out"],
+    )
+    reported = F.aggregate(
+        F.reverse(seen),
+        F.struct(F.lit(_FAR).alias("id"), F.lit(_FAR).alias("secret"), F.array().cast(_SPANS).alias("out")),
+        backward, lambda so_far: so_far["out"],
+    )
+    return F.when(F.size(weak) > 0, F.reverse(reported)).otherwise(base)
+
+
+def _as_text(spans: Column) -> Column:
+    names = F.array(*[F.lit(kind) for kind in KINDS])
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def _with_spans(rows: DataFrame, text: Column) -> tuple[DataFrame, str, str]:
+    """``rows`` with the strong spans and with all spans, each pattern matched once; the names of the two columns."""
+    base, weak, reported = (free_name(rows, name) for name in ("base_spans", "weak_spans", "all_spans"))
+    rows = rows.withColumn(base, base_spans(text)).withColumn(weak, _weak_spans(text))
+    return rows.withColumn(reported, _linked(F.col(base), F.col(weak))).drop(weak), base, reported
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every whole text."""
+    found, base, reported = _with_spans(documents_of(docs), F.col("text"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(_as_text(F.col(base)).cast("binary"), 256).alias("base_sha256"),
+        _as_text(F.col(reported)).alias("spans"),
+    )
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every reported span replaced by ``mask``; ``n_chars`` follows the text. Null text stays null."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found, _, reported = _with_spans(docs, text)
+
+    def step(so_far: Column, span: Column) -> Column:
+        before = F.substring(text, so_far["at"] + 1, span["start"] - so_far["at"])
+        apart = span["start"] >= so_far["at"]
+        return F.struct(
+            F.greatest(so_far["at"], span["end"]).alias("at"),
+            F.when(apart, F.concat(so_far["out"], F.array(before, F.lit(mask)))).otherwise(so_far["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate(
+        reported, start, step,
+        lambda so_far: F.concat(F.array_join(so_far["out"], ""), F.substring(text, so_far["at"] + 1, F.length(text))),
+    )
+    found = found.withColumn("text", F.when(F.size(reported) > 0, masked).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(reported) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
