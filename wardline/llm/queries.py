@@ -14,6 +14,7 @@ from wardline.llm.packing import pack_documents
 from wardline.llm.quality import score_quality
 from wardline.llm.secrets import scan_secrets
 from wardline.llm.toxicity import score_toxicity
+from wardline.llm.url_filter import filter_urls, word_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +69,9 @@ FROM texts
 @register
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_urls(pages, word_counts(pages, "html"))
