@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from wardline.llm.byte_bpe import encode_documents
 from wardline.llm.common import read_table
 from wardline.llm.exact_dedup import exact_duplicates
+from wardline.llm.fingerprint import fingerprint_documents
 from wardline.llm.packing import pack_documents
 from wardline.llm.quality import score_quality
-from wardline.llm.secrets import scan_secrets
+from wardline.llm.secret_scan import scan_secrets
 from wardline.llm.toxicity import score_toxicity
 from wardline.llm.url_filter import filter_urls, word_counts
 
@@ -75,3 +76,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     return filter_urls(pages, word_counts(pages, "html"))
+
+
+@register
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
