@@ -11,6 +11,7 @@ from wardline.llm.byte_bpe import encode_documents
 from wardline.llm.common import read_table
 from wardline.llm.exact_dedup import exact_duplicates
 from wardline.llm.fingerprint import fingerprint_documents
+from wardline.llm.near_dedup import near_duplicates
 from wardline.llm.packing import pack_documents
 from wardline.llm.quality import score_quality
 from wardline.llm.secret_scan import scan_secrets
@@ -81,3 +82,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, parts=85, whole=100)
