@@ -15,6 +15,7 @@ from wardline.llm.near_dedup import near_duplicates
 from wardline.llm.packing import pack_documents
 from wardline.llm.quality import score_quality
 from wardline.llm.secret_scan import scan_secrets
+from wardline.llm.suffix_dedup import repeated_passages
 from wardline.llm.toxicity import score_toxicity
 from wardline.llm.url_filter import filter_urls, word_counts
 
@@ -87,3 +88,8 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, parts=85, whole=100)
+
+
+@register
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
