@@ -52,6 +52,17 @@ def documents_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
+#: Ids to leave out are sent to the documents up to this number (8 bytes each); more are joined by a shuffle.
+MOST_SENT = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; rows without doc_id stay."""
+    ids = stored(ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    few = ids.count() <= MOST_SENT
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["gone"], "left_anti")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` is called so in any case."""
     taken = {column.lower() for column in df.columns}

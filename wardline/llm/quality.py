@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import bound_batches
+from wardline.llm.common import bound_batches, free_name
 from wardline.llm.linear import SLOTS, TRAINING_ROWS, Ftrl, fit_once, held_out, mix, sigmoid, training_rows
 
 _SIGNS = re.compile(r"[^\W_]+")
@@ -106,3 +106,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS,
         quality_score(docs, fit_quality(docs, labels, rows), F.col("text")).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, corpus: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold`` by a model learnt from the labelled rows of ``corpus``."""
+    score = free_name(docs, "quality_score")
+    scored = docs.withColumn(score, quality_score(docs, fit_quality(corpus, labels, rows), F.col("text")))
+    return scored.where(F.col(score) >= threshold).select(docs.columns)
