@@ -13,6 +13,7 @@ from suite.feature_queries import _POSITIONS_SQL, _SPLIT_SQL, order, split_label
 from suite.registry import Tables, query, rounded
 from wardline.functions import scalars, vectors
 from wardline.operators import attention, attribution, fits, scoring, sequences
+from wardline.session import stored
 
 _LONG_SQL = "SELECT vec_id, label, unnest(embedding)::double AS v, generate_subscripts(embedding, 1)::int - 1 AS i FROM embeddings"
 _ATTENTION_SQL = f"SELECT label % 4 AS layer, vec_id % 4 AS batch, label AS head, i // 8 AS q, i % 8 AS k, v AS weight FROM ({_LONG_SQL})"
@@ -155,12 +156,18 @@ def static_attribution_mean(t: Tables) -> DataFrame:
     return _round(attribution.static_attribution_mean(_long(t).select(F.col("i").alias("dim"), F.col("v").alias("value"))), "mean_value")
 
 
-@query("temporal_attribution", f"""SELECT head, rank, e.pos, round(importance, 5) AS importance, user_id, event_id, event_type FROM (SELECT *, row_number() OVER
-  (PARTITION BY head ORDER BY importance DESC NULLS LAST, pos) - 1 AS rank FROM ({_IMPORTANCE_SQL})) p JOIN ({_POSITIONS_SQL}) e ON e.pos = p.pos WHERE rank < 5""")
+_POSITION_WEIGHT_SQL = f"SELECT user_id, event_id % 3 AS head, pos, (event_id * 7919 % 10007) / 10007::double AS weight FROM ({_POSITIONS_SQL})"
+
+
+@query("temporal_attribution", f"""SELECT w.user_id, head, rank, w.pos, round(weight, 5) AS weight, event_id, event_type FROM (SELECT *, row_number() OVER
+  (PARTITION BY user_id, head ORDER BY weight DESC NULLS LAST, pos) - 1 AS rank FROM ({_POSITION_WEIGHT_SQL})) w
+  JOIN ({_POSITIONS_SQL}) e ON e.user_id = w.user_id AND e.pos = w.pos WHERE rank < 5""")
 def temporal_attribution(t: Tables) -> DataFrame:
-    importance = attention.position_importance(pooling_table(t)).withColumn("pos", F.col("pos").cast("long"))
+    """Weights of the steps of each user, a head for every third event."""
     placed = sequences.position_index(steps(t).select("user_id", "event_id", "event_type", "minutes"), "user_id", order()).drop("minutes")
-    return _round(attention.temporal_attribution(importance, placed), "importance")
+    weight = (F.col("event_id") * 7919 % 10007) / F.lit(10007.0)
+    weights = placed.select("user_id", (F.col("event_id") % 3).alias("head"), "pos", weight.alias("weight"))
+    return _round(attention.temporal_attribution(weights, placed, "user_id"), "weight")
 
 
 # ---- softmax pooling ----
@@ -169,6 +176,7 @@ _QUERY_SQL = "((i * 7 % 5) - 2) / 2::double"
 _SCORE_SQL = f"SELECT vec_id, label, sum(v * {_QUERY_SQL}) / sqrt(64::double) AS score FROM ({_LONG_SQL}) GROUP BY vec_id, label"
 _WEIGHT_SQL = f"""SELECT vec_id, label, exp(score - max(score) OVER w) / sum(exp(score)) OVER w * exp(max(score) OVER w) AS weight FROM ({_SCORE_SQL})
   WINDOW w AS (PARTITION BY label)"""
+_LOOSE_SQL = _WEIGHT_SQL.replace(f"FROM ({_SCORE_SQL})", f"FROM (SELECT vec_id, nullif(label, 3) AS label, score FROM ({_SCORE_SQL}))")
 
 
 def query_vector() -> Column:
@@ -176,10 +184,11 @@ def query_vector() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((i * 7) % 5 - 2) / F.lit(2.0))
 
 
-@query("softmax_pool_weights", f"SELECT vec_id, label, round(weight, 6) AS weight FROM ({_WEIGHT_SQL})")
+@query("softmax_pool_weights", f"SELECT vec_id, label, round(weight, 6) AS weight FROM ({_LOOSE_SQL})")
 def softmax_pool_weights(t: Tables) -> DataFrame:
+    """Rows without a label are a group as well."""
     score = attention.attention_score(F.col("embedding"), query_vector(), 64)
-    scored = t.embeddings.select("vec_id", "label", score.alias("score"))
+    scored = t.embeddings.select("vec_id", F.nullif("label", F.lit(3)).alias("label"), score.alias("score"))
     return _round(attention.softmax_pool_weights(scored, ["label"], "score").drop("score"), "weight", places=6)
 
 
@@ -267,11 +276,44 @@ def feature_ablation(t: Tables) -> DataFrame:
     return _round(scoring.feature_ablation(t.embeddings, "embedding", score, _GROUPS), "mean_change", places=6)
 
 
-@query("mortality_baseline")
+REGULARIZATION = 0.01
+
+
+@query("mortality_baseline", f"""WITH d AS (SELECT doc_id, lang, source FROM documents), n AS (SELECT (SELECT count(DISTINCT lang) FROM d) + (SELECT count(DISTINCT source) FROM d) + 1 AS slots),
+  train AS (SELECT avg(quality) AS rate FROM ({_SPLIT_SQL}) x JOIN d USING (doc_id) WHERE split = 'train')
+  SELECT i::int AS slot, 0.0::double AS gradient, NULL::double AS rate FROM n, range(slots) r(i) UNION ALL SELECT -1, NULL, round(rate, 3) FROM train""")
 def mortality_baseline(t: Tables) -> DataFrame:
-    """Predicted quality of the labelled documents, trained on the training split."""
+    """What makes the fitted model the best one: on the training rows the gradient of the penalised loss is zero in every slot
+    (on the scale of the standardised inputs), and the mean predicted probability is the rate of the label."""
     documents = t.documents.select("doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
     rows = split_labels(t).join(documents, "doc_id")
-    features = rows.withColumn("features", fits.static_vector(documents, ["lang", "source"], "n_chars"))
-    model = scoring.mortality_baseline(features.where(F.col("split") == "train"), "features", "quality")
-    return scoring.score_baseline(model, features, "features").select("doc_id", "split", "quality", "probability")
+    fitted = fits.fit(documents, ["lang", "source"], ["n_chars"], fits.UNKNOWN)
+    features = rows.withColumn("features", fits.static_vector(fitted, ["lang", "source"], "n_chars"))
+    train = stored(features.where(F.col("split") == "train").select("features", "quality"), "train")
+    model = scoring.mortality_baseline(train, "features", "quality", max_iter=200, regularization=REGULARIZATION)
+    scored = scoring.score_baseline(model, train, "features")
+    gradients = scoring.loss_gradient(scored, model, "features", "quality", "probability", REGULARIZATION)
+    rate = scored.agg(F.lit(-1).alias("slot"), F.lit(None).cast("double").alias("gradient"), F.round(F.avg("probability"), 3).alias("rate"))
+    return gradients.select("slot", (F.round("gradient", 3) + 0.0).alias("gradient"), F.lit(None).cast("double").alias("rate")).unionByName(rate)
+
+
+@query("attribution_histogram", f"""WITH w AS ({_LONG_SQL}), e AS (SELECT min(v) AS low, max(v) AS high FROM w)
+  SELECT b.bin::int AS bin, count(v) AS n FROM range(50) b(bin) LEFT JOIN
+  (SELECT v, least(floor((v - low) / ((high - low) / 50)), 49) AS bin FROM w, e) x ON x.bin = b.bin GROUP BY b.bin""")
+def attribution_histogram(t: Tables) -> DataFrame:
+    return attribution.attribution_histogram(_long(t).select(F.col("v").alias("value")))
+
+
+@query("static_feature_attribution", f"""WITH pooled AS (SELECT label, i, avg(v) AS x FROM ({_LONG_SQL}) GROUP BY label, i),
+  x AS (SELECT label, i, x FROM pooled UNION ALL SELECT label, 64, count(*)::double / 100 FROM embeddings GROUP BY label),
+  z AS (SELECT label, sum(x * ((i * 5 % 7) - 3) / 4::double) + {BIAS}::double AS z FROM x GROUP BY label)
+  SELECT i AS dim, round(avg(x * (((i * 5) % 7) - 3) / 4::double * CASE WHEN abs(z - ({BIAS})) < 1e-9 THEN {_SIG_B} * (1 - {_SIG_B})
+  ELSE (1 / (1 + exp(-z)) - {_SIG_B}) / (z - ({BIAS})) END), 6) AS mean_value FROM x JOIN z USING (label) GROUP BY i""")
+def static_feature_attribution(t: Tables) -> DataFrame:
+    """Attribution of mean-pooled sequences joined with a static feature, averaged over the sequences."""
+    pooled = sequences.sequence_mean_pool(t.embeddings, "label", "embedding")
+    static = t.embeddings.groupBy("label").agg(F.array(F.count(F.lit(1)) / F.lit(100.0)).alias("static"))
+    both = pooled.join(static, "label").select("label", scoring.combine_features(F.col("pooled"), F.col("static")).alias("x"))
+    longer = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: ((i * 5) % 7 - 3) / F.lit(4.0))
+    values = scoring.integrated_gradients(both, "label", "x", longer, BIAS)
+    return _round(attribution.static_attribution_mean(values), "mean_value", places=6)

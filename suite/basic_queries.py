@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,34 +10,64 @@ from pyspark.sql import functions as F
 
 from suite.registry import Tables, query, rounded
 from wardline.functions import scalars, text, vectors
-from wardline.operators import cohort, embedding, fits, ordered, split
+from wardline.operators import cohort, embedding, fits, ordered, sequences, split
 from wardline.session import scratch_path
 from wardline.sources import tables, vector_cache
 
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
-         "benchmark", "labels", "conversations"]
+# the declared schemas; money is declared as decimal and keys as long, so the scan has something to bring into shape
+SCHEMAS = {
+    "region": "r_regionkey bigint, r_name string",
+    "nation": "n_nationkey bigint, n_name string, n_regionkey bigint",
+    "customer": "c_custkey bigint, c_name string, c_nationkey bigint, c_acctbal decimal(12,2), c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey bigint, s_acctbal decimal(12,2)",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice decimal(12,2)",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice decimal(12,2), o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber bigint, l_quantity double, l_extendedprice decimal(12,2), "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 # ---- sources and sinks ----
 
 
+def _first_columns(ddl: str) -> tuple[str, str]:
+    """The first column, and the first column of text."""
+    columns = [c.strip().split(" ") for c in re.split(r",(?![0-9])", ddl)]
+    return columns[0][0], next((name for name, kind in columns if kind == "string"), columns[0][0])
+
+
 @query("scan_tables", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows, (SELECT count(*)::int FROM (DESCRIBE {n})) AS n_columns FROM {n}" for n in NAMES))
+    f"""SELECT '{n}' AS table_name, count(*) AS n_rows, {len(re.split(r",(?![0-9])", ddl))} AS n_columns, '{ddl.replace(", ", ",")}' AS columns,
+    sum({_first_columns(ddl)[0]})::bigint AS keys, count(DISTINCT {_first_columns(ddl)[1]}) AS texts FROM {n}""" for n, ddl in SCHEMAS.items()))
 def scan_tables(t: Tables) -> DataFrame:
-    def summary(name: str) -> DataFrame:
-        df = tables.conform(getattr(t, name), getattr(t, name).schema, name)
-        return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+    def summary(name: str, df: DataFrame) -> DataFrame:
+        key, text_column = _first_columns(SCHEMAS[name])
+        return df.agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+            F.lit(",".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)).alias("columns"),
+            F.sum(key).alias("keys"), F.countDistinct(text_column).alias("texts"),
+        )
 
-    return reduce(DataFrame.unionByName, [summary(n) for n in NAMES])
+    found = tables.scan_tables(t.spark, t.root, SCHEMAS, SCHEMAS)
+    return reduce(DataFrame.unionByName, [summary(n, df) for n, df in found.items()])
 
 
 _TEXT_SHARDS_SQL = """SELECT conv_id, turn, role, md5(text) AS text_md5, length(text) AS chars FROM conversations"""
 
 
-@query("scan_csv", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+@query("scan_csv", """SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_id % 7 > 2 THEN props END AS props FROM events""")
 def scan_csv(t: Tables) -> DataFrame:
+    """Words that stand for a missing value read as NULL."""
     path = scratch_path(t.spark, "csv")
-    tables.write_csv_shards(t.events, path)
+    word = F.get(F.array(F.lit("NA"), F.lit("None"), F.lit("null")), (F.col("event_id") % 7).cast("int"))
+    tables.write_csv_shards(t.events.withColumn("props", F.when(F.col("event_id") % 7 > 2, F.col("props")).otherwise(word)), path)
     return tables.scan_csv(t.spark, path, EVENTS_DDL)
 
 
@@ -68,13 +99,12 @@ VECTORS_SQL = """SELECT md5(text) AS text_md5, arg_min(embedding, vec_id) AS emb
   GROUP BY md5(text)"""
 
 
-@query("vector_cache_scan", f"""WITH cache AS ({VECTORS_SQL}) SELECT text_md5, len(embedding)::int AS width, round(list_sum(embedding::double[]), 5) AS total FROM cache""")
+@query("vector_cache_scan", f"""WITH cache AS ({VECTORS_SQL}) SELECT text_md5, generate_subscripts(embedding, 1)::int - 1 AS slot, unnest(embedding) AS value FROM cache""")
 def vector_cache_scan(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "cache")
     vector_cache.vector_cache_append(text_vectors(t), path)
     cache = vector_cache.vector_cache_scan(t.spark, path)
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return cache.select("text_md5", F.size("embedding").alias("width"), rounded(total, 5).alias("total"))
+    return cache.select("text_md5", F.posexplode("embedding").alias("slot", "value"))
 
 
 @query("vector_cache_append", f"""WITH cache AS ({VECTORS_SQL}) SELECT count(*) AS vectors, count(DISTINCT text_md5) AS texts FROM cache""")
@@ -82,9 +112,7 @@ def vector_cache_append(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "cache")
     fresh = text_vectors(t)
     vector_cache.vector_cache_append(fresh, path)
-    # the second append finds nothing new
-    known = vector_cache.vector_cache_scan(t.spark, path)
-    vector_cache.vector_cache_append(fresh.join(known.select("text_md5"), "text_md5", "left_anti"), path)
+    vector_cache.vector_cache_append(fresh, path)  # finds nothing new
     stored = t.spark.read.schema(vector_cache.CACHE_SCHEMA).parquet(path)
     return stored.agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("text_md5").alias("texts"))
 
@@ -280,27 +308,30 @@ def unused_lookup(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey").join(lines, "o_orderkey")
 
 
-@query("vector_cache_lookup", f"""WITH cache AS ({VECTORS_SQL}) SELECT doc_id, md5(text) AS text_md5, round(embedding[1]::double, 6) AS first
+@query("vector_cache_lookup", f"""WITH cache AS ({VECTORS_SQL}) SELECT doc_id, md5(text) AS text_md5,
+  coalesce(array_to_string([round(x::double * 10000)::bigint for x in embedding], ','), '-') AS slots
   FROM documents LEFT JOIN cache ON cache.text_md5 = md5(text)""")
 def vector_cache_lookup(t: Tables) -> DataFrame:
     found = vector_cache.vector_cache_lookup(t.documents.select("doc_id", "text"), "text", text_vectors(t))
-    return found.select("doc_id", "text_md5", rounded(F.col("embedding")[0].cast("double")).alias("first"))
+    shown = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",")
+    return found.select("doc_id", "text_md5", F.coalesce(shown, F.lit("-")).alias("slots"))
 
 
 @query("vector_cache_misses", f"""WITH cache AS ({VECTORS_SQL}) SELECT DISTINCT md5(text) AS text_md5 FROM documents
   WHERE md5(text) NOT IN (SELECT text_md5 FROM cache)""")
 def vector_cache_misses(t: Tables) -> DataFrame:
-    return vector_cache.vector_cache_misses(vector_cache.distinct_texts(t.documents, "text"), text_vectors(t)).select("text_md5")
+    return vector_cache.vector_cache_misses(vector_cache.distinct_keys(t.documents, "text"), text_vectors(t))
 
 
 @query("align_by_index", """SELECT user_id, n AS steps, c_mktsegment AS segment, label FROM
-  (SELECT user_id, count(*) AS n, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS label FROM events GROUP BY user_id)
-  JOIN customer ON c_custkey = user_id""")
+  (SELECT user_id, count(*) AS n, arg_min(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, event_id) AS label FROM events GROUP BY user_id)
+  LEFT JOIN customer ON c_custkey = user_id""")
 def align_by_index(t: Tables) -> DataFrame:
-    sequences = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"))
-    labels = t.events.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("label"))
+    lengths = sequences.sequence_lengths(t.events, "user_id").withColumnRenamed("length", "steps")
+    marked = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"))
+    labels = sequences.first_row_per_entity(marked, "user_id", ["label"], [F.col("event_id")])
     statics = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    return sequences.join(statics, "user_id").join(labels, "user_id")
+    return sequences.align_by_entity(lengths, statics, labels, "user_id")
 
 
 # ---- scalar functions ----

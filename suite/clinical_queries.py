@@ -185,12 +185,20 @@ def _flat(arrays: DataFrame) -> DataFrame:
     return events.event_flatten(arrays).withColumn("event_text", F.md5("event_text"))
 
 
-@query("event_array", with_views(f"""SELECT icu_stay_id, (pos // {events.EVENT_PART_ROWS})::int AS part, count(*) AS events,
-  md5(string_agg(event_type || ':' || coalesce(event_text, '-'), ',' ORDER BY pos)) AS digest FROM ({_POSITION_SQL}) GROUP BY 1, 2"""))
+@query("event_array", with_views(f"""SELECT icu_stay_id, (pos // {events.EVENT_PART_ROWS})::int AS part, min(pos) AS first_pos, count(*) AS events,
+  md5(string_agg(coalesce(strftime(event_time::timestamp, '%Y-%m-%d %H:%M:%S'), '-') || ':' || event_type || ':' || coalesce(event_text, '-') || ':' ||
+  coalesce(relative_time_to_final_event::varchar, '-'), ',' ORDER BY pos)) AS digest FROM ({_POSITION_SQL}) GROUP BY 1, 2"""))
 def event_array(t: Tables) -> DataFrame:
     arrays = exports.event_arrays_of(clinical_tables(t))
-    shown = F.transform("events", lambda e: F.concat(e["event_type"], F.lit(":"), F.coalesce(F.md5(e["event_text"]), F.lit("-"))))
-    return arrays.select("icu_stay_id", "part", F.size("events").cast("long").alias("events"), F.md5(F.array_join(shown, ",")).alias("digest"))
+
+    def shown(e):
+        return F.concat_ws(
+            ":", F.coalesce(F.date_format(e["event_time"], "yyyy-MM-dd HH:mm:ss"), F.lit("-")), e["event_type"],
+            F.coalesce(F.md5(e["event_text"]), F.lit("-")), F.coalesce(e["relative_time_to_final_event"].cast("string"), F.lit("-")),
+        )
+
+    digest = F.md5(F.array_join(F.transform("events", shown), ","))
+    return arrays.select("icu_stay_id", "part", "first_pos", F.size("events").cast("long").alias("events"), digest.alias("digest"))
 
 
 @query("event_flatten", with_views(_POSITION_SQL))
@@ -199,15 +207,12 @@ def event_flatten(t: Tables) -> DataFrame:
 
 
 @query("attach_events", with_views(f"""WITH base AS ({_BASE_SQL}), flat AS ({_POSITION_SQL})
-  SELECT b.icu_stay_id, b.patient_id, b.patient_expired_in_hospital, b.patient_age, f.pos, f.event_time, f.event_type,
-  f.relative_time_to_final_event FROM base b LEFT JOIN flat f ON f.icu_stay_id = b.icu_stay_id"""))
+  SELECT b.*, f.pos, f.event_time, f.event_type, f.event_text, f.relative_time_to_final_event FROM base b LEFT JOIN flat f ON f.icu_stay_id = b.icu_stay_id"""))
 def attach_events(t: Tables) -> DataFrame:
     export = exports.structured_export(clinical_tables(t))
-    rows = export.select(
-        "icu_stay_id", "patient_id", "patient_expired_in_hospital", "patient_age", "part", F.posexplode_outer("events").alias("at", "e")
-    )
-    pos = F.col("part").cast("long") * events.EVENT_PART_ROWS + F.col("at")
+    cohort_columns = ["icu_stay_id", *[c for c in export.columns if c not in ("icu_stay_id", "part", "first_pos", "events")]]
+    rows = export.select(*cohort_columns, "first_pos", F.posexplode_outer("events").alias("at", "e"))
     return rows.select(
-        "icu_stay_id", "patient_id", "patient_expired_in_hospital", "patient_age", pos.alias("pos"), "e.event_time", "e.event_type",
-        "e.relative_time_to_final_event",
+        *cohort_columns, (F.col("first_pos") + F.col("at")).alias("pos"), "e.event_time", "e.event_type",
+        F.md5("e.event_text").alias("event_text"), "e.relative_time_to_final_event",
     )

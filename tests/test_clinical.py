@@ -1,10 +1,11 @@
 """Exact texts, times and fan-out on hand-made clinical rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.clinical import at, clinical
-from wardline.operators import cohort, events, rollups
+from wardline.operators import cohort, embedding, events, rollups
 from wardline.plans import exports, training
 from wardline.sources.tables import conform, scan_tables
 
@@ -131,7 +132,7 @@ def test_small_parts_hold_the_same_events(data):
     whole = events.event_flatten(exports.event_arrays_of(data)).collect()
     parts = exports.event_arrays_of(data, part_rows=5)
     assert parts.where("part > 0").count() > 0
-    assert sorted(map(str, whole)) == sorted(map(str, events.event_flatten(parts, 5).collect()))
+    assert sorted(map(str, whole)) == sorted(map(str, events.event_flatten(parts).collect()))
     # flattening gives back the events that went in
     assert sorted(str(r[:1] + r[2:]) for r in whole) == sorted(str(tuple(r)) for r in exports.timeline(data).collect())
 
@@ -157,12 +158,15 @@ def test_small_text_parts_join_to_the_whole_text(data, wide):
         assert "\n".join(pieces) == wide[stay][column]
 
 
-def test_flat_rows_feed_a_training_set(spark, data):
+def halves(texts):
+    return np.array([[0.5, -0.5] for _ in texts])
+
+
+def test_flat_rows_feed_a_training_set(spark, data, tmp_path):
     flat = training.flat_events(exports.base_of(data), exports.timeline(data))
-    vectors = flat.select(F.md5(F.coalesce("event_text", F.lit(""))).alias("text_md5")).distinct().withColumn(
-        "embedding", F.array(F.lit(0.5), F.lit(-0.5)).cast("array<float>")
-    )
-    built = training.prepare_training_set(flat, vectors, 2)
+    path = str(tmp_path / "cache")
+    embedding.embed_text(spark, flat.where("patient_id = 10"), "event_text", path, halves)
+    built = training.prepare_training_set(flat, path, 2, halves)
     dims = built.dims.first()
     kinds = flat.select("event_type").distinct().count()
     assert dims.input_dim == kinds + 2 + 1
@@ -170,20 +174,28 @@ def test_flat_rows_feed_a_training_set(spark, data):
     assert sorted(people) == [10, 12] and all(len(r.static) == dims.static_dim for r in people.values())
     steps = {r.patient_id: r.steps for r in built.sequences.collect()}
     assert len(steps[10]) == flat.where("patient_id = 10").count()
-    assert all(len(s) == dims.input_dim for r in steps.values() for s in r)
+    assert all(s is not None and len(s) == dims.input_dim for r in steps.values() for s in r)
+    assert all(x is not None for r in steps.values() for s in r for x in s[:-1])
     scaled = [s[-1] for s in steps[10]]
     assert scaled == sorted(scaled, reverse=True)
     assert steps[12][0][-1] is None  # no death time: the scaled time stays unknown
     # the label is that of the first event in timeline order
     assert people[12].label == 1
-    short = training.prepare_training_set(flat, vectors, 2, max_events=2)
+    short = training.prepare_training_set(flat, path, 2, halves, max_events=2)
     assert max(len(r.steps) for r in short.sequences.collect()) == 2
 
 
-def test_fit_on_train_uses_training_entities_only(spark, data):
+def test_an_empty_cache_leaves_no_step_without_a_vector(spark, data, tmp_path):
+    flat = training.flat_events(exports.base_of(data), exports.timeline(data))
+    built = training.prepare_training_set(flat, str(tmp_path / "cache"))
+    steps = [s for r in built.sequences.collect() for s in r.steps]
+    width = built.dims.first().input_dim
+    assert len(steps) == flat.count() and all(s is not None and len(s) == width for s in steps)
+
+
+def test_fit_on_train_uses_training_entities_only(spark, data, tmp_path):
     flat = training.flat_events(exports.base_of(data), exports.timeline(data))
-    vectors = spark.createDataFrame([], "text_md5 string, embedding array<float>")
-    built = training.prepare_training_set(flat, vectors, 2, fit_on="train", shares=(0.0, 0.0))
+    built = training.prepare_training_set(flat, str(tmp_path / "cache"), 2, halves, fit_on="train", shares=(0.0, 0.0))
     assert built.dims.first().input_dim == flat.select("event_type").distinct().count() + 3
 
 

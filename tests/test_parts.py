@@ -21,7 +21,7 @@ def test_events_in_parts(data):
     whole = events.event_flatten(exports.event_arrays_of(data))
     arrays = exports.event_arrays_of(data, part_rows=15)
     assert arrays.agg(F.max("part")).first()[0] >= 2 and arrays.agg(F.max(F.size("events"))).first()[0] == 15
-    parts = events.event_flatten(arrays, 15)
+    parts = events.event_flatten(arrays)
     assert whole.count() == parts.count() and whole.exceptAll(parts).count() == 0
 
 

@@ -39,7 +39,7 @@ def test_event_array_shuffles_events_once(spark, tables):
         stored = events.canonical_events(
             tables.events.select(F.col("user_id").alias("stay_id"), "ts", F.col("ts").alias("final_time"), "props"), F.col("ts"), "event", F.col("props")
         )
-        text = plan(events.event_array(stored, may_split=False))
+        text = plan(events.event_array(stored))
         assert text.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -61,14 +61,33 @@ def test_texts_are_shuffled_once_on_the_way_to_the_wide_export(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_first_row_needs_no_sort(tables):
+def test_first_row_shuffles_a_row_per_entity_and_task(tables):
     text = plan(sequences.first_row_per_entity(tables.events, "user_id", ["event_id", "value"], [F.col("ts"), F.col("event_id")]))
-    assert "Window" not in text and "partial_min_by" in text
+    assert "Window" not in text and "partial_min_by" in text and text.count("Exchange") == 1
 
 
-def test_fit_is_applied_without_a_join(tables):
-    text = plan(tables.events.select(fits.scaled_column(tables.events, "value"), fits.one_hot_column(tables.events, "event_type")))
+def test_fit_is_applied_without_reading_its_input_again(tables):
+    fitted = fits.fit(tables.events, ["event_type"], ["value"])
+    text = plan(tables.events.select(fits.scaled_column(fitted, "value"), fits.one_hot_column(fitted, "event_type")))
     assert "Join" not in text and "Subquery" in text
+    assert text.count("events.parquet") == 1
+
+
+def test_static_vector_of_nine_categories_reads_its_input_once(tables):
+    columns = [f"c{i}" for i in range(9)]
+    df = tables.customer.select("c_acctbal", *[F.col("c_mktsegment").alias(c) for c in columns])
+    fitted = fits.fit(df, columns, ["c_acctbal"], fits.UNKNOWN)
+    text = plan(df.select(fits.static_vector(fitted, columns, "c_acctbal")))
+    assert text.count("customer.parquet") == 1
+
+
+def test_second_embedding_run_moves_no_text(spark, tables, tmp_path):
+    from wardline.operators.embedding import embed_text
+
+    path = str(tmp_path / "cache")
+    embed_text(spark, tables.documents, "text", path)
+    text = plan(embed_text(spark, tables.documents, "text", path))
+    assert "SortAggregate" not in text and "documents.parquet" not in text
 
 
 def test_sample_needs_no_shuffle(tables):

@@ -65,28 +65,41 @@ def test_waves(spark):
 
 
 def test_one_hot_of_unknown_and_null_is_zero(spark):
-    fit = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "c string")
+    source = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "c string")
+    fit, filled_fit = fits.fit(source, ["c"]), fits.fit(source, ["c"], impute=fits.UNKNOWN)
     df = spark.createDataFrame([("a",), ("b",), ("zz",), (None,)], "c string")
     code = fits.one_hot_column(fit, "c").alias("v")
     assert {r.c: r.v for r in df.select("c", code).collect()} == {"a": [1, 0], "b": [0, 1], "zz": [0, 0], None: [0, 0]}
-    filled = {r.c: r.v for r in df.select("c", fits.one_hot_column(fit, "c", fits.UNKNOWN).alias("v")).collect()}
+    filled = {r.c: r.v for r in df.select("c", fits.one_hot_column(filled_fit, "c", fits.UNKNOWN).alias("v")).collect()}
     assert filled[None] == [1, 0, 0] and filled["zz"] == [0, 0, 0]  # 'Unknown' sorts before 'a'
 
 
-def test_too_many_categories_raise(spark):
-    df = spark.range(20).select(F.col("id").cast("string").alias("c"))
-    assert len(fits.fit_categories(df, "c", limit=20).first().categories) == 20
-    with pytest.raises(Exception, match="more than 19 categories"):
-        fits.fit_categories(df, "c", limit=19).collect()
+def test_any_number_of_categories(spark):
+    df = spark.range(10_001).select(F.format_string("c%05d", "id").alias("c"))
+    fitted = fits.fit(df, ["c"])
+    assert df.select(fits.width(fitted, ["c"]).alias("w")).first().w == 10_001
+    found = fits.slots(df.union(spark.createDataFrame([("zz",), (None,)], "c string")), fitted, "c", "slot").collect()
+    assert {r.c: r.slot for r in found} == {**{f"c{i:05d}": i for i in range(10_001)}, "zz": None, None: None}
+
+
+def test_fit_of_several_columns_in_one_pass(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, None), ("b", None, None, 5.0), ("a", "x", 3.0, float("nan"))], "c string, d string, u double, v double")
+    rows = {(r.column, r.category): r for r in fits.fit(df, ["c", "d"], ["u", "v"], fits.UNKNOWN).collect()}
+    assert {k: r.slot for k, r in rows.items() if k[1]} == {("c", "a"): 0, ("c", "b"): 1, ("d", "Unknown"): 0, ("d", "x"): 1}
+    assert (rows["u", None].mean, rows["u", None].deviation) == (2.0, 1.0)
+    assert rows["u", None].filled_deviation == pytest.approx(math.sqrt(2 / 3))
+    assert (rows["v", None].mean, rows["v", None].filled_deviation) == (5.0, 0.0)
 
 
 def test_scaling(spark, tables):
     df = tables.customer
-    z = df.select(fits.scaled_column(df, "c_acctbal").alias("z")).agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
+    fitted = fits.fit(df, numbers=["c_acctbal"])
+    z = df.select(fits.scaled_column(fitted, "c_acctbal").alias("z")).agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s")).first()
     assert z.m == pytest.approx(0, abs=1e-9) and z.s == pytest.approx(1)
     odd = spark.createDataFrame([(2.0,), (2.0,), (None,), (float("nan"),)], "x double")
-    assert [r[0] for r in odd.select(fits.scaled_column(odd, "x")).collect()][:3] == [0.0, 0.0, None]
-    assert [r[0] for r in odd.select(fits.scaled_column(odd, "x", mean_fill=True)).collect()] == [0.0] * 4
+    odd_fit = fits.fit(odd, numbers=["x"])
+    assert [r[0] for r in odd.select(fits.scaled_column(odd_fit, "x")).collect()][:3] == [0.0, 0.0, None]
+    assert [r[0] for r in odd.select(fits.scaled_column(odd_fit, "x", mean_fill=True)).collect()] == [0.0] * 4
 
 
 @pytest.mark.parametrize("hot_rows", [None, 5])
@@ -159,13 +172,39 @@ def test_gradients_add_up_to_the_change_of_score(spark):
 
 
 def test_padding_and_mask(spark):
-    df = spark.createDataFrame([(0, [1.0]), (0, [1.0, 2.0, 3.0]), (1, [5.0])], "b int, s array<double>")
-    rows = sequences.pad_batches(df, "b", "s", F.lit(0.0)).collect()
-    assert sorted((r.b, r.s, r["mask"]) for r in rows) == [
-        (0, [1.0, 0.0, 0.0], [True, False, False]), (0, [1.0, 2.0, 3.0], [True] * 3), (1, [5.0], [True]),
+    df = spark.createDataFrame([(0, 1, 0, 1.0), (0, 2, 0, 1.0), (0, 2, 1, 2.0), (0, 2, 2, 3.0), (1, 3, 0, 5.0)], "b int, e int, pos long, v double")
+    rows = sequences.pad_steps(df, "b", "e", {"v": F.lit(0.0)}).collect()
+    assert sorted((r.e, r.pos, r.v, r.real) for r in rows) == [
+        (1, 0, 1.0, True), (1, 1, 0.0, False), (1, 2, 0.0, False), (2, 0, 1.0, True), (2, 1, 2.0, True), (2, 2, 3.0, True), (3, 0, 5.0, True),
     ]
 
 
+def test_padding_of_a_sequence_longer_than_a_part(spark):
+    n = sequences.STEP_PART_ROWS + 7
+    df = spark.range(n).select(F.lit(0).alias("b"), F.lit(1).alias("e"), F.col("id").alias("pos"), F.lit(2.0).alias("v"))
+    rows = sequences.pad_steps(df.union(spark.createDataFrame([(0, 9, 0, 4.0)], "b int, e int, pos long, v double")), "b", "e", {"v": F.lit(0.0)})
+    assert {(r.e, r.n, r.real, r.last) for r in rows.groupBy("e").agg(F.count("*").alias("n"), F.sum(F.col("real").cast("int")).alias("real"), F.max("pos").alias("last")).collect()} == {
+        (1, n, n, n - 1), (9, n, 1, n - 1)
+    }
+
+
+def test_label_of_an_entity_is_that_of_its_first_row(spark):
+    df = spark.createDataFrame([(1, 10, 0), (1, 5, 1), (2, 3, 1), (2, None, 0)], "e int, t int, y int")
+    summary = sequences.cohort_summary(df, "e", F.col("y"), sequences.timeline_sort_values("t", ["y"])).first()
+    assert tuple(summary) == (2, 1, 0.5, 2.0)
+
+
+def test_split_of_many_labels(spark):
+    df = spark.range(10_010).select("id", (F.col("id") % 1_001).cast("int").alias("y"))
+    counts = {tuple(r) for r in split.stratified_split(df, "id", "y").groupBy("y").pivot("split", ["test", "validation", "train"]).count().drop("y").distinct().collect()}
+    assert counts == {(2, 2, 6)}
+
+
+def test_weights_of_rows_without_a_key(spark):
+    df = spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 2.0)], "k string, s double")
+    assert sorted(r.weight for r in attention.softmax_pool_weights(df, ["k"], "s").collect()) == [0.5, 0.5, 1.0]
+
+
 def test_baseline_beats_the_constant_predictor(spark, tables):
     df = tables.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") > 4).cast("int").alias("y"))
     rows = split.stratified_split(df, "vec_id", "y")

@@ -105,6 +105,8 @@ def test_second_run_encodes_nothing(spark, tmp_path):
     more = docs.unionAll(spark.createDataFrame([("new",)], "t string"))
     second = embedding.embed_text(spark, more, "t", path, encoder)
     assert calls.value == 4 and second.count() == 4
+    # only the vectors of the asked texts come back
+    assert embedding.embed_text(spark, more.where("t = 'new'"), "t", path, encoder).count() == 1
     embedding.embed_text(spark, more, "t", path, encoder)
     assert calls.value == 4
 

@@ -7,6 +7,8 @@ Tables: ``attention(layer, batch, head, q, k, weight)``, ``pooling(batch, head,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +45,10 @@ def softmax_pool_weights(df: DataFrame, keys: Sequence[str], score: str, name: s
     masses = score_bands(df, score).groupBy(*keys, "_band").agg(F.sum("_mass").alias("_mass"))
     totals = _relative_mass(masses, keys).groupBy(*keys).agg(F.max("_top").alias("_top"), F.sum("_weight").alias("_total"))
     weight = F.exp(F.col(score) - F.col("_top") * _BAND) / F.col("_total")
-    return df.join(totals, keys).withColumn(name, weight).drop("_top", "_total")
+    # null-safe: the rows without a key are a group as well
+    named = totals.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_top", "_total")
+    same = reduce(and_, [df[k].eqNullSafe(named[f"_of_{k}"]) for k in keys], F.lit(True))
+    return df.join(named, same).withColumn(name, weight).drop("_top", "_total", *[f"_of_{k}" for k in keys])
 
 
 def _relative_mass(bands: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,6 +149,10 @@ def feature_by_dimension(outputs: DataFrame) -> DataFrame:
     return outputs.groupBy("dim").agg(F.avg("value").alias("mean_value"))
 
 
-def temporal_attribution(importance: DataFrame, events: DataFrame, k: int = TOP_POSITIONS) -> DataFrame:
-    """The top positions of each head with the events at those positions."""
-    return top_k_positions(importance, k).join(events, "pos", "inner")
+def temporal_attribution(weights: DataFrame, events: DataFrame, entity: str, k: int = TOP_POSITIONS) -> DataFrame:
+    """The ``k`` heaviest positions of each (entity, head) with the events at those positions of that entity.
+
+    ``weights`` has ``(entity, head, pos, weight)``. The result has at most entities x heads x ``k`` rows.
+    """
+    order = [F.col("weight").desc_nulls_last(), F.col("pos").asc()]
+    return head_k(weights, [entity, "head"], order, k, "rank").join(events, [entity, "pos"], "inner")

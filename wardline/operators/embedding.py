@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from wardline.session import stored
 from wardline.sources import vector_cache as cache
 
 # Fixed values
@@ -66,15 +67,19 @@ def encoded_vectors(texts: DataFrame, encoder: Encoder, batch: int = BATCH) -> D
 
 
 def embed_text(spark: SparkSession, df: DataFrame, text: str, cache_path: str, encoder: Encoder | None = None) -> DataFrame:
-    """Encode the texts that the cache lacks, store them, and return the cache.
+    """Encode the texts that the cache lacks, store them, and return the vectors of the texts of ``df``.
 
-    Each distinct text is encoded once, however many rows share it.
+    Each distinct text is encoded once, however many rows share it. Only keys are compared; the texts of missing
+    keys alone are fetched, so a second run fetches none.
     """
     cache.vector_cache_create(spark, cache_path)
-    misses = cache.vector_cache_misses(cache.distinct_texts(df, text), cache.vector_cache_scan(spark, cache_path))
-    fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
-    cache.vector_cache_append(fresh, cache_path)
-    return cache.vector_cache_scan(spark, cache_path)
+    keys = stored(cache.distinct_keys(df, text), "keys")
+    missing = stored(cache.vector_cache_misses(keys, cache.vector_cache_scan(spark, cache_path)), "missing")
+    if not missing.isEmpty():
+        misses = cache.texts_of(df, text, missing)
+        fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
+        cache.vector_cache_append(fresh, cache_path)
+    return cache.vector_cache_scan(spark, cache_path).join(keys, "text_md5", "left_semi")
 
 
 def projection_matrix(rows: int, columns: int, seed: int = 42) -> np.ndarray:
@@ -87,13 +92,19 @@ def projection_matrix(rows: int, columns: int, seed: int = 42) -> np.ndarray:
 
 
 def project_vector(df: DataFrame, vector: str, width: int, target: int = 64, seed: int = 42, name: str = "projected") -> DataFrame:
-    """Reduce vectors of ``width`` to ``target`` slots with a fixed random projection."""
+    """Reduce vectors of ``width`` to ``target`` slots with a fixed random projection; no vector stays NULL."""
     matrix = projection_matrix(width, target, seed)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def project(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(batch.to_numpy()).astype(np.float64) @ matrix))
+        there = [i for i, vector in enumerate(batch) if vector is not None]
+        projected: list = [None] * len(batch)
+        if there:
+            moved = np.stack([batch.iloc[i] for i in there]).astype(np.float64) @ matrix
+            for i, vector in zip(there, moved):
+                projected[i] = vector
+        return pd.Series(projected, dtype=object)
 
     return df.withColumn(name, project(F.col(vector)))

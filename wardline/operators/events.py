@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from wardline.functions import fields
 from wardline.functions.scalars import minutes_between
 from wardline.functions.text import from_columns
-from wardline.operators.cohort import for_all_parts
 from wardline.operators.ordered import crowded, gather
+from wardline.session import stored
 
 EVENT_FIELDS = ["event_time", "event_type", "event_text", "relative_time_to_final_event"]
 EVENT_PART_ROWS = 100_000
@@ -95,39 +95,43 @@ def event_order() -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in EVENT_FIELDS]
 
 
-def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS, may_split: bool = True) -> DataFrame:
-    """Ordered event arrays per stay: ``(icu_stay_id, part, events)``.
+def event_array(events: DataFrame, part_rows: int = EVENT_PART_ROWS) -> DataFrame:
+    """Ordered event arrays per stay: ``(icu_stay_id, part, first_pos, events)``, keyed by (stay, part).
 
-    A stay with up to ``part_rows`` events has the single part 0. A larger stay continues in parts 1,
-    2, …, as one cell cannot hold any number of events; the parts in order are the whole array.
+    A stay has a part for every ``part_rows`` events, as one cell cannot hold any number of events; ``first_pos`` is the
+    place of the part's first event in the stay, and the parts in order are the whole array.
     """
+    return _arrays(events, part_rows, True)
+
+
+def _arrays(events: DataFrame, part_rows: int, may_split: bool) -> DataFrame:
     layout = [F.col(c) for c in EVENT_FIELDS]
     return gather(events, ["icu_stay_id"], event_order(), layout, part_rows, "events", may_split=may_split)
 
 
-def event_arrays(tables: dict[str, DataFrame], stay_ref: DataFrame, part_rows: int = EVENT_PART_ROWS) -> tuple[DataFrame, bool]:
-    """Ordered event arrays per stay from the sources, and whether a stay may have several parts."""
-    may_split = may_exceed(tables, part_rows)
-    return event_array(event_union(tables, stay_ref), part_rows, may_split), may_split
+def event_arrays(tables: dict[str, DataFrame], stay_ref: DataFrame, part_rows: int = EVENT_PART_ROWS) -> DataFrame:
+    """Ordered event arrays per stay from the sources.
 
+    One job counts the keys of the sources. Only if a stay may need several parts are the joined events stored, once,
+    for the counting and the cutting that follow.
+    """
+    may_split = may_exceed(tables, part_rows)
+    events = event_union(tables, stay_ref)
+    return _arrays(stored(events, "events") if may_split else events, part_rows, may_split)
 
-def attach_events(base: DataFrame, arrays: DataFrame, may_split: bool = True, empty_array: bool = False) -> DataFrame:
-    """Cohort rows with their events; a stay without events keeps NULL, or an empty array on request.
 
-    ``may_split=False`` states that every stay has one part, so the join is on the stay alone and keeps
-    the partitioning of the arrays.
-    """
-    if may_split:
-        joined = for_all_parts(base, arrays).join(arrays, ["icu_stay_id", "part"], "left")
-    else:
-        joined = base.withColumn("part", F.lit(0)).join(arrays.drop("part"), "icu_stay_id", "left")
+def attach_events(base: DataFrame, arrays: DataFrame, empty_array: bool = False) -> DataFrame:
+    """Cohort rows with their events, a row per (stay, part); a stay without events has part 0 with NULL, or an empty array on request."""
+    joined = base.join(arrays, "icu_stay_id", "left")
     events = F.coalesce("events", F.array().cast(arrays.schema["events"].dataType)) if empty_array else F.col("events")
-    return joined.select(*base.columns, "part", events.alias("events"))
+    return joined.select(
+        *base.columns, F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("first_pos", F.lit(0)).alias("first_pos"), events.alias("events")
+    )
 
 
-def event_flatten(arrays: DataFrame, part_rows: int = EVENT_PART_ROWS) -> DataFrame:
+def event_flatten(arrays: DataFrame) -> DataFrame:
     """Arrays back to one row per event, with its place ``pos`` in the whole stay."""
-    others = [c for c in arrays.columns if c not in ("part", "events")]
-    rows = arrays.select(*others, "part", F.posexplode("events").alias("_at", "_event"))
-    place = F.col("part").cast("long") * part_rows + F.col("_at")
+    others = [c for c in arrays.columns if c not in ("part", "first_pos", "events")]
+    rows = arrays.select(*others, "first_pos", F.posexplode("events").alias("_at", "_event"))
+    place = F.col("first_pos") + F.col("_at")
     return rows.select(*others, place.alias("pos"), *[F.col(f"_event.{c}").alias(c) for c in EVENT_FIELDS])

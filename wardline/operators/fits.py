@@ -1,7 +1,12 @@
-"""Fitted values: small tables computed once and applied through scalar subqueries.
+"""Fitted values: one aggregate over the input gives a small table that every encoder reads.
 
-A fit is a one-row table. ``.scalar()`` plugs its value into any expression, so applying a fit needs
-no join; a fit that was written to Parquet can be read back and applied the same way.
+``fit`` writes that table once, so the input is read once however many columns are fitted. Its rows are
+``(column, category, slot, n, mean, deviation, filled_deviation)``: one row per category of a category column
+and one row per number column. A fit that was written to Parquet can be read back and applied the same way.
+
+Categories are numbered in sorted order by the number of distinct values before them, without collecting them.
+``slots`` looks the number up by a join, for any number of categories; ``one_hot_column`` is the dense array, which
+is an explicit request for as many numbers as there are categories.
 """
 
 from __future__ import annotations
@@ -12,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.vectors import one_hot, standardize
+from wardline.operators.ordered import with_position
+from wardline.session import stored
 
 UNKNOWN = "Unknown"  # fixed value: stands for a missing category
-MAX_CATEGORIES = 10_000
 
 
 def impute_constant(value: Column, constant: str = UNKNOWN) -> Column:
@@ -23,54 +29,82 @@ def impute_constant(value: Column, constant: str = UNKNOWN) -> Column:
 
 def impute_mean(df: DataFrame, column: str) -> Column:
     """The column with its NULLs (or NaNs) replaced by its mean."""
-    number = _number(column)
+    number = _number(F.col(column))
     return F.coalesce(number, df.agg(F.avg(number)).scalar())
 
 
-def _number(column: str) -> Column:
-    number = F.col(column).cast("double")
+def _number(column: Column) -> Column:
+    number = column.cast("double")
     return F.when(~F.isnan(number), number)
 
 
-def fit_categories(df: DataFrame, column: str, impute: str | None = None, limit: int = MAX_CATEGORIES) -> DataFrame:
-    """One row with the sorted distinct values of a column as ``categories``.
+def _category(column: str, impute: str | None) -> Column:
+    value = F.col(column).cast("string")
+    return value if impute is None else impute_constant(value, impute)
+
+
+def fit(df: DataFrame, categories: Sequence[str] = (), numbers: Sequence[str] = (), impute: str | None = None) -> DataFrame:
+    """Fit category and number columns in one pass over ``df``; a category that is missing counts as ``impute``.
 
-    Distinct values are merged before the shuffle. A column with more than ``limit`` values raises an
-    error, as no one-hot vector should be built from it; ``limit + 1`` values are read to tell.
+    The deviation is that of the population. ``filled_deviation`` is the deviation after missing values were set to
+    the mean: they add nothing to the squares and count as rows.
     """
-    value = F.col(column) if impute is None else impute_constant(F.col(column), impute)
-    values = df.select(value.alias("c")).where(F.col("c").isNotNull()).distinct().limit(limit + 1)
-    found = values.agg(F.array_sort(F.collect_list("c")).alias("categories"))
-    error = F.raise_error(F.lit(f"{column}: more than {limit} categories"))
-    return found.select(
-        F.when(F.size("categories") > limit, error.cast(found.schema["categories"].dataType))
-        .otherwise(F.col("categories")).alias("categories")
+    nothing, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(True).alias("listed"), _category(c, impute).alias("category"), nothing.alias("x")) for c in categories]
+    cells += [F.struct(F.lit(c).alias("column"), F.lit(False).alias("listed"), no_text.alias("category"), _number(F.col(c)).alias("x")) for c in numbers]
+    seen = df.select(F.inline(F.array(*cells))).groupBy("column", "listed", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count("x").alias("present"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation")
     )
+    seen = stored(seen.where(~F.col("listed") | F.col("category").isNotNull()), "fit")
+    numbered = with_position(seen.where("listed"), ["column"], [F.col("category")], "slot")
+    whole = numbered.unionByName(seen.where("not listed").withColumn("slot", F.lit(None).cast("long")))
+    filled = F.col("deviation") * F.sqrt(F.col("present") / F.col("n"))
+    return stored(whole.select(
+        "column", "category", F.col("slot").cast("int").alias("slot"), "n", "mean", "deviation", filled.alias("filled_deviation")
+    ), "fit")
 
 
-def fit_scaler(df: DataFrame, column: str, mean_fill: bool = False) -> DataFrame:
-    """One row ``(mean, deviation)`` with the population deviation; missing values do not count.
+def fit_categories(fitted: DataFrame, column: str) -> DataFrame:
+    """``(slot, category)`` of a fitted column, one row per category."""
+    return fitted.where((F.col("column") == column) & F.col("category").isNotNull()).select("slot", "category")
 
-    ``mean_fill`` fits on the column after its missing values were set to the mean.
-    """
-    number = impute_mean(df, column) if mean_fill else _number(column)
-    return df.agg(F.avg(number).alias("mean"), F.stddev_pop(number).alias("deviation"))
+
+def fit_scaler(fitted: DataFrame, column: str, mean_fill: bool = False) -> DataFrame:
+    """One row ``(mean, deviation)`` of a fitted number column."""
+    deviation = F.col("filled_deviation" if mean_fill else "deviation").alias("deviation")
+    return fitted.where((F.col("column") == column) & F.col("category").isNull()).select("mean", deviation)
+
+
+def width(fitted: DataFrame, columns: Sequence[str]) -> Column:
+    """Number of categories of the columns together, as a scalar."""
+    listed = fitted.where(F.col("column").isin(*columns) & F.col("category").isNotNull())
+    return listed.agg(F.count(F.lit(1)).cast("int")).scalar()
+
+
+def slots(df: DataFrame, fitted: DataFrame, column: str, name: str, impute: str | None = None) -> DataFrame:
+    """Add the slot of each row's category, NULL where the fit does not know it; for any number of categories."""
+    known = fit_categories(fitted, column).select(F.col("category").alias("_category"), F.col("slot").alias(name))
+    keyed = df.withColumn("_value", _category(column, impute))
+    return keyed.join(known, F.col("_value") == F.col("_category"), "left").drop("_value", "_category")
 
 
-def one_hot_column(fit_on: DataFrame, column: str, impute: str | None = None) -> Column:
-    value = F.col(column) if impute is None else impute_constant(F.col(column), impute)
-    return one_hot(value, fit_categories(fit_on, column, impute).scalar())
+def one_hot_column(fitted: DataFrame, column: str, impute: str | None = None) -> Column:
+    """Dense one-hot array over all categories of a fitted column."""
+    categories = fit_categories(fitted, column).agg(F.array_sort(F.collect_list("category"))).scalar()
+    return one_hot(_category(column, impute), categories)
 
 
-def scaled_column(fit_on: DataFrame, column: str, mean_fill: bool = False) -> Column:
-    fit = fit_scaler(fit_on, column, mean_fill)
-    value = impute_mean(fit_on, column) if mean_fill else F.col(column)
-    return standardize(value, fit.select("mean").scalar(), fit.select("deviation").scalar())
+def scaled_column(fitted: DataFrame, column: str, mean_fill: bool = False) -> Column:
+    """The number as deviations from its mean; missing ones are NULL, or at the mean with ``mean_fill``."""
+    scaler = fit_scaler(fitted, column, mean_fill)
+    mean = scaler.select("mean").scalar()
+    value = F.coalesce(_number(F.col(column)), mean) if mean_fill else F.col(column)
+    return standardize(value, mean, scaler.select("deviation").scalar())
 
 
-def static_vector(fit_on: DataFrame, categories: Sequence[str], number: str | None) -> Column:
+def static_vector(fitted: DataFrame, categories: Sequence[str], number: str | None) -> Column:
     """One-hot columns in the given order, then the scaled number."""
-    parts = [one_hot_column(fit_on, c, UNKNOWN) for c in categories]
+    parts = [one_hot_column(fitted, c, UNKNOWN) for c in categories]
     if number is not None:
-        parts.append(F.array(scaled_column(fit_on, number, mean_fill=True)))
+        parts.append(F.array(scaled_column(fitted, number, mean_fill=True)))
     return F.concat(*parts)

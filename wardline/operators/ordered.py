@@ -84,7 +84,9 @@ def _slices(split: _Split, keys: Sequence[str], order: Sequence[Column], slice_r
     """Hot rows with ``_slice``: consecutive ranges of (group, order), each of bounded size."""
     # the first checkpoint fixes the row numbers, which let equal rows go to different slices
     stored = cut_lineage(split.hot).withColumn("_row", F.monotonically_increasing_id())
-    n = max(2, -(-split.hot_rows // slice_rows))
+    # a slice may be sorted on disk, so a few per core are enough; their number does not grow with the data
+    most = 8 * max(1, split.hot.sparkSession.sparkContext.defaultParallelism)
+    n = max(2, min(most, -(-split.hot_rows // slice_rows)))
     ranged = stored.repartitionByRange(n, *[F.col(k) for k in keys], *order, F.col("_row"))
     return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
 
@@ -201,10 +203,10 @@ def gather(
     slice_rows: int = SLICE_ROWS,
     may_split: bool = True,
 ) -> DataFrame:
-    """One ordered array per group and part: ``(keys, part, name)``.
+    """One ordered array per group and part: ``(keys, part, first_pos, name)``, keyed by (keys, part).
 
-    A group with up to ``part_rows`` rows is part 0; a larger one continues in parts 1, 2, and so on.
-    ``may_split=False`` states that no group is larger, which saves the count.
+    Part ``p`` holds the places from ``first_pos = p * part_rows`` on, so a group of up to ``part_rows`` rows has part 0
+    alone. ``may_split=False`` is for callers that have counted already and know that no group is larger.
 
     ``layout`` are the fields of an item. Their natural ascending order, NULL first, must agree with
     ``order``, so ascending stand-ins come first and carried values last. Layout expressions run after
@@ -218,4 +220,5 @@ def gather(
     arrays = rows.repartition(*cell).groupBy(*cell).agg(items.alias(name))
     part = F.lit(0) if parted is None else F.col("part")
     kept = F.col(name) if pick is None else F.transform(name, pick)
-    return arrays.select(*keys, part.alias("part"), kept.alias(name))
+    first = part.cast("long") * part_rows
+    return arrays.select(*keys, part.alias("part"), first.alias("first_pos"), kept.alias(name))

@@ -103,3 +103,17 @@ def score_baseline(model: LogisticRegressionModel, df: DataFrame, features: str,
     packed = df.withColumn("_features", array_to_vector(F.col(features)))
     scored = model.transform(packed).withColumn(name, vector_to_array("probability")[1])
     return scored.select(*df.columns, name)
+
+
+def loss_gradient(
+    scored: DataFrame, model: LogisticRegressionModel, features: str, label: str, probability: str, regularization: float
+) -> DataFrame:
+    """``(slot, gradient)`` of the penalised mean loss at the fitted weights, with inputs scaled to deviation one.
+
+    An input that does not vary has no weight and no gradient. One pass over the rows.
+    """
+    weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+    rows = scored.select((F.col(probability) - F.col(label)).alias("_error"), F.posexplode(features).alias("slot", "_x"))
+    sums = rows.groupBy("slot").agg(F.avg(F.col("_error") * F.col("_x")).alias("_pull"), F.stddev_samp("_x").alias("_deviation"))
+    pull = F.col("_pull") / F.col("_deviation") + regularization * F.get(weights, F.col("slot")) * F.col("_deviation")
+    return sums.select("slot", F.when(F.col("_deviation") > 0, pull).otherwise(F.lit(0.0)).alias("gradient"))

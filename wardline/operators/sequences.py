@@ -9,7 +9,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import vectors
 from wardline.operators.ordered import HOT_ROWS, gather, head_k, with_position
 
 RELATIVE_TIME = "relative_time_to_final_event"
@@ -48,7 +47,11 @@ def head_k_per_entity(
 
 
 def first_row_per_entity(df: DataFrame, entity: str, columns: Sequence[str], sort_values: Sequence[Column]) -> DataFrame:
-    """Columns of the first row of each sequence; merged before the shuffle, no sort."""
+    """Columns of the first row of each sequence.
+
+    The order may hold texts, so each task sorts its rows by entity to find its first rows; one row per entity and task
+    is shuffled.
+    """
     first = F.min_by(F.struct(*columns), F.struct(*sort_values))
     return df.groupBy(entity).agg(first.alias("_first")).select(entity, "_first.*")
 
@@ -62,7 +65,9 @@ def sequence_per_entity(
     part_rows: int = STEP_PART_ROWS,
     name: str = "steps",
 ) -> DataFrame:
-    """Ordered steps per entity: ``(entity, part, steps)``; long sequences continue in further parts.
+    """Ordered steps per entity: ``(entity, part, first_pos, steps)``, keyed by (entity, part).
+
+    A sequence has a part for every ``part_rows`` steps; ``first_pos`` is the place of a part's first step in the whole.
 
     A step holds the columns ``steps``; a column that also orders the steps is stored once.
     """
@@ -84,33 +89,43 @@ def max_sequence_length(df: DataFrame, entity: str) -> DataFrame:
     return sequence_lengths(df, entity).agg(F.max("length").alias("max_length"))
 
 
-def cohort_summary(df: DataFrame, entity: str, label: Column) -> DataFrame:
-    """Entities, positives, their rate and the mean sequence length, from event rows and an entity label."""
-    per_entity = df.groupBy(entity).agg(F.count(F.lit(1)).alias("length"), F.max(label).alias("label"))
-    return per_entity.agg(
+def cohort_summary(df: DataFrame, entity: str, label: Column, sort_values: Sequence[Column]) -> DataFrame:
+    """Entities, positives, their rate and the mean sequence length; the label of an entity is that of its first row."""
+    labels = first_row_per_entity(df.withColumn("_label", label), entity, ["_label"], sort_values)
+    lengths = sequence_lengths(df, entity).withColumnRenamed(entity, "_of")
+    return labels.join(lengths, F.col(entity).eqNullSafe(F.col("_of"))).agg(
         F.count(F.lit(1)).alias("entities"),
-        F.sum("label").alias("positives"),
-        F.avg("label").alias("positive_rate"),
+        F.sum("_label").alias("positives"),
+        F.avg("_label").alias("positive_rate"),
         F.avg("length").alias("mean_length"),
     )
 
 
-def pad_batches(df: DataFrame, batch: str, sequence: str, filler: Column, length: str = "padded_length") -> DataFrame:
-    """Pad each sequence to the longest of its batch and add its mask.
+def align_by_entity(sequences: DataFrame, statics: DataFrame, labels: DataFrame, entity: str) -> DataFrame:
+    """One row per sequence with its static columns and its label; a sequence without either keeps NULL there."""
+    return sequences.join(statics, entity, "left").join(labels, entity, "left")
+
+
+def pad_steps(df: DataFrame, batch: str, entity: str, filler: dict[str, Column], pos: str = "pos") -> DataFrame:
+    """Pad every sequence to the longest of its batch, in long form, and add its mask ``real``.
 
-    Sequences should be truncated first: padding is as long as the longest sequence of the batch.
+    ``df`` has a row per step with ``batch``, ``entity``, its 0-based ``pos`` and the columns of ``filler``. The missing
+    positions are added as rows, so a sequence of any length is padded whole and never meets in one cell.
     """
-    longest = df.groupBy(batch).agg(F.max(F.size(sequence)).alias(length))
-    joined = df.join(longest, batch, "left")
-    masked = joined.withColumn("mask", vectors.padding_mask(F.size(sequence), F.col(length)))
-    return masked.withColumn(sequence, vectors.pad(F.col(sequence), F.col(length), filler))
+    lengths = df.groupBy(batch, entity).agg(F.count(F.lit(1)).alias("_n"))
+    longest = lengths.groupBy(F.col(batch).alias("_batch")).agg(F.max("_n").alias("_longest"))
+    short = lengths.join(longest, F.col(batch).eqNullSafe(F.col("_batch"))).where(F.col("_n") < F.col("_longest")).select(
+        batch, entity, F.explode(F.sequence(F.col("_n"), F.col("_longest") - 1)).alias(pos)
+    ).withColumn(pos, F.col(pos).cast(df.schema[pos].dataType))
+    added = short.withColumns({name: value.cast(df.schema[name].dataType) for name, value in filler.items()}).withColumn("real", F.lit(False))
+    return df.select(batch, entity, pos, *filler).withColumn("real", F.lit(True)).unionByName(added)
 
 
 def mean_vector(
     df: DataFrame, keys: Sequence[str], vector: str, name: str = "mean", weight: str | None = None, extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Element-wise (weighted) mean of equally long arrays, merged before the shuffle."""
-    packed = df.withColumn("_vector", array_to_vector(F.col(vector).cast("array<double>")))
+    """Element-wise (weighted) mean of equally long arrays, merged before the shuffle; NULL arrays do not count."""
+    packed = df.where(F.col(vector).isNotNull()).withColumn("_vector", array_to_vector(F.col(vector).cast("array<double>")))
     mean = Summarizer.mean(F.col("_vector")) if weight is None else Summarizer.mean(F.col("_vector"), F.col(weight))
     return packed.groupBy(*keys).agg(vector_to_array(mean).alias(name), *extra)
 

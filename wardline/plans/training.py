@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import label_to_int
-from wardline.operators.fits import UNKNOWN, fit_categories, one_hot_column, scaled_column, static_vector
+from wardline.operators.embedding import WIDTH, Encoder, embed_text
+from wardline.operators.fits import UNKNOWN, fit, one_hot_column, scaled_column, static_vector, width
 from wardline.operators.sequences import (
     RELATIVE_TIME,
     STEP_PART_ROWS,
@@ -24,6 +25,7 @@ from wardline.operators.sequences import (
     timeline_sort_values,
 )
 from wardline.operators.split import SEED, TEST_SHARE, VALIDATION_SHARE, stratified_split
+from wardline.session import stored
 from wardline.sources.schemas import STATIC_CATEGORIES, STATIC_NUMBER
 from wardline.sources.vector_cache import vector_cache_lookup
 
@@ -48,32 +50,41 @@ def entity_rows(flat: DataFrame, entity: str = "patient_id", static: Sequence[st
     return first.withColumn("label", label_to_int(F.col(LABEL))).drop(LABEL)
 
 
-def step_vector(fit_on: DataFrame, embedding: Column) -> Column:
+def fit_features(
+    flat: DataFrame, static: Sequence[str] = STATIC_CATEGORIES, number: str | None = STATIC_NUMBER, kind: str = "event_type", time: str = RELATIVE_TIME
+) -> DataFrame:
+    """Event types, static categories and both number columns, fitted in one pass over the rows."""
+    kinds = flat.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in static})
+    return fit(kinds, [kind, *static], [time, *([number] if number else [])])
+
+
+def step_vector(fitted: DataFrame, embedding: Column, kind: str = "event_type", time: str = RELATIVE_TIME) -> Column:
     """Event type, text vector and scaled time of a step, in this order, as 4-byte numbers."""
-    kind, time = one_hot_column(fit_on, "event_type"), F.array(scaled_column(fit_on, RELATIVE_TIME))
-    return F.concat(kind.cast("array<float>"), embedding.cast("array<float>"), time.cast("array<float>"))
+    code, scaled = one_hot_column(fitted, kind), F.array(scaled_column(fitted, time))
+    return F.concat(code.cast("array<float>"), embedding.cast("array<float>"), scaled.cast("array<float>"))
 
 
 @dataclass(frozen=True)
 class TrainingSet:
-    sequences: DataFrame  # (entity, part, steps)
+    sequences: DataFrame  # (entity, part, first_pos, steps)
     entities: DataFrame  # (entity, static vector, label, split)
     dims: DataFrame  # one row (input_dim, static_dim)
 
 
-def feature_dims(flat: DataFrame, embedding_width: int, time_width: int = 1, static: Sequence[str] = STATIC_CATEGORIES, numbers: int = 1) -> DataFrame:
+def feature_dims(
+    fitted: DataFrame, embedding_width: int, time_width: int = 1, static: Sequence[str] = STATIC_CATEGORIES, numbers: int = 1, kind: str = "event_type"
+) -> DataFrame:
     """Widths of a step and of a static vector, from the fitted categories."""
-    one_row = fit_categories(flat, "event_type").select(F.size("categories").alias("types"))
-    static_width = sum((F.size(fit_categories(flat, c, UNKNOWN).scalar()) for c in static), F.lit(numbers))
-    return one_row.select(
-        (F.col("types") + embedding_width + time_width).alias("input_dim"), static_width.alias("static_dim")
+    return fitted.sparkSession.range(1).select(
+        (width(fitted, [kind]) + embedding_width + time_width).alias("input_dim"), (width(fitted, static) + numbers).alias("static_dim")
     )
 
 
 def prepare_training_set(
     flat: DataFrame,
-    vectors: DataFrame,
-    embedding_width: int,
+    cache_path: str,
+    embedding_width: int = WIDTH,
+    encoder: Encoder | None = None,
     entity: str = "patient_id",
     max_events: int | None = None,
     fit_on: str = "all",
@@ -85,14 +96,18 @@ def prepare_training_set(
 ) -> TrainingSet:
     """Encode event rows for a sequence model.
 
-    ``vectors`` is the text cache. ``fit_on="train"`` fits categories and scalers on the training
-    entities only; the default fits on all rows. ``max_events`` keeps the earliest events of an entity.
+    Texts that the cache at ``cache_path`` lacks are encoded and added, so no step is without a vector. ``fit_on="train"``
+    fits categories and scalers on the training entities only; the default fits on all rows. ``max_events`` keeps the
+    earliest events of an entity.
     """
-    entities = stratified_split(entity_rows(flat, entity, static, number), entity, "label", *shares, seed)
-    fitted = flat if fit_on == "all" else flat.join(entities.where(F.col("split") == "train").select(entity), entity, "left_semi")
+    entities = stored(stratified_split(entity_rows(flat, entity, static, number), entity, "label", *shares, seed), "entities")
+    rows = flat if fit_on == "all" else flat.join(entities.where(F.col("split") == "train").select(entity), entity, "left_semi")
+    fitted = fit_features(rows, static, number)
     order, _ = row_order()
     steps = flat if max_events is None else head_k_per_entity(flat, entity, order, max_events)
-    keyed = vector_cache_lookup(steps.select(entity, "icu_stay_id", "event_type", "event_text", RELATIVE_TIME), "event_text", vectors)
+    steps = steps.select(entity, "icu_stay_id", "event_type", "event_text", RELATIVE_TIME)
+    vectors = embed_text(flat.sparkSession, steps, "event_text", cache_path, encoder)
+    keyed = vector_cache_lookup(steps, "event_text", vectors)
     encoded = keyed.withColumn("vector", step_vector(fitted, F.col("embedding"))).drop("embedding")
     sequences = sequence_per_entity(encoded, entity, ["vector"], RELATIVE_TIME, TIES, part_rows)
     return TrainingSet(

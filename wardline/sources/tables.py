@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,12 @@ def conform(df: DataFrame, schema: StructType, table: str) -> DataFrame:
     ])
 
 
-def scan_tables(spark: SparkSession, root: str, tables: Iterable[str] = CLINICAL) -> dict[str, DataFrame]:
-    """The named clinical tables below ``root``, one Parquet folder or file each."""
-    return {t: conform(spark.read.parquet(f"{root}/{t}.parquet"), schema_of(t), t) for t in tables}
+def scan_tables(
+    spark: SparkSession, root: str, tables: Iterable[str] = CLINICAL, schemas: Mapping[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """The named tables below ``root``, one Parquet folder or file each, in their declared schemas (the clinical ones by default)."""
+    declared = (lambda t: schema_of(t)) if schemas is None else (lambda t: StructType.fromDDL(schemas[t]))
+    return {t: conform(spark.read.parquet(f"{root}/{t}.parquet"), declared(t), t) for t in tables}
 
 
 # Words that common data-frame readers take for a missing value.
@@ -34,10 +37,10 @@ MISSING_WORDS = (
 )
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, missing: Iterable[str] = ()) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | str, missing: Iterable[str] = MISSING_WORDS) -> DataFrame:
     """CSV with a header; quoted text may hold line breaks, commas and doubled quotes.
 
-    Text equal to one of the ``missing`` words reads as NULL (``MISSING_WORDS`` for the usual ones).
+    Text equal to one of the ``missing`` words reads as NULL; ``missing=()`` keeps them as text.
 
     A file with line breaks in its quotes cannot be split, so large exports should come in shards:
     a folder or glob reads them all as one table, a file per task. Empty text reads as NULL.

@@ -1,4 +1,8 @@
-"""Cache of text vectors: a Parquet table ``(text_md5, embedding)``."""
+"""Cache of text vectors: a Parquet table ``(text_md5, embedding)`` that holds every key once.
+
+Everything works on keys first: texts and vectors are fetched for the keys that are needed and never shuffled to be
+compared or merged.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.text import text_key, text_or_empty
+from wardline.session import stored
 
 CACHE_SCHEMA = "text_md5 string, embedding array<float>"
 
 
 def vector_cache_scan(spark: SparkSession, path: str) -> DataFrame:
-    """All cached vectors; unreadable files are skipped and a cache that does not exist is empty.
-
-    An append that was repeated may leave a key twice; both rows hold the same vector and one is kept.
-    """
+    """All cached vectors; unreadable files are skipped and a cache that does not exist is empty."""
     reader = spark.read.schema(CACHE_SCHEMA).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet")
     try:
-        cached = reader.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        cached = spark.createDataFrame([], CACHE_SCHEMA)
-    return cached.dropDuplicates(["text_md5"])
+        return spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def vector_cache_create(spark: SparkSession, path: str) -> None:
@@ -31,19 +32,49 @@ def vector_cache_create(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("ignore").parquet(path)
 
 
+def one_row_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key, chosen by the least row number; only keys and numbers are shuffled.
+
+    The rows are stored first, so that their numbers do not change between the two reads.
+    """
+    fixed = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first = fixed.groupBy(key).agg(F.min("_row").alias("_row"))
+    return fixed.join(first.select("_row"), "_row", "left_semi").drop("_row")
+
+
 def vector_cache_append(vectors: DataFrame, path: str) -> None:
-    vectors.select("text_md5", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("append").parquet(path)
+    """Add the vectors whose key the cache lacks; of several new rows with one key one is kept."""
+    spark = vectors.sparkSession
+    fresh = stored(vectors.select("text_md5", F.col("embedding").cast("array<float>").alias("embedding")), "fresh")
+    counted = fresh.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"))
+    known = vector_cache_scan(spark, path).select("text_md5")
+    wanted = counted.join(known, "text_md5", "left_anti")
+    new = fresh.join(wanted.select("text_md5"), "text_md5", "left_semi")
+    if not wanted.where("n > 1").isEmpty():
+        new = one_row_per_key(new, "text_md5")
+    new.write.mode("append").parquet(path)
+
+
+def distinct_keys(df: DataFrame, text: str) -> DataFrame:
+    """The cache keys of the texts, each once; merged before the shuffle."""
+    return df.select(text_key(F.col(text)).alias("text_md5")).distinct()
+
+
+def texts_of(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
+    """``(text_md5, text)`` for the asked keys, one row each."""
+    cleaned = df.select(text_key(F.col(text)).alias("text_md5"), text_or_empty(F.col(text)).alias("text"))
+    return one_row_per_key(cleaned.join(keys, "text_md5", "left_semi"), "text_md5")
 
 
 def distinct_texts(df: DataFrame, text: str) -> DataFrame:
-    """One row per distinct cleaned text, with its cache key; copies are merged before the shuffle."""
+    """One row per distinct cleaned text, with its cache key."""
     cleaned = df.select(text_key(F.col(text)).alias("text_md5"), text_or_empty(F.col(text)).alias("text"))
-    return cleaned.dropDuplicates(["text_md5"])
+    return one_row_per_key(cleaned, "text_md5")
 
 
-def vector_cache_misses(texts: DataFrame, cache: DataFrame) -> DataFrame:
-    """Texts without a cached vector."""
-    return texts.join(cache.select("text_md5"), "text_md5", "left_anti")
+def vector_cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows of ``keys`` (by ``text_md5``) without a cached vector."""
+    return keys.join(cache.select("text_md5"), "text_md5", "left_anti")
 
 
 def vector_cache_lookup(df: DataFrame, text: str, cache: DataFrame) -> DataFrame:
