@@ -41,9 +41,9 @@ def test_csv_keeps_line_breaks_quotes_and_null(spark, flat, tmp_path):
 
 def test_missing_words_read_as_null(spark, tmp_path):
     (tmp_path / "words.csv").write_text("id,word,n\n1,None,2.5\n2,some,NaN\n3,NA,\n")
-    rows = tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double", tables.MISSING_WORDS).collect()
+    rows = tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double").collect()
     assert [r.word for r in sorted(rows)] == [None, "some", None]
-    assert [r.word for r in tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double").collect()][0] == "None"
+    assert [r.word for r in tables.scan_csv(spark, str(tmp_path / "words.csv"), "id int, word string, n double", missing=()).collect()][0] == "None"
 
 
 def test_shared_folder_is_the_named_one(spark, tmp_path):
