@@ -22,7 +22,7 @@ from wardline.llm.linear import SLOTS, TRAINING_ROWS, Ftrl, fit_once, held_out,
 
 _TOKEN = re.compile(r"\w+|[.!?\n]")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_KEPT = 500_000
+_KEPT = 200_000
 
 
 class TokenTable(dict):
@@ -56,9 +56,9 @@ def sentences_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     tokens = _TOKEN.findall(text.lower())
     at = np.fromiter(map(_TABLE.__getitem__, tokens), np.int64, len(tokens))
     word = at > 0
-    distinct = np.unique(np.cumsum(~word)[word] * (2 * _KEPT) + at[word])
-    sentence = distinct // (2 * _KEPT)
-    return _TABLE.slots[distinct % (2 * _KEPT)].ravel(), 4 * np.flatnonzero(np.diff(sentence, prepend=-1))
+    distinct = np.unique(np.cumsum(~word)[word] * _TABLE.size + at[word])
+    sentence = distinct // _TABLE.size
+    return _TABLE.slots[distinct % _TABLE.size].ravel(), 4 * np.flatnonzero(np.diff(sentence, prepend=-1))
 
 
 def _features(text: str) -> dict:
@@ -67,9 +67,9 @@ def _features(text: str) -> dict:
     return {"slots": distinct.astype(np.int32), "at": at.astype(np.int32), "starts": starts.astype(np.int32)}
 
 
-def _train(rows: list[tuple[int, dict]], passes: int = 6) -> np.ndarray:
+def _train(rows: list[tuple[int, dict]], passes: int = 8) -> np.ndarray:
     positive = sum(label for label, _ in rows)
-    model = Ftrl(rate=0.5, l1=0.3, l2=1e-3, constant=-5.0)
+    model = Ftrl(rate=2.0, l1=3.0, l2=1e-3, constant=-5.0)
     constant = np.zeros(1, np.int64)
     if 0 < positive < len(rows):
         for _ in range(passes):
