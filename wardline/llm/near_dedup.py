@@ -216,31 +216,43 @@ def _uncertain(nodes: DataFrame, full: DataFrame, groups: DataFrame, similarity:
 
 
 def _exact_pairs(uncertain: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
-    """All pairs across components that share one of their rarest shingles, as alike sets must."""
-    layout = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    """All pairs across components that can be as alike as asked, by their rarest shingles.
+
+    In the order from the rarest shingle to the commonest, the first common shingle of two sets stands so early in both
+    that what follows it can still make up the overlap they need. Pairs inside a component are not even met: of each
+    shingle the rows of its commonest component are joined with those of the others only.
+    """
+    layout = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("shingle", pa.int64())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = np.frombuffer(packed, np.int64)
-                yield pa.record_batch([np.full(len(found), doc_id), np.full(len(found), len(found)), found], schema=layout)
+                same = [np.full(len(found), value) for value in (doc_id, len(found), np.bitwise_xor.reduce(found))]
+                yield pa.record_batch([*same, found], schema=layout)
 
-    members = sets.dropDuplicates(["doc_id"]).join(uncertain, "doc_id", "left_semi")
-    rows = stored(map_batches(members, spread, "doc_id long, n long, shingle long"), "shingles")
+    members = sets.join(uncertain, "doc_id", "left_semi").select("doc_id", "shingles").distinct()
+    rows = stored(map_batches(members, spread, "doc_id long, n long, set long, shingle long"), "shingles")
     counts = rows.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
-    rare = Window.partitionBy("doc_id").orderBy("documents", "shingle")
-    # shingles of one document alone come first in the order, so they use up places of the prefix
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
-    prefix = F.col("n") - F.ceil(F.col("n") * parts / whole) + 1
-    ranked = rows.join(counts, "shingle").select("doc_id", "n", "shingle", (F.row_number().over(rare) + alone).alias("place"))
-    first = ranked.where(F.col("place") <= prefix).join(uncertain, "doc_id")
-    mixed = first.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    first = stored(first.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "doc_id", "n", "component"), "prefixes")
-    left = first.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("group_a"))
-    right = first.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("group_b"))
-    fits = (F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b"))
-    fits &= whole * F.least("n_a", "n_b") >= parts * F.greatest("n_a", "n_b")
-    return left.join(right, "shingle").where(fits).select("a", "b").distinct()
+    of_one = Window.partitionBy("doc_id", "set")
+    # shingles of one document alone come first in the order, so they use up places
+    alone = F.col("n") - F.count("*").over(of_one)
+    place = F.row_number().over(of_one.orderBy("documents", "shingle")) + alone
+    ranked = rows.join(counts, "shingle").select("doc_id", "n", "shingle", place.alias("place"))
+    early = ranked.where(whole * (F.col("n") - F.col("place") + 1) >= parts * F.col("n")).join(uncertain, "doc_id")
+    by_group = early.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
+    mixed = by_group.groupBy("shingle").agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    early = stored(early.join(mixed.select("shingle", F.col("most.component").alias("commonest")), "shingle"), "early")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "place", "component")]
+    left = early.where("component <> commonest").select("shingle", "commonest", *side("a"))
+    right = early.select(F.col("shingle").alias("of"), *side("b"))
+    left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    meet = (F.col("shingle") == F.col("of")) & (F.col("component_a") != F.col("component_b"))
+    meet &= (F.col("component_b") == F.col("commonest")) | (F.col("doc_id_a") < F.col("doc_id_b"))
+    meet &= (whole + parts) * left_over >= parts * (F.col("n_a") + F.col("n_b"))
+    return left.join(right, meet).select(
+        F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, parts: int = 80, whole: int = 100) -> DataFrame:
