@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 _SAFE_CUT = re.compile(r" (?=\S)")
 #: A worker keeps this many parts, none longer than LONGEST_KEPT; more are encoded again, which changes no result.
-MOST_KEPT, LONGEST_KEPT = 600_000, 64
+MOST_KEPT, LONGEST_KEPT = 500_000, 64
 
 
 def cut(text: str) -> list[str]:

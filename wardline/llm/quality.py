@@ -20,7 +20,7 @@ from wardline.llm.common import bound_batches, free_name
 from wardline.llm.linear import SLOTS, TRAINING_ROWS, Ftrl, fit_once, held_out, mix, sigmoid, training_rows
 
 _SIGNS = re.compile(r"[^\W_]+")
-_KEPT = 500_000
+_KEPT = 200_000
 
 
 class WordTable(dict):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_KEPT = 500_000
+_KEPT = 200_000
 
 
 class WordHashes(dict):
