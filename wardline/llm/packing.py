@@ -37,8 +37,27 @@ def _encoder(path: str) -> PartEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
+    vocabulary = tokenizer.get_vocab()
+    starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens whose first byte is a blank
+    starts[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
+
     def encode_many(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Parts whose only blank is the one they start with go through the tokenizer together, and are told apart by it."""
+        found: list[bytes] = [b""] * len(texts)
+        joined = [i for i, text in enumerate(texts) if text[:1] == " " and " " not in text[1:]]
+        for begin in range(0, len(joined), 2_000):
+            some = joined[begin : begin + 2_000]
+            ids = tokenizer.encode_batch_fast(["".join([texts[i] for i in some])], add_special_tokens=False)[0].ids
+            ids = np.asarray(ids, "<u4")
+            at = (4 * np.flatnonzero(starts[ids])).tolist()
+            packed = ids.tobytes()
+            for i, start, end in zip(some, at, [*at[1:], len(packed)]):
+                found[i] = packed[start:end]
+        known = set(joined)
+        rest = [i for i in range(len(texts)) if i not in known]
+        for i, encoding in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            found[i] = np.asarray(encoding.ids, "<u4").tobytes()
+        return found
 
     return PartEncoder(encode_many)
 
