@@ -61,3 +61,43 @@ def test_passages_are_merged():
     words = np.arange(200, dtype="<u4")
     give = lambda a, b, of: {"words": words[a:b].tobytes(), "begin": a, "diagonal": 0, "of": of}
     assert passages(words, [give(0, 60, 9), give(40, 130, 4), give(140, 180, 1), give(150, 200, None)]) == [(0, 130, 4), (150, 200, None)]
+
+
+def brute_passages(rows):
+    """{document: [(from word, to word)]} of the runs of windows that another document has."""
+    rows = sorted(set(rows), key=str)
+    holders = defaultdict(set)
+    split = [(text or "").encode().lower().split() for _, text in rows]
+    for k, words in enumerate(split):
+        for i in range(len(words) - LEAST_WORDS + 1):
+            holders[tuple(words[i : i + LEAST_WORDS])].add(k)
+    spans = defaultdict(list)
+    for k, words in enumerate(split):
+        for i in range(len(words) - LEAST_WORDS + 1):
+            if len(holders[tuple(words[i : i + LEAST_WORDS])]) > 1:
+                if spans[k] and i < spans[k][-1][1]:
+                    spans[k][-1][1] = i + LEAST_WORDS
+                else:
+                    spans[k].append([i, i + LEAST_WORDS])
+    return sorted((rows[k][0], *span) for k, found in spans.items() for span in found)
+
+
+def spans_of(rows, found):
+    """The passages found as (doc_id, from word, to word), for rows with different ids."""
+    texts = dict(rows)
+    return sorted((r.doc_id, len(texts[r.doc_id][: r.start].split()), len(texts[r.doc_id][: r.end].split())) for r in found)
+
+
+def test_passages_with_a_line_that_many_documents_share(frame):
+    random.seed(11)
+    words = [f"w{i}" for i in range(5_000)]
+    some = lambda n: [random.choice(words) for _ in range(n)]
+    for length in (20, 34, 49):
+        line = some(length)
+        rows = [(1_000 + i, " ".join([*some(80), *line, *some(80)])) for i in range(200)]
+        for i in range(60):  # only the words before the line tell the pair from the others
+            lead = some(random.randrange(50 - length, 56 - length))
+            rows += [(10 * i + j, " ".join([*some(60), *lead, *line, *some(60)])) for j in range(2)]
+        expected = brute_passages(rows)
+        assert len({doc_id for doc_id, *_ in expected if doc_id < 1_000}) == 120
+        assert spans_of(rows, repeated_passages(frame(rows)).collect()) == expected

@@ -1,11 +1,12 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by windows of the least length, told by their hashes.
 
-Of each document only the suffixes that begin at content-selected places are kept: of every REACH consecutive runs of
-BLOCK words the one with the least hash. A passage of BLOCK + REACH - 1 words has such a place wherever it stands. The
-suffixes, told by the hashes of their next blocks, are sorted over the whole corpus and each is compared with its
-neighbours of other documents. Neighbours with a common first block are matches; those of two documents on one diagonal
-form a chain, and the words around the chain are fetched from the one and compared with those of the other, to the
-left and to the right, as far as they agree.
+Two documents share a passage exactly if they share one of its windows of LEAST_WORDS words, and the windows of a
+document that others have too, put together where they overlap, are its maximal passages. Most windows occur once. They
+are left out beforehand: every window is marked by the least hash of its runs of BLOCK words, which equal windows have
+in common, so only windows whose least run occurs in several documents are compared.
+
+Each distinct window of a document is one row, so neither a word repeated without end nor a passage that many documents
+hold makes pairs: the documents of a window are counted by its least and greatest row and never listed.
 
 Words are what ASCII white space separates, with A-Z lower-cased. Null and empty texts have no passage, nor have texts
 shorter than the least length. Repeated rows (same doc_id, same text) are one document, other rows with one doc_id are
@@ -19,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import documents_of, map_batches, stored
 from wardline.llm.shingles import windows, word_hashes
 
-LEAST_WORDS, BLOCK, BLOCKS = 50, 16, 4
+LEAST_WORDS, BLOCK = 50, 16
 REACH = LEAST_WORDS - BLOCK + 1
 #: Ids of documents with matches are sent to the texts up to this number (8 bytes each); more are joined by a shuffle.
 MOST_SENT = 2_000_000
@@ -55,99 +56,53 @@ def selected(hashes: np.ndarray) -> np.ndarray:
     return np.asarray(kept, np.int64)
 
 
-_SUFFIX = "key binary, row long, pos int"
-_SUFFIX_LAYOUT = pa.schema([("key", pa.binary()), ("row", pa.int64()), ("pos", pa.int32())])
+def _lists(column: pa.ListArray, *fields: int) -> Iterator[list[np.ndarray]]:
+    """The values of each row's list, or of the fields of its structs."""
+    values = column.flatten()
+    parts = [values.field(i) for i in fields] if fields else [values]
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    for begin, end in zip([0, *ends], ends):
+        yield [part.slice(begin, end - begin) for part in parts]
+
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, row): the distinct least hashes of the windows of each document."""
+    layout = pa.schema([("block", pa.int64()), ("row", pa.int64())])
 
-def _suffixes(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, places = [], [], []
+            blocks, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = word_hashes(text)
-                if len(words) < LEAST_WORDS:
-                    continue
-                hashes = windows(words, BLOCK)
-                at = selected(hashes)
-                after = at[:, None] + BLOCK * np.arange(BLOCKS)
-                key = np.where(after < len(hashes), hashes[np.minimum(after, len(hashes) - 1)], 0).astype(">u8").tobytes()
-                keys += [key[i : i + 8 * BLOCKS] for i in range(0, len(key), 8 * BLOCKS)]
-                rows.append(np.full(len(at), row, np.int64))
-                places.append(at.astype(np.int32))
-            yield pa.record_batch([
-                pa.array(keys, pa.binary()), np.concatenate(rows) if rows else pa.array([], pa.int64()),
-                np.concatenate(places) if places else pa.array([], pa.int32()),
-            ], schema=_SUFFIX_LAYOUT)
-
-    return map_batches(_keyed(docs).select("row", "text"), make, _SUFFIX)
+                hashes = windows(word_hashes(text), BLOCK)
+                blocks.append(np.unique(hashes[selected(hashes)]).view(np.int64))
+                rows.append(np.full(len(blocks[-1]), row, np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(blocks)), pa.array(np.concatenate(rows))], schema=layout)
 
+    return map_batches(_keyed(docs).select("row", "text"), make, "block long, row long")
 
-_MATCH = "kind string, row long, pos int, other long, other_pos int, key binary"
-_MATCH_LAYOUT = pa.schema([
-    ("kind", pa.string()), ("row", pa.int64()), ("pos", pa.int32()), ("other", pa.int64()), ("other_pos", pa.int32()), ("key", pa.binary()),
-])
-
-
-def _neighbours(edges: bool):
-    """Match each suffix with the nearest one before it that belongs to another document, in both directions.
-
-    With ``edges`` also gives the suffixes at both ends of the task, which meet those of the neighbouring tasks later.
-    """
 
-    def edge(block, row, pos, keys) -> pa.RecordBatch:
-        m = len(keys)
-        return pa.record_batch([
-            pa.array(["edge"] * m, pa.string()), pa.array(row), pa.array(pos), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(keys, pa.binary()),
-        ], schema=_MATCH_LAYOUT)
+def _windows(texts: DataFrame) -> DataFrame:
+    """(hash, row, doc_id): the distinct windows whose least hash is among the row's ``blocks``."""
+    layout = pa.schema([("hash", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64())])
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # the last suffix and the last one of another document than that
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_pylist()
-            row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            block = np.frombuffer(b"".join(key[:8] for key in keys), ">u8").astype(np.uint64)
-            if kept is None:
-                new = 0
-                if edges:
-                    until = int(np.argmax(row != row[0])) + 1 if (row != row[0]).any() else 1
-                    yield edge(block[[0, until - 1]], row[[0, until - 1]], pos[[0, until - 1]], [keys[0], keys[until - 1]])
-            else:
-                new = len(kept[0])
-                block, row, pos = (np.concatenate([old, now]) for old, now in zip(kept[:3], (block, row, pos)))
-                keys = kept[3] + keys
-            n = len(row)
-            starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            begin = starts[np.searchsorted(starts, np.arange(n), side="right") - 1]
-            at = np.arange(new, n)
-            at = at[begin[at] > 0]
-            before = begin[at] - 1
-            both = block[at] == block[before]
-            at, before = at[both], before[both]
-            if at.size:
-                one, two = np.concatenate([at, before]), np.concatenate([before, at])
-                m = len(one)
+            for row, doc_id, text, (blocks,) in zip(*(column.to_pylist() for column in batch.columns[:3]), _lists(batch.column(3))):
+                words = word_hashes(text)
+                least = np.lib.stride_tricks.sliding_window_view(windows(words, BLOCK), REACH).min(axis=1)
+                common = np.isin(least, blocks.to_numpy(zero_copy_only=False).view(np.uint64))
+                hashes = np.unique(windows(words, LEAST_WORDS)[common]).view(np.int64)
                 yield pa.record_batch([
-                    pa.array(["match"] * m, pa.string()), pa.array(row[one]), pa.array(pos[one]), pa.array(row[two]), pa.array(pos[two]), pa.nulls(m, pa.binary()),
-                ], schema=_MATCH_LAYOUT)
-            last = [begin[-1] - 1, n - 1] if begin[-1] > 0 else [n - 1]
-            kept = block[last], row[last], pos[last], [keys[i] for i in last]
-        if edges and kept is not None:
-            yield edge(*kept)
+                    pa.array(hashes), pa.array(np.full(len(hashes), row, np.int64)), pa.array([doc_id] * len(hashes), pa.int64()),
+                ], schema=layout)
 
-    return match
+    return map_batches(texts.select("row", "doc_id", "text", "blocks"), make, "hash long, row long, doc_id long")
 
 
-def _matches(docs: DataFrame) -> DataFrame:
-    """(row, pos, other, other_pos) of neighbouring suffixes with a common first block."""
-    order = ["key", "row", "pos"]
-    suffixes = _suffixes(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(map_batches(suffixes, _neighbours(edges=True), _MATCH), "matches")
-    # two or three suffixes per task: what stands on either side of a border between tasks
-    borders = found.where("kind = 'edge'").select(*order).distinct().coalesce(1).sortWithinPartitions(*order)
-    across = map_batches(borders, _neighbours(edges=False), _MATCH)
-    return found.unionByName(across).where("kind = 'match'").select("row", "pos", "other", "other_pos")
+def _in_several(df: DataFrame, key: str, *more) -> DataFrame:
+    """The keys that rows of several documents have. Stored, so that a join with them can split a frequent key."""
+    counted = df.groupBy(key).agg(F.min("row").alias("low"), F.max("row").alias("high"), *more).where("low <> high")
+    return stored(counted.drop("low", "high"), key)
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -158,52 +113,56 @@ def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, other_doc_id): the maximal passages, in code points, that another document has too.
 
-    ``other_doc_id`` is the least id of the documents found to share the longest match inside the passage.
+    For each window the least id of its documents is taken, the greatest where the least is the document's own.
+    ``other_doc_id`` is the one taken for the longest run of windows in the passage, of equal runs the least.
     """
-    diagonal = (F.col("other_pos") - F.col("pos")).alias("diagonal")
-    chains = stored(_matches(docs).select("row", "other", diagonal, "pos").groupBy("row", "other", "diagonal").agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last")
-    ), "chains")
-    texts = _texts_of(docs, stored(chains.select("row").distinct(), "rows"))  # matches go both ways
-    asked = chains.groupBy(F.col("other").alias("row")).agg(F.collect_list(F.struct(
-        F.col("row").alias("to"), "diagonal", (F.col("first") + F.col("diagonal")).alias("first"), (F.col("last") + F.col("diagonal")).alias("last")
-    )).alias("asked"))
-    piece_layout = pa.schema([("row", pa.int64()), ("of", pa.int64()), ("diagonal", pa.int32()), ("begin", pa.int32()), ("words", pa.binary())])
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text, wanted in zip(*(column.to_pylist() for column in batch.columns)):
-                words = word_hashes(text).astype("<u4")
-                out = []
-                for w in wanted:
-                    begin = max(0, w["first"] - LEAST_WORDS)
-                    out.append((w["to"], doc_id, w["diagonal"], begin, words[begin : w["last"] + BLOCK + LEAST_WORDS].tobytes()))
-                yield pa.record_batch([list(column) for column in zip(*out)], schema=piece_layout)
-
-    pieces = map_batches(
-        texts.join(asked, "row").select("doc_id", "text", "asked"), fetch, "row long, of long, diagonal int, begin int, words binary"
-    )
-    given = pieces.groupBy("row").agg(F.collect_list(F.struct("of", "diagonal", "begin", "words")).alias("given"))
+    blocks = stored(_blocks(docs), "blocks")
+    asked = stored(blocks.join(_in_several(blocks, "block"), "block").groupBy("row").agg(F.collect_list("block").alias("blocks")), "asked")
+    found = stored(_windows(_texts_of(docs, asked.select("row")).join(asked, "row")), "windows")
+    ids = F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.max(F.col("doc_id").isNull()).alias("without_id")
+    own = F.col("least").eqNullSafe(F.col("greatest")) & F.col("without_id")
+    other = F.when(F.col("doc_id").isNull() | (F.col("least") != F.col("doc_id")), F.col("least")).when(~own, F.col("greatest"))
+    shared = found.join(_in_several(found, "hash", *ids), "hash").select("row", F.struct("hash", other.alias("other")).alias("window"))
+    given = stored(shared.groupBy("row").agg(F.collect_list("window").alias("given")), "given")
     span_layout = pa.schema([
         ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("other_doc_id", pa.int64()),
     ])
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, pieces in zip(*(column.to_pylist() for column in batch.columns)):
-                found = passages(word_hashes(text).astype("<u4"), pieces)
-                if found:
-                    places = [match.span() for match in _WORD.finditer(text)]
-                    out += [(doc_id, places[a][0], places[b - 1][1], b - a, other) for a, b, other in found]
+            for doc_id, text, (hashes, others) in zip(*(column.to_pylist() for column in batch.columns[:2]), _lists(batch.column(2), 0, 1)):
+                words = word_hashes(text)
+                found = passages(words.astype("<u4"), _runs(words, hashes.to_numpy(zero_copy_only=False), others))
+                places = [match.span() for match in _WORD.finditer(text)]
+                out += [(doc_id, places[a][0], places[b - 1][1], b - a, other) for a, b, other in found]
             yield pa.record_batch([list(column) for column in zip(*out)] or [[]] * 5, schema=span_layout)
 
     return map_batches(
-        texts.join(given, "row").select("doc_id", "text", "given"), extend,
+        _texts_of(docs, given.select("row")).join(given, "row").select("doc_id", "text", "given"), gather,
         "doc_id long, start long, end long, n_words long, other_doc_id long",
     )
 
 
+def _runs(words: np.ndarray, hashes: np.ndarray, others: pa.Array) -> list[dict]:
+    """The runs of neighbouring windows that are among ``hashes`` with the same other document, as pieces of the words."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    own = windows(words, LEAST_WORDS).view(np.int64)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    places = np.flatnonzero(hashes[at] == own)
+    ids = others.fill_null(0).to_numpy(zero_copy_only=False)[order][at[places]]
+    none = others.is_null().to_numpy(zero_copy_only=False)[order][at[places]]
+    new = np.concatenate([[True], (np.diff(places) > 1) | (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(places)]]) - 1
+    words = words.astype("<u4")
+    return [
+        {"words": words[places[a] : places[b] + LEAST_WORDS].tobytes(), "begin": int(places[a]), "diagonal": 0, "of": None if none[a] else int(ids[a])}
+        for a, b in zip(first, last)
+    ]
+
+
 def passages(words: np.ndarray, pieces: list[dict]) -> list[tuple[int, int, int | None]]:
     """(from word, to word, other document), merged where they overlap, from the words that the others have."""
     spans = []
