@@ -101,3 +101,17 @@ def test_passages_with_a_line_that_many_documents_share(frame):
         expected = brute_passages(rows)
         assert len({doc_id for doc_id, *_ in expected if doc_id < 1_000}) == 120
         assert spans_of(rows, repeated_passages(frame(rows)).collect()) == expected
+
+
+def test_every_copy_inside_a_document_is_found(frame):
+    random.seed(12)
+    words = [f"w{i}" for i in range(5_000)]
+    some = lambda n: [random.choice(words) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        passage = some(60)
+        many = [word for _ in range(6) for word in [*passage, *some(70)]]
+        rows += [(10 * i, " ".join([*some(30), *many])), (10 * i + 1, " ".join([*some(30), *passage, *some(30)]))]
+    expected = brute_passages(rows)
+    assert len(expected) >= 40 * 7
+    assert spans_of(rows, repeated_passages(frame(rows)).collect()) == expected
