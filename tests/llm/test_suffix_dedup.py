@@ -115,3 +115,20 @@ def test_every_copy_inside_a_document_is_found(frame):
     expected = brute_passages(rows)
     assert len(expected) >= 40 * 7
     assert spans_of(rows, repeated_passages(frame(rows)).collect()) == expected
+
+
+def test_passages_are_whole_among_many_holders(frame):
+    random.seed(13)
+    words = [f"w{i}" for i in range(5_000)]
+    some = lambda n: [random.choice(words) for _ in range(n)]
+    rows = []
+    for i in range(20):
+        passage = some(400)
+        rows += [(100 * i + j, " ".join([*some(20), *passage, *some(20)])) for j in (50, 51)]
+        for j in range(12):  # holders of a part of it, which come between the two
+            begin = random.randrange(340)
+            rows.append((100 * i + j, " ".join([*some(20), *passage[begin : begin + 55], *some(20)])))
+    expected = brute_passages(rows)
+    found = repeated_passages(frame(rows)).collect()
+    assert spans_of(rows, found) == expected
+    assert all(r.n_words == 400 for r in found if r.doc_id % 100 >= 50)
