@@ -77,3 +77,18 @@ def test_query(spark, sf_dir):
     used = check_layout([(r.sequence_id, r.offset, r.length) for r in rows], 2048)
     assert sum(r.length for r in rows) == sum(len(ids_of(t)) for t in texts.values())
     assert used <= 1.1 * -(-sum(r.length for r in rows) // 2048) + 2
+
+
+def test_added_tokens_are_what_the_library_makes_of_them(frame):
+    token = "<|endoftext|>"
+    texts = [
+        f"x{token}y", token, f" {token}", f"a {token} b", f"a  {token}  b c", f"a\n {token}\n c", f"{token}{token} {token}", "plain words", " b\n", f"{token[:-1]} c",
+    ]
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = []
+    for i, text in enumerate(texts):
+        ids = np.asarray([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        expected.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [87, 50256, 88]
+    found = pack_documents(frame(list(enumerate(texts))), PATH).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in found) == expected

@@ -35,16 +35,19 @@ def _encoder(path: str) -> PartEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
 
     vocabulary = tokenizer.get_vocab()
     starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens whose first byte is a blank
     starts[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
 
+    def has_added(text: str) -> bool:
+        return any(token in text for token in added)
+
     def encode_many(texts: list[str]) -> list[bytes]:
         """Parts whose only blank is the one they start with go through the tokenizer together, and are told apart by it."""
         found: list[bytes] = [b""] * len(texts)
-        joined = [i for i, text in enumerate(texts) if text[:1] == " " and " " not in text[1:]]
+        joined = [i for i, text in enumerate(texts) if text[:1] == " " and " " not in text[1:] and not has_added(text)]
         for begin in range(0, len(joined), 2_000):
             some = joined[begin : begin + 2_000]
             ids = tokenizer.encode_batch_fast(["".join([texts[i] for i in some])], add_special_tokens=False)[0].ids
@@ -59,7 +62,7 @@ def _encoder(path: str) -> PartEncoder:
             found[i] = np.asarray(encoding.ids, "<u4").tobytes()
         return found
 
-    return PartEncoder(encode_many)
+    return PartEncoder(encode_many, has_added)
 
 
 def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int, closing_id: int) -> DataFrame:

@@ -23,11 +23,12 @@ def cut(text: str) -> list[str]:
 class PartEncoder:
     """Encodes whole texts into packed little-endian unsigned 32-bit ids.
 
-    ``encode_many`` takes strings and returns their packed ids in the same order.
+    ``encode_many`` takes strings and returns their packed ids in the same order. Texts for which ``whole`` holds are
+    not cut: white space before an added token ends a text of its own there, and is no longer cut at every blank.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], whole: Callable[[str], bool] = lambda text: False):
+        self.encode_many, self.whole = encode_many, whole
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -35,7 +36,7 @@ class PartEncoder:
         group: list[list[str]] = []
         size = 0
         for text in texts:
-            group.append(cut(text))
+            group.append([text] if self.whole(text) else cut(text))
             size += len(text)
             if size > 3_000_000:
                 yield from self._group(group)
