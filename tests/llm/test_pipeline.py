@@ -63,3 +63,13 @@ def test_awkward_documents_pass_every_stage(spark, sf_dir, awkward):
 def test_without(spark, frame):
     docs = frame([(1, "a"), (None, "b"), (2, "c"), (2, "d")])
     assert sorted(str(r.doc_id) for r in without(docs, spark.createDataFrame([(2,), (None,)], "doc_id long")).collect()) == ["1", "None"]
+
+
+def test_other_texts_under_an_id_that_goes_stay(spark, sf_dir, frame):
+    stay = lambda stage, rows: sorted((r.doc_id, r.text) for r in stage(spark, frame(rows), sf_dir).collect())
+    rows = [(5, "a"), (5, "b"), (9, "A")]
+    assert stay(corpus_pipeline.exact_dedup, rows) == [(5, "b"), (9, "A")]
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(3, text), (5, text + " end"), (5, "other words under this id, not like any"), (7, text + " x"), (None, text)]
+    found = corpus_pipeline.near_dedup(spark, frame(rows), sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(i), t) for i, t in (rows[0], rows[2], rows[4]))

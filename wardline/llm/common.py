@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.session import stored  # noqa: F401
@@ -44,15 +44,22 @@ def documents_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-#: Ids to leave out are sent to the documents up to this number (8 bytes each); more are joined by a shuffle.
+#: Ids to leave out are sent to the documents up to this number (16 bytes each at most); more are joined by a shuffle.
 MOST_SENT = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows without doc_id stay."""
-    ids = stored(ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+def without(docs: DataFrame, ids: DataFrame, text_key: Column | None = None) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; rows without doc_id stay.
+
+    With ``text_key``, an expression over ``docs``, only those that have the ``text_key`` of ``ids`` as well.
+    """
+    keys = [F.col("doc_id").alias("gone")] + ([] if text_key is None else [F.col("text_key").alias("gone_text")])
+    ids = stored(ids.where(F.col("doc_id").isNotNull()).select(*keys).distinct(), "gone")
     few = ids.count() <= MOST_SENT
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["gone"], "left_anti")
+    same = docs["doc_id"] == ids["gone"]
+    if text_key is not None:
+        same &= text_key == ids["gone_text"]
+    return docs.join(F.broadcast(ids) if few else ids, same, "left_anti")
 
 
 def free_name(df: DataFrame, name: str) -> str:
