@@ -75,3 +75,13 @@ def test_viterbi_is_the_best_split(spark):
     table = spark.createDataFrame(list(counts.items()), "word string, n long")
     found = {r.label: r.words for r in segment(labels, table).collect()}
     assert found["thethinking"] == viterbi("thethinking", counts, total) and found[""] == [] and "".join(found["é漢"]) == "é漢"
+
+
+def test_words_of_any_length_are_known(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(1, None, f"<p>{word} the {word}</p>")], "page_id long, url string, html string")
+    counts = word_counts(pages, "html")
+    assert {r.word: r.n for r in counts.collect()} == {word: 2, "the": 1}
+    labels = spark.createDataFrame([(word,), (f"the{word}the",), (word[:-1],)], "label string")
+    found = {r.label: r.words for r in segment(labels, counts).collect()}
+    assert found[word] == [word] and found[f"the{word}the"] == ["the", word, "the"] and len(found[word[:-1]]) > 1

@@ -30,6 +30,7 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 SLOTS = 1 << 16
+#: Longer words are looked up by their first so many letters; longer splits are tried only for words that are known.
 LONGEST_WORD = 24
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,15 +56,16 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """(word, n) over the whole texts, without markup; words of a to z as they could stand in a host."""
     plain = F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), "<[^>]*>", " ")
     words = F.regexp_extract_all(F.lower(plain), F.lit("[a-z]+"), F.lit(0))
-    found = texts.select(F.explode(words).alias("word")).where(F.length("word") <= LONGEST_WORD)
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
     """The most likely split of ``label``; of equal ones the one with the longer last word."""
     best, back = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
+    longer = sorted({len(word) for word in counts if len(word) > LONGEST_WORD}, reverse=True)
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
+        known = [end - length for length in longer if length <= end and label[end - length : end] in counts]
+        for start in [*known, *range(max(0, end - LONGEST_WORD), end)]:
             word = label[start:end]
             n = counts.get(word)
             cost = math.log(n / total) if n else -math.log(total) - 2.3 * (len(word) + 1)
@@ -85,7 +87,12 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
         F.sequence(s, F.least(s + LONGEST_WORD - 1, n)), lambda e: F.substring("label", s, e - s + 1)
     )))
     parts = labels.where(n > 0).select("label", F.explode(F.array_distinct(inside)).alias("word"))
-    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    longer = counts.where(F.length("word") > LONGEST_WORD).select(
+        F.substring("word", 1, LONGEST_WORD).alias("start"), F.col("word").alias("whole"), "n"
+    )
+    starts_of = parts.where(F.length("word") == LONGEST_WORD)
+    whole = starts_of.join(longer, (F.col("word") == F.col("start")) & F.contains("label", "whole")).select("label", F.col("whole").alias("word"), "n")
+    known = parts.join(counts, "word").select("label", "word", "n").unionByName(whole).groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     layout = pa.schema([("label", pa.string()), ("words", pa.list_(pa.string()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
