@@ -18,6 +18,7 @@ from wardline.llm.secret_scan import scan_secrets
 from wardline.llm.suffix_dedup import repeated_passages
 from wardline.llm.toxicity import score_toxicity
 from wardline.llm.url_filter import filter_urls, word_counts
+from wardline.llm.whitening import whiten_embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +94,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
