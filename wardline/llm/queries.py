@@ -18,6 +18,7 @@ from wardline.llm.quality import score_quality
 from wardline.llm.secret_scan import scan_secrets
 from wardline.llm.suffix_dedup import repeated_passages
 from wardline.llm.toxicity import score_toxicity
+from wardline.llm.trie_join import jaccard_join
 from wardline.llm.url_filter import filter_urls, word_counts
 from wardline.llm.whitening import whiten_embeddings
 
@@ -97,6 +98,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_table(spark, sf_dir, "documents"), words=3, parts=90, whole=100)
+
+
 @register
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read_table(spark, sf_dir, "documents"))
