@@ -122,9 +122,11 @@ def vector_cache_append(t: Tables) -> DataFrame:
 def attention_sink(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "attention")
     weights = t.embeddings.select(
-        (F.col("vec_id") % 5).cast("int").alias("epoch"), "vec_id", F.posexplode("embedding").alias("pos", "weight")
+        (F.col("vec_id") % 5).cast("int").alias("epoch"), (F.col("vec_id") % 15).cast("int").alias("batch"), "vec_id",
+        F.posexplode("embedding").alias("pos", "weight"),
     )
     tables.attention_sink(weights, path)
+    tables.attention_sink(weights.where("epoch = 1"), path)  # an epoch that is run again
     back = t.spark.read.parquet(path)
     return back.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum(F.col("weight").cast("double")), 4).alias("total"))
 
@@ -477,6 +479,18 @@ def embed_text(t: Tables) -> DataFrame:
     return slots.select("text_md5", "slot", F.round("value", 5).alias("value"))
 
 
+_CUT_SQL = _WORDS_SQL.replace("lower(text)", r"lower(array_to_string(regexp_split_to_array(regexp_replace(text, '^[ \t\n\f\r]+', ''), '[ \t\n\f\r]+')[1:16], ' '))")
+
+
+@query("embed_text_cut", f"""SELECT text_md5, slot, round((value / sqrt(sum(value * value) OVER (PARTITION BY text_md5)))::float, 5) AS value FROM (
+  SELECT text_md5, (('0x' || md5(word)[1:8])::bigint % 768)::int AS slot, sum(CASE WHEN md5(word)[9] < '8' THEN 1.0::double ELSE -1.0::double END) AS value
+  FROM ({_CUT_SQL}) WHERE word <> '' GROUP BY 1, 2) WHERE value <> 0""")
+def embed_text_cut(t: Tables) -> DataFrame:
+    cache = embedding.embed_text(t.spark, t.documents, "text", scratch_path(t.spark, "embeddings"), max_tokens=16)
+    slots = cache.select("text_md5", F.posexplode("embedding").alias("slot", "value")).where("value <> 0")
+    return slots.select("text_md5", "slot", F.round("value", 5).alias("value"))
+
+
 @query("project_vector", """SELECT vec_id, c::int AS slot, round(sum(x * CASE WHEN md5('42:' || r::varchar || ':' || c::varchar)[1] < '8' THEN 1 ELSE -1 END) / sqrt(16::double), 5) AS value
   FROM (SELECT vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS r FROM embeddings), range(16) t(c) GROUP BY 1, 2""")
 def project_vector(t: Tables) -> DataFrame:

@@ -126,3 +126,40 @@ def test_projection_is_linear_and_repeatable(spark):
     rows = {r.id: np.array(r.projected) for r in embedding.project_vector(df, "v", 3, 5).collect()}
     matrix = embedding.projection_matrix(3, 5)
     assert np.allclose(rows[1], matrix[0] + 2 * matrix[2]) and not rows[2].any()
+
+
+def test_a_second_run_of_an_epoch_takes_the_place_of_the_first(spark, tmp_path):
+    path = str(tmp_path / "attention")
+    weights = spark.range(60).selectExpr("cast(id % 3 as int) as epoch", "cast(id % 2 as int) as batch", "id", "id / 7.0D as weight")
+    for part in (weights, weights.where("epoch = 1"), weights.where("epoch = 2 and batch = 0"), weights):
+        tables.attention_sink(part, path)
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select(weights.columns).collect())) == sorted(map(tuple, weights.collect()))
+    tables.attention_sink(weights.where("epoch = 1 and batch = 1").limit(2), path)
+    counts = {(r.epoch, r.batch): r["count"] for r in spark.read.parquet(path).groupBy("epoch", "batch").count().collect()}
+    assert counts == {(e, b): 2 if (e, b) == (1, 1) else 10 for e in range(3) for b in range(2)}
+
+
+def test_default_vectors_are_made_where_the_texts_are_read(spark, tables):
+    texts = vector_cache.keyed_texts(tables.documents, "text")
+    plan = embedding.hashed_word_vectors(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_token_cut(spark, tmp_path):
+    docs = spark.createDataFrame([("  one two  three four",), ("one two",), ("",), (" \n ",), (None,), ("one two",)], "t string")
+    cut = embedding.embed_text(spark, docs, "t", str(tmp_path / "cut"), max_tokens=2)
+    whole = embedding.embed_text(spark, spark.createDataFrame([("one two",)], "t string"), "t", str(tmp_path / "whole")).first()
+    assert cut.count() == 4
+    assert sorted(sum(map(bool, r.embedding)) for r in cut.collect()) == [0, 0, 2, 2]
+    assert [list(r.embedding) for r in cut.collect() if any(r.embedding)] == [list(whole.embedding)] * 2
+
+    def lengths(texts):
+        return [[len(text.split()), len(texts), max(len(t.split()) for t in texts)] for text in texts]
+
+    many = spark.createDataFrame([("w " * n + f"x{k}",) for k, n in enumerate([1, 50, 2, 49, 3, 200, 1, 2])], "t string").coalesce(1)
+    rows = embedding.embed_text(spark, many, "t", str(tmp_path / "many"), lengths, budget=110).collect()
+    assert sorted(r.embedding[0] for r in rows) == [2, 2, 3, 3, 4, 50, 51, 201]
+    assert all(r.embedding[1] * r.embedding[2] <= 110 or r.embedding[1] == 1 for r in rows)
+    short = embedding.embed_text(spark, many, "t", str(tmp_path / "short"), lengths, max_tokens=10).collect()
+    assert max(r.embedding[0] for r in short) == 10

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -17,71 +19,130 @@ from wardline.sources import vector_cache as cache
 # Fixed values
 WIDTH = 768
 BATCH = 32
+#: Words whose slots a task remembers; further ones are hashed again, which changes no result.
+KNOWN_WORDS = 200_000
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def word_slots(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Signed word counts per (text, slot); a text without words has one row with a NULL slot."""
-    words = texts.select("text_md5", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
-    digest = words.select("text_md5", F.when(F.col("word") != "", F.md5("word")).alias("digest"))
-    slot = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % width
-    sign = F.when(F.substring("digest", 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
-    return digest.groupBy("text_md5", slot.cast("int").alias("slot")).agg(F.sum(sign).alias("value"))
+def cut_tokens(text: Column, max_tokens: int | None) -> Column:
+    """The first ``max_tokens`` tokens, told apart by white space; the whole text without a limit."""
+    if max_tokens is None:
+        return text
+    tokens = F.split(F.regexp_replace(text, r"^[ \t\n\f\r]+", ""), r"[ \t\n\f\r]+", max_tokens + 1)
+    return F.array_join(F.slice(tokens, 1, max_tokens), " ")
 
 
-def hashed_word_vectors(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Default encoder: hashed word counts of the whole text, scaled to length 1.
+def hashed_word_vectors(texts: DataFrame, width: int = WIDTH, max_tokens: int | None = None) -> DataFrame:
+    """Default encoder: ``(text_md5, part, embedding)``, signed hashed word counts of the whole text, scaled to length 1.
 
-    Distinct texts are partitioned by their key, and both aggregations keep that partitioning: the
-    words never leave the task of their text. A text fills at most ``width`` slots, which bounds its list.
+    Words are split by Spark and counted into one array of fixed width per text, in the task that reads the text: nothing
+    is shuffled. A task encodes a text once, ``part`` is its number; texts of several tasks are left for the caller.
+    """
+    words = F.split(F.lower(cut_tokens(F.col("text"), max_tokens)), r"[^\p{L}\p{N}]+")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {"": 0}
+        done: set[str] = set()
+        part = TaskContext.get().partitionId()
+
+        def code(word: str) -> int:
+            """Twice the slot, one more for a negative sign, after 0 for no word."""
+            value = known.get(word)
+            if value is None:
+                digest = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+                value = 2 + 2 * (int(digest[:8], 16) % width) + (digest[8] >= "8")
+                if len(known) < KNOWN_WORDS:
+                    known[word] = value
+            return value
+
+        for batch in batches:
+            keys, vectors = [], []
+            for key, of_text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key in done:
+                    continue
+                done.add(key)
+                found = of_text.as_py()
+                codes = np.fromiter(map(code, found), np.int64, len(found))
+                codes = codes[codes > 0] - 2
+                counted = np.bincount(codes // 2, 1.0 - 2.0 * (codes % 2), width)
+                length = np.sqrt((counted * counted).sum())
+                keys.append(key)
+                vectors.append((counted / length if length else counted).astype(np.float32))
+            flat = np.concatenate(vectors) if vectors else np.zeros(0, np.float32)
+            ends = pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32))
+            yield pa.record_batch([
+                pa.array(keys, pa.string()), pa.array([part] * len(keys), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(flat)),
+            ], names=["text_md5", "part", "embedding"])
+
+    return texts.select("text_md5", words.alias("words")).mapInArrow(encode, "text_md5 string, part int, embedding array<float>")
+
+
+def encoded_vectors(
+    texts: DataFrame, encoder: Encoder, batch: int = BATCH, max_tokens: int | None = None, budget: int | None = None
+) -> DataFrame:
+    """Vectors of any encoder, called with up to ``batch`` texts at a time inside the tasks.
+
+    With ``budget`` texts of similar length go together: the tokens of a call, all texts padded to its longest, stay within
+    it, unless one text alone is longer.
     """
-    used = F.col("slot").isNotNull()
-    filled = word_slots(texts, width).groupBy("text_md5").agg(
-        F.sort_array(F.collect_list(F.when(used, F.struct("slot", "value")))).alias("slots"),
-        F.sqrt(F.sum(F.when(used, F.col("value") * F.col("value")))).alias("length"),
-    )
-    zero, slots = F.lit(0.0).cast("float"), F.col("slots")
-
-    def with_gap(entry: Column, at: Column) -> Column:
-        """A slot preceded by the empty slots since the one before."""
-        before = F.when(at > 0, F.get(slots, at - 1)["slot"]).otherwise(F.lit(-1))
-        share = F.when(F.col("length") > 0, entry["value"] / F.col("length")).otherwise(F.lit(0.0)).cast("float")
-        return F.concat(F.array_repeat(zero, entry["slot"] - before - 1), F.array(share))
-
-    last = F.coalesce(F.get(slots, F.size(slots) - 1)["slot"], F.lit(-1))
-    vector = F.concat(F.flatten(F.transform(slots, with_gap)), F.array_repeat(zero, F.lit(width - 1) - last))
-    return filled.select("text_md5", vector.alias("embedding"))
-
 
-def encoded_vectors(texts: DataFrame, encoder: Encoder, batch: int = BATCH) -> DataFrame:
-    """Vectors of any encoder, called with ``batch`` texts at a time inside the tasks."""
+    def calls(lengths: list[int]) -> Iterator[list[int]]:
+        order = range(len(lengths)) if budget is None else sorted(range(len(lengths)), key=lengths.__getitem__)
+        some: list[int] = []
+        for i in order:
+            if some and (len(some) == batch or (budget is not None and (len(some) + 1) * lengths[i] > budget)):
+                yield some
+                some = []
+            some.append(i)
+        if some:
+            yield some
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             words = frame["text"].tolist()
-            vectors = [np.asarray(encoder(words[i:i + batch]), dtype=np.float32) for i in range(0, len(words), batch)]
-            yield pd.DataFrame({"text_md5": frame["text_md5"], "embedding": [v for chunk in vectors for v in chunk]})
+            vectors: list = [None] * len(words)
+            for some in calls([len(text.split()) for text in words]):
+                for i, vector in zip(some, np.asarray(encoder([words[i] for i in some]), dtype=np.float32)):
+                    vectors[i] = vector
+            yield pd.DataFrame({"text_md5": frame["text_md5"], "embedding": vectors})
 
-    return texts.select("text_md5", "text").mapInPandas(encode, cache.CACHE_SCHEMA)
+    return texts.select("text_md5", cut_tokens(F.col("text"), max_tokens).alias("text")).mapInPandas(encode, cache.CACHE_SCHEMA)
 
 
-def embed_text(spark: SparkSession, df: DataFrame, text: str, cache_path: str, encoder: Encoder | None = None) -> DataFrame:
+def embed_text(
+    spark: SparkSession, df: DataFrame, text: str, cache_path: str, encoder: Encoder | None = None,
+    max_tokens: int | None = None, budget: int | None = None,
+) -> DataFrame:
     """Encode the texts that the cache lacks, store them, and return the vectors of the texts of ``df``.
 
-    Each distinct text is encoded once, however many rows share it. Only keys are compared; the texts of missing
-    keys alone are fetched, so a second run fetches none.
+    Only keys are compared; the texts of missing keys alone are read, so a second run reads none. The default encoder
+    works where the texts are read, once a task; a given one gets each distinct text once. Texts are encoded whole unless
+    ``max_tokens`` cuts them; use one cache for one such limit, as the key is that of the whole text.
     """
     cache.vector_cache_create(spark, cache_path)
     keys = stored(cache.distinct_keys(df, text), "keys")
-    missing = stored(cache.vector_cache_misses(keys, cache.vector_cache_scan(spark, cache_path)), "missing")
+    known = cache.vector_cache_scan(spark, cache_path)
+    first_run = known.isEmpty()
+    missing = keys if first_run else stored(cache.vector_cache_misses(keys, known), "missing")
     if not missing.isEmpty():
-        misses = cache.texts_of(df, text, missing)
-        fresh = hashed_word_vectors(misses) if encoder is None else encoded_vectors(misses, encoder)
+        if encoder is None:
+            fresh = _encoded_where_read(cache.keyed_texts(df, text), None if first_run else missing, max_tokens)
+        else:
+            fresh = encoded_vectors(cache.texts_of(df, text, missing), encoder, max_tokens=max_tokens, budget=budget)
         cache.vector_cache_append(fresh, cache_path)
     return cache.vector_cache_scan(spark, cache_path).join(keys, "text_md5", "left_semi")
 
 
+def _encoded_where_read(texts: DataFrame, missing: DataFrame | None, max_tokens: int | None) -> DataFrame:
+    """``(text_md5, embedding)``, each key once; of the tasks that encoded a text the first counts."""
+    wanted = texts if missing is None else texts.join(missing, "text_md5", "left_semi")
+    made = stored(hashed_word_vectors(wanted, max_tokens=max_tokens), "made")
+    first = made.groupBy("text_md5").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("parts"))
+    again = stored(first.where("parts > 1").select("text_md5", F.col("part").alias("first")), "again")
+    return made.join(again, "text_md5", "left").where("first is null or part = first").select("text_md5", "embedding")
+
+
 def projection_matrix(rows: int, columns: int, seed: int = 42) -> np.ndarray:
     """Random signs scaled by ``1 / sqrt(columns)``; the sign is a digest bit of (seed, row, column)."""
     signs = [

@@ -1,6 +1,7 @@
 """Fitted values: one aggregate over the input gives a small table that every encoder reads.
 
-``fit`` writes that table once, so the input is read once however many columns are fitted. Its rows are
+``fit`` reads the input once however many columns are fitted. Up to FEW rows the table is a local one and nothing is
+written; beyond, it is stored. Its rows are
 ``(column, category, slot, n, mean, deviation, filled_deviation)``: one row per category of a category column
 and one row per number column. A fit that was written to Parquet can be read back and applied the same way.
 
@@ -11,15 +12,19 @@ is an explicit request for as many numbers as there are categories.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wardline.functions.vectors import one_hot, standardize
 from wardline.operators.ordered import with_position
 from wardline.session import stored
 
+#: Fitted rows that are numbered on the driver; a fit with more categories is numbered and stored by Spark.
+FEW = 10_000
 UNKNOWN = "Unknown"  # fixed value: stands for a missing category
 
 
@@ -55,7 +60,11 @@ def fit(df: DataFrame, categories: Sequence[str] = (), numbers: Sequence[str] =
     seen = df.select(F.inline(F.array(*cells))).groupBy("column", "listed", "category").agg(
         F.count(F.lit(1)).alias("n"), F.count("x").alias("present"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation")
     )
-    seen = stored(seen.where(~F.col("listed") | F.col("category").isNotNull()), "fit")
+    seen = seen.where(~F.col("listed") | F.col("category").isNotNull())
+    few = seen.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        return df.sparkSession.createDataFrame(_numbered(few))
+    seen = stored(seen, "fit")
     numbered = with_position(seen.where("listed"), ["column"], [F.col("category")], "slot")
     whole = numbered.unionByName(seen.where("not listed").withColumn("slot", F.lit(None).cast("long")))
     filled = F.col("deviation") * F.sqrt(F.col("present") / F.col("n"))
@@ -64,6 +73,24 @@ def fit(df: DataFrame, categories: Sequence[str] = (), numbers: Sequence[str] =
     ), "fit")
 
 
+def _numbered(seen: list[Row]) -> pa.Table:
+    """The fitted table from its few rows."""
+    listed = sorted((r for r in seen if r["listed"]), key=lambda r: (r["column"], r["category"].encode("utf-8", "surrogatepass")))
+    rows, before = [], {}
+    for r in listed:
+        before[r["column"]] = before.get(r["column"], -1) + 1
+        rows.append((r["column"], r["category"], before[r["column"]], r["n"], r["mean"], r["deviation"], None))
+    for r in seen:
+        if not r["listed"]:
+            filled = None if r["deviation"] is None else r["deviation"] * math.sqrt(r["present"] / r["n"])
+            rows.append((r["column"], None, None, r["n"], r["mean"], r["deviation"], filled))
+    kinds = {
+        "column": pa.string(), "category": pa.string(), "slot": pa.int32(), "n": pa.int64(), "mean": pa.float64(),
+        "deviation": pa.float64(), "filled_deviation": pa.float64(),
+    }
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def fit_categories(fitted: DataFrame, column: str) -> DataFrame:
     """``(slot, category)`` of a fitted column, one row per category."""
     return fitted.where((F.col("column") == column) & F.col("category").isNotNull()).select("slot", "category")

@@ -81,8 +81,12 @@ def scan_parquet_shards(spark: SparkSession, path: str, schema: StructType | str
 
 
 def attention_sink(weights: DataFrame, path: str) -> None:
-    """Append attention weights in long form, one folder per epoch."""
-    weights.write.mode("append").partitionBy("epoch").parquet(path)
+    """Attention weights in long form, one folder per epoch, and per batch where there is that column.
+
+    What is written takes the place of the same epochs (and batches); the others stay. So an epoch may be run again.
+    """
+    parts = ["epoch", *(["batch"] if "batch" in weights.columns else [])]
+    weights.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def inspect_table(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:

@@ -60,16 +60,19 @@ def distinct_keys(df: DataFrame, text: str) -> DataFrame:
     return df.select(text_key(F.col(text)).alias("text_md5")).distinct()
 
 
+def keyed_texts(df: DataFrame, text: str) -> DataFrame:
+    """``(text_md5, text)`` of every row."""
+    return df.select(text_key(F.col(text)).alias("text_md5"), text_or_empty(F.col(text)).alias("text"))
+
+
 def texts_of(df: DataFrame, text: str, keys: DataFrame) -> DataFrame:
     """``(text_md5, text)`` for the asked keys, one row each."""
-    cleaned = df.select(text_key(F.col(text)).alias("text_md5"), text_or_empty(F.col(text)).alias("text"))
-    return one_row_per_key(cleaned.join(keys, "text_md5", "left_semi"), "text_md5")
+    return one_row_per_key(keyed_texts(df, text).join(keys, "text_md5", "left_semi"), "text_md5")
 
 
 def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     """One row per distinct cleaned text, with its cache key."""
-    cleaned = df.select(text_key(F.col(text)).alias("text_md5"), text_or_empty(F.col(text)).alias("text"))
-    return one_row_per_key(cleaned, "text_md5")
+    return one_row_per_key(keyed_texts(df, text), "text_md5")
 
 
 def vector_cache_misses(keys: DataFrame, cache: DataFrame) -> DataFrame:
