@@ -24,14 +24,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> DataFrame:
-    """(doc_id, text, label): labelled documents outside the held-out rows, about ``rows`` of them by a hash of doc_id."""
+    """(doc_id, text, label): labelled documents outside the held-out rows, about ``rows`` of them.
+
+    Ids are chosen by a hash of doc_id. An id with both labels teaches nothing; equal rows count once. Where chosen ids
+    have many texts, so that there are more than twice as many rows, texts are chosen by a hash as well.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
+    usable = usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").drop("high")
     total = usable.count()
     share = min(1.0, rows / max(total, 1))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    return documents_of(docs).join(chosen, "doc_id")
+    found = documents_of(docs).join(chosen, "doc_id")
+    if docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(chosen, "doc_id").count() <= min(total, 2 * rows):
+        return found.dropDuplicates(["doc_id", "text"])
+    found = found.withColumn("text_key", F.xxhash64("doc_id", "text"))
+    texts = found.select("doc_id", "text_key").distinct().count()
+    share = min(1.0, 2 * rows / max(texts, 1))
+    kept = found.where(F.pmod(F.xxhash64("text_key", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    return kept.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text", "label")
 
 
 def fit_once(
