@@ -6,16 +6,77 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wardline.llm.packing import PackingPlan, pack_documents
+from wardline.llm.packing import PackingPlan, _encoder, pack_documents
+from wardline.llm.pieces import NumberedParts
 from wardline.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_every_token_is_what_its_bytes_are_merged_into():
+    """Why both libraries come to the same ids; tokens that are no text of their own cannot be asked for."""
+    vocabulary = TOKENIZER.get_vocab()
+    texts = {number: TOKENIZER.decode([number], skip_special_tokens=False) for number in vocabulary.values()}
+    asked = {number: text for number, text in texts.items() if "\ufffd" not in text}
+    assert len(asked) > 49_000
+    found = TOKENIZER.encode_batch_fast(list(asked.values()), add_special_tokens=False)
+    assert [encoding.ids for encoding in found] == [[number] for number in asked]
+
+
+def test_parts_get_the_ids_of_the_library():
+    random.seed(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ0123456789.,;:!?'\"-_/()<>|\u00e9\u00fc\u00df\u00f7\u00d7\u00aa\u00b2\u0131\u6f22\U0001f600\t\n\u00a0\u2003 "
+    encoder = _encoder(PATH)
+    texts = ["".join(random.choice(letters) for _ in range(random.randrange(80))) for _ in range(4_000)]
+    texts += ["it's I'll 'd 's' don't", "x" * 3_000, " ", "  a", "a  ", "\n \n", "<|endoftext|", " <|endoftext|> a"]
+    for _ in range(2):  # the second time from the table
+        assert [ids.tolist() for ids in encoder.encode(texts)] == [ids_of(text)[:-1] for text in texts]
+
+
+def test_table_begun_anew(monkeypatch):
+    monkeypatch.setattr(NumberedParts, "MOST_KEPT", 3)
+    texts = ["a b c d e", "b c x y z", "a b c d e", "q"]
+    assert [ids.tolist() for text in texts for ids in _encoder(PATH).encode([text])] == [ids_of(text)[:-1] for text in texts]
+
+
+def fewest(lengths, capacity):
+    """Sequences of an exhaustive packing."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for gap in {*gaps} - {g for g in gaps if g < lengths[i]}:
+            rest = list(gaps)
+            rest[rest.index(gap)] -= lengths[i]
+            place(i + 1, rest)
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_against_exhaustive_packing():
+    random.seed(12)
+    total = least = 0
+    for _ in range(300):
+        lengths = sorted((random.randint(1, 30) for _ in range(random.randrange(1, 10))), reverse=True)
+        plan = PackingPlan({x: lengths.count(x) for x in lengths}, 30)
+        best = fewest(lengths, 30)
+        assert best <= plan.sequences <= best + 1
+        total, least = total + plan.sequences, least + best
+    assert total <= 1.03 * least
 
 
 def check_layout(places, capacity):

@@ -10,7 +10,9 @@ Null or empty text is a document of the closing id alone. Repeated rows are pack
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,50 +26,90 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardline.llm.common import documents_of, map_batches, stored
-from wardline.llm.pieces import PartEncoder
+from wardline.llm.pieces import NumberedParts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
+#: Fixed value: how byte-level pre-tokenisation splits a text.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Signs, digits and letters about whose class all versions of Unicode agree.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+
+
+def _plain_encoding(tokenizer):
+    """The same merges for plain parts by a faster library; None where the file describes anything else.
+
+    That library joins any neighbours that make a token together, not only the pair a merge names. Both come to the same
+    ids where every token is what its own bytes are merged into: up to the last merge inside a token no other two can
+    be its halves.
+    """
+    import tiktoken
+
+    described = json.loads(tokenizer.to_str())
+    model, split = described["model"], described["pre_tokenizer"] or {}
+    usual = described["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+    usual = usual and model["type"] == "BPE" and not any(model.get(key) for key in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    vocabulary = model["vocab"]
+    merged = [vocabulary.get("".join(pair if isinstance(pair, list) else pair.split(" "))) for pair in model["merges"]]
+    if not usual or None in merged or merged != sorted(merged):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(256) if byte not in set(shown)]
+    byte_of = {chr(byte): byte for byte in shown} | {chr(256 + i): byte for i, byte in enumerate(hidden)}
+    made = {"".join(pair if isinstance(pair, list) else pair.split(" ")) for pair in model["merges"]}
+    ranks = {bytes(map(byte_of.__getitem__, token)): number for token, number in vocabulary.items() if token in byte_of or token in made}
+    return tiktoken.Encoding("plain", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> PartEncoder:
+def _encoder(path: str) -> NumberedParts:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    plain = _plain_encoding(tokenizer)
     added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
 
     vocabulary = tokenizer.get_vocab()
     starts = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens whose first byte is a blank
     starts[[number for token, number in vocabulary.items() if token.startswith("\u0120")]] = True
 
-    def has_added(text: str) -> bool:
-        return any(token in text for token in added)
-
-    def encode_many(texts: list[str]) -> list[bytes]:
-        """Parts whose only blank is the one they start with go through the tokenizer together, and are told apart by it."""
-        found: list[bytes] = [b""] * len(texts)
-        joined = [i for i, text in enumerate(texts) if text[:1] == " " and " " not in text[1:] and not has_added(text)]
-        for begin in range(0, len(joined), 2_000):
-            some = joined[begin : begin + 2_000]
-            ids = tokenizer.encode_batch_fast(["".join([texts[i] for i in some])], add_special_tokens=False)[0].ids
-            ids = np.asarray(ids, "<u4")
-            at = (4 * np.flatnonzero(starts[ids])).tolist()
-            packed = ids.tobytes()
-            for i, start, end in zip(some, at, [*at[1:], len(packed)]):
-                found[i] = packed[start:end]
-        known = set(joined)
-        rest = [i for i in range(len(texts)) if i not in known]
-        for i, encoding in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            found[i] = np.asarray(encoding.ids, "<u4").tobytes()
-        return found
-
-    return PartEncoder(encode_many, has_added)
+    def by_library(text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts without a blank go through a tokenizer together, and are told apart by the blank each starts with.
+
+        No part holds an added token, as texts that do are not cut.
+        """
+        fits = _PLAIN.fullmatch
+        easy = [i for i, part in enumerate(parts) if fits(part)] if plain else []
+        hard = sorted({*range(len(parts))}.difference(easy))
+        with_blank = [i for i in hard if " " in parts[i]]
+        without = [i for i in hard if " " not in parts[i]]
+        made, size = [np.zeros(0, "<u4")], 0
+        begins, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        chunks = [(some[at : at + 2_000], encode) for some, encode in ((easy, plain and plain.encode_ordinary), (without, by_library))
+                  for at in range(0, len(some), 2_000)]
+        for some, encode in [*chunks, *(([i], by_library) for i in with_blank)]:
+            ids = np.asarray(encode(" " + " ".join([parts[i] for i in some])), "<u4")
+            at = np.flatnonzero(starts[ids]) if len(some) > 1 else np.zeros(1, np.int64)
+            begins[some] = at + size
+            sizes[some] = np.diff(at, append=len(ids))
+            made.append(ids)
+            size += len(ids)
+        return np.concatenate(made), begins, sizes
+
+    def encode_whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(encoding.ids, "<u4") for encoding in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return NumberedParts(encode_parts, encode_whole, lambda text: any(token in text for token in added))
 
 
 def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int, closing_id: int) -> DataFrame:
     """A row per piece, numbered among the pieces of its length that the same task made."""
-    closing = np.asarray([closing_id], "<u4").tobytes()
+    closing = np.asarray([closing_id], "<u4")
     layout = pa.schema([
         ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
         ("ids_crc32", pa.int64()), ("part", pa.int32()), ("number", pa.int64()),
@@ -79,13 +121,13 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, capacity: int, closing_i
         made: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows = []
-            for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                packed += closing
-                n = len(packed) // 4
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+                ids = np.concatenate([ids, closing])
+                n = len(ids)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for piece, (start, end) in enumerate(zip(cuts, cuts[1:])):
                     length = end - start
-                    rows.append((doc_id, piece, start, length, zlib.crc32(packed[4 * start : 4 * end]), part, made[length]))
+                    rows.append((doc_id, piece, start, length, zlib.crc32(ids[start:end]), part, made[length]))
                     made[length] += 1
             yield pa.record_batch([list(column) for column in zip(*rows)] or [[]] * 7, schema=layout)
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
+
+import numpy as np
 
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 _SAFE_CUT = re.compile(r" (?=\S)")
@@ -61,3 +64,70 @@ class PartEncoder:
                 yield head + b"".join([known[p] if p in known else extra[p] for p in tail])
             else:
                 yield head + b"".join(map(known.__getitem__, tail))
+
+
+class _Numbers(dict):
+    """Number of each part, given when it is first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        self.new.append(part)
+        return number
+
+
+class NumberedParts:
+    """Encodes whole texts into arrays of ids: each part has a number, and the ids of all numbers lie in one array.
+
+    ``encode_parts`` takes parts without the blank that each starts with and returns their ids in one array, and where
+    each part's begin and how many they are; ``encode_whole`` returns an array of ids a string. Texts for which ``whole`` holds are not cut. A table of more than MOST_KEPT parts or
+    MOST_LETTERS letters is begun anew, which changes no result.
+    """
+
+    MOST_KEPT, MOST_LETTERS = 800_000, 32_000_000
+
+    def __init__(
+        self, encode_parts: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], encode_whole: Callable[[list[str]], list[np.ndarray]],
+        whole: Callable[[str], bool],
+    ):
+        self.encode_parts, self.encode_whole, self.whole = encode_parts, encode_whole, whole
+        self._begin()
+
+    def _begin(self) -> None:
+        self.numbers, self.letters = _Numbers(), 0
+        self.ids, self.begins, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """One text after the other, in groups of about three million characters."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append([text] if self.whole(text) else cut(text))
+            size += len(text)
+            if size > 3_000_000:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
+        if len(self.numbers) > self.MOST_KEPT or self.letters > self.MOST_LETTERS:
+            self._begin()
+        parts = chain.from_iterable(islice(of_text, 1, None) for of_text in group)
+        many = np.asarray([len(of_text) - 1 for of_text in group], np.int64)
+        number = np.fromiter(map(self.numbers.__getitem__, parts), np.int64, int(many.sum()))
+        if self.numbers.new:
+            ids, begins, sizes = self.encode_parts(self.numbers.new)
+            self.letters += sum(map(len, self.numbers.new))
+            self.numbers.new = []
+            self.begins = np.concatenate([self.begins, begins + len(self.ids)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        sizes = self.sizes[number]
+        after = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.begins[number] - after[:-1], sizes) + np.arange(after[-1])]
+        of_text = after[np.concatenate([[0], np.cumsum(many)])]
+        for head, begin, end in zip(self.encode_whole([parts[0] for parts in group]), of_text[:-1].tolist(), of_text[1:].tolist()):
+            yield np.concatenate([head, ids[begin:end]])
