@@ -78,11 +78,12 @@ def test_mixed_groups(spark):
     assert found(table(spark, rows), 1, 3) == brute(rows, 1, 3)
 
 
-def test_spills_and_blocks(spark, monkeypatch):
-    """Stripes spilled many times over, sums of pairs over several blocks of sources."""
-    monkeypatch.setattr(divergence, "MOST_CELLS", 20)
-    monkeypatch.setattr(divergence, "MOST_BLOCKS", 2)
-    monkeypatch.setattr(divergence, "BLOCK", 2)
+@pytest.mark.parametrize("cells,documents,pairs", [(20, 1 << 22, 3), (1 << 20, 7, 1)])
+def test_spills(spark, monkeypatch, cells, documents, pairs):
+    """Stripes spilled many times over, sums over a few pairs of sources at a time."""
+    monkeypatch.setattr(divergence, "MOST_CELLS", cells)
+    monkeypatch.setattr(divergence, "MOST_DOCUMENTS", documents)
+    monkeypatch.setattr(divergence, "MOST_PAIRS", pairs)
     rows = mixed(150, 2)
     assert found(table(spark, rows), 3) == brute(rows, 3)
 

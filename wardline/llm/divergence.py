@@ -3,7 +3,7 @@
 A term is a run of letters (a-z after lower-casing A-Z) and non-ASCII characters. Each task folds its whole documents into
 stripes, one per language and term: of every source the documents that have the term and how often it occurs there. A full
 table of stripes is spilled; equal cells merge before and after the shuffle by key. A merged stripe then emits divergences:
-of each source against the language, and, folded once more in the mappers, of each pair of sources that share the term.
+of each source against the language, and, summed in the mappers, of each pair of sources that share the term.
 For a pair of which one source lacks the term the divergence depends on the other's count alone, so those are summed from
 the histogram of counts of each source, and no stripe is widened to all sources.
 
@@ -28,9 +28,9 @@ from pyspark.sql.window import Window
 from wardline.llm.common import map_batches, stored
 
 LEAST_DOCUMENTS, TOP = 10, 10
-#: A task spills its stripes at this many cells, and its sums of pairs at this many blocks of BLOCK * BLOCK sources.
-MOST_CELLS, MOST_BLOCKS, BLOCK = 300_000, 16, 256
-_ONE = 1 << 50  # a cell holds documents * _ONE + occurrences
+#: A task spills its stripes at this many cells or documents; so many pairs of sources are summed at a time.
+MOST_CELLS, MOST_DOCUMENTS, MOST_PAIRS = 1_000_000, 1 << 22, 1 << 20
+_ONE = 1 << 40  # a cell holds documents * _ONE + occurrences
 _TERMS = bytes(
     byte + 32 if 0x41 <= byte <= 0x5A else byte if 0x61 <= byte <= 0x7A or byte >= 0x80 else 0x20 for byte in range(256)
 )
@@ -48,25 +48,36 @@ def fold_stripes(docs: DataFrame) -> DataFrame:
         ("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("documents", pa.int64()), ("count", pa.int64()),
     ])
 
+    def rows(lang: str, terms: list[bytes], sizes: list[int], sources: list[str], cells: list[int]) -> pa.RecordBatch:
+        words = pa.array([term.decode("utf-8", "replace") for term in terms], pa.string())
+        packed = np.asarray(cells, np.int64)
+        return pa.record_batch([
+            pa.repeat(pa.scalar(lang, pa.string()), len(cells)), pa.array(sources, pa.string()),
+            words.take(pa.array(np.repeat(np.arange(len(terms)), sizes))), pa.array(packed // _ONE), pa.array(packed % _ONE),
+        ], schema=layout)
+
     def spill(stripes: dict[str, dict[bytes, dict[str, int]]]) -> Iterator[pa.RecordBatch]:
-        rows = []
         for lang, of_lang in stripes.items():
+            terms, sizes, sources, cells = [], [], [], []
             for term, stripe in of_lang.items():
-                word = term.decode("utf-8", "replace")
-                rows += [(lang, source, word, cell // _ONE, cell % _ONE) for source, cell in stripe.items()]
-                if len(rows) > 20_000:
-                    yield pa.record_batch([list(column) for column in zip(*rows)], schema=layout)
-                    rows = []
-        if rows:
-            yield pa.record_batch([list(column) for column in zip(*rows)], schema=layout)
+                terms.append(term)
+                sizes.append(len(stripe))
+                sources.extend(stripe)
+                cells.extend(stripe.values())
+                if len(cells) > 20_000:
+                    yield rows(lang, terms, sizes, sources, cells)
+                    terms, sizes, sources, cells = [], [], [], []
+            if cells:
+                yield rows(lang, terms, sizes, sources, cells)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stripes: dict[str, dict[bytes, dict[str, int]]] = {}
         groups: Counter = Counter()
-        cells = 0
+        held = documents = 0
         for batch in batches:
             for text, lang, source in zip(*(column.to_pylist() for column in batch.columns)):
                 groups[lang, source] += 1
+                documents += 1
                 counts = Counter(terms_of(text))
                 counts.pop(b"", None)
                 of_lang = stripes.setdefault(lang, {})
@@ -74,18 +85,18 @@ def fold_stripes(docs: DataFrame) -> DataFrame:
                     stripe = of_lang.get(term)
                     if stripe is None:
                         of_lang[term] = {source: _ONE + count}
-                        cells += 1
+                        held += 1
                     elif source in stripe:
                         stripe[source] += _ONE + count
                     else:
                         stripe[source] = _ONE + count
-                        cells += 1
-                if cells > MOST_CELLS:
+                        held += 1
+                if held >= MOST_CELLS or documents >= MOST_DOCUMENTS:
                     yield from spill(stripes)
-                    stripes, cells = {}, 0
+                    stripes, held, documents = {}, 0, 0
         yield from spill(stripes)
         if groups:
-            made = [(lang, source, None, documents, 0) for (lang, source), documents in groups.items()]
+            made = [(lang, source, None, n, 0) for (lang, source), n in groups.items()]
             yield pa.record_batch([list(column) for column in zip(*made)], schema=layout)
 
     return map_batches(docs.select(text, lang, source), fold, "lang string, source string, term string, documents long, count long")
@@ -107,45 +118,41 @@ def _between(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _shared(stripes: DataFrame) -> DataFrame:
     """(lang, a, b, value): over the terms that sources numbered a < b share, how far their divergence departs from what
-    the histograms of both account for."""
+    the histograms of both account for. Summed over some pairs at a time, however many sources a stripe has."""
     layout = pa.schema([("lang", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("value", pa.int64())])
 
-    def spill(sums: dict[tuple[str, int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for (lang, left, right), block in sums.items():
-            a, b = np.nonzero(block)
-            value = block[a, b]
-            a, b = a + left * BLOCK, b + right * BLOCK
-            upper = a < b
-            yield pa.record_batch([
-                pa.array([lang] * int(upper.sum()), pa.string()), pa.array(a[upper]), pa.array(b[upper]), pa.array(value[upper]),
-            ], schema=layout)
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, int], np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cells = batch.column(1)
-            fields = [cells.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            ends = np.cumsum(cells.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            for lang, begin, end in zip(batch.column(0).to_pylist(), [0, *ends], ends):
-                number, p, without = (field[begin:end] for field in fields)
-                order = np.argsort(number)
-                number, p, without = number[order], p[order], without[order]
-                cuts = np.flatnonzero(np.diff(number // BLOCK, prepend=-1, append=-1))
-                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                for i, (a, b) in enumerate(spans):
-                    for c, d in spans[i:]:
-                        key = lang, int(number[a] // BLOCK), int(number[c] // BLOCK)
-                        if key not in sums:
-                            if len(sums) >= MOST_BLOCKS:
-                                yield from spill(sums)
-                                sums = {}
-                            sums[key] = np.zeros((BLOCK, BLOCK), np.int64)
-                        one, one_without = p[a:b, None], without[a:b, None]
-                        two, two_without = p[None, c:d], without[None, c:d]
-                        sums[key][np.ix_(number[a:b] % BLOCK, number[c:d] % BLOCK)] += (
-                            _between(one, two) - _between(one, two_without) - _between(one_without, two) + _between(one_without, two_without)
-                        )
-        yield from spill(sums)
+            number, p, without = (cells.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            sizes = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            names = batch.column(0).dictionary_encode()
+            lang = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            # each cell meets the cells of its stripe
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            sizes = np.repeat(sizes, sizes)
+            named, short = np.unique(np.stack([lang, number]), axis=1, return_inverse=True)
+            at, ends = 0, np.cumsum(sizes)
+            while at < len(sizes):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + MOST_PAIRS, side="right")))
+                many = sizes[at:end]
+                one = np.repeat(np.arange(at, end), many)
+                two = np.arange(len(one)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at:end], many)
+                rising = number[one] < number[two]
+                one, two = one[rising], two[rising]
+                value = (
+                    _between(p[one], p[two]) - _between(p[one], without[two]) - _between(without[one], p[two]) + _between(without[one], without[two])
+                )
+                pairs, which = np.unique(short[one] * named.shape[1] + short[two], return_inverse=True)
+                low, high = value & 0xFFFFFF, value >> 24  # sums of doubles are exact in halves
+                total = np.bincount(which, low).astype(np.int64) + (np.bincount(which, high).astype(np.int64) << 24)
+                a, b = pairs // named.shape[1], pairs % named.shape[1]
+                yield pa.record_batch([
+                    names.dictionary.take(pa.array(named[0, a])), pa.array(named[1, a]), pa.array(named[1, b]), pa.array(total),
+                ], schema=layout)
+                at = end
 
     return map_batches(stripes, fold, "lang string, a long, b long, value long")
 
