@@ -293,11 +293,25 @@ def _with_components(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(groups, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
 
 
+def _families(members: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that buckets connect.
+
+    Each node meets the least node of all its buckets first; what is left to connect are buckets with nodes of several
+    of the groups that come of this, so a large family makes one edge a node and not one for each bucket.
+    """
+    first = members.groupBy("key").agg(F.min("node").alias("a"))
+    edges = members.join(first, "key").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).where("a <> b")
+    early = stored(_with_components(members, components(edges)).select("key", "node", "component"), "early")
+    mixed = early.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("high")).where("a < high").select("key", "a")
+    edges = early.join(stored(mixed, "mixed"), "key").where("component <> a").select("a", F.col("component").alias("b")).distinct()
+    later = components(edges).select(F.col("node").alias("component"), F.col("component").alias("found"))
+    named = early.select("node", "component").distinct().join(later, "component", "left")
+    return named.select("node", F.coalesce("found", "component").alias("component"))
+
+
 def _links(members: DataFrame, nodes: DataFrame, sets: DataFrame, parts: int, whole: int) -> DataFrame:
     """Links (a, b) that join all components of linked nodes; ``members`` are (key, node) of the buckets with several nodes."""
-    first = members.groupBy("key").agg(F.min("node").alias("a"))
-    edges = members.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    families = components(edges).withColumnRenamed("component", "unit").join(nodes.select("node", "n_shingles"), "node")
+    families = _families(members).withColumnRenamed("component", "unit").join(nodes.select("node", "n_shingles"), "node")
     families = stored(families.withColumn("component", F.col("node")), "families")
     sizes = families.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("tokens"))
     large = stored(sizes.where((F.col("tokens") > MOST_TOKENS) | (F.col("sets") * F.col("tokens") > MOST_WORK)).select("unit"), "large")
