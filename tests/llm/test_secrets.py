@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
+import time
 
 from wardline.llm.queries import QUERIES
+from wardline.llm import secret_scan
 from wardline.llm.secret_scan import mask_secrets, scan_secrets
 
 KINDS = [
@@ -49,6 +52,85 @@ def test_weak_parts_need_their_complement(frame):
     assert found[6] == "access:0:20,endpoint:21:34,secret:35:75"
 
 
+WEAK = [
+    ("id", re.compile(
+        r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""
+        r"""|(?i:access|client|account)[_-]?(?i:key[_-]?)?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,})"""
+    )),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")),
+    ("endpoint", re.compile(r"""(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]+)?[^ \t\n\x0b\f\r"'<>]*""")),
+]
+
+
+def linked(text):
+    """All spans, each weak one compared with every other span."""
+    base = [(m.start(), m.end(), name) for name, pattern, group, least in KINDS for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    weak = [(m.start(), m.end(), name) for name, pattern in WEAK for m in pattern.finditer(text)]
+    every = base + weak
+    order = {name: k for k, name in enumerate(secret_scan.KINDS)}
+
+    def near(one, kinds):
+        rank = lambda s: (s[0], order[s[2]], s[1])
+        return any(
+            other[2] in kinds and (one[0] - other[1] <= 256 if rank(other) < rank(one) else other[0] - one[1] <= 256)
+            for other in every if other is not one
+        )
+
+    kept = list(base)
+    for span in weak:
+        if any((b[0], order[b[2]]) < (span[0], order[span[2]]) and b[1] > span[0] for b in base):
+            continue
+        has_id, has_secret = near(span, ("access", "id")), near(span, ("assign", "hex", "secret"))
+        if {"id": has_secret, "secret": has_id, "endpoint": has_id and has_secret}[span[2]]:
+            kept.append(span)
+    return ",".join(f"{name}:{a}:{b}" for a, b, name in sorted(kept, key=lambda s: (s[0], order[s[2]], s[1])))
+
+
+def texts_with_parts(n, seed):
+    random.seed(seed)
+    parts = [
+        lambda: "ASIA" + "".join(random.choices("ABCDEF0123", k=random.randrange(10, 15))), lambda: SECRET[: random.randrange(38, 41)],
+        lambda: "https://h.example/" + "x" * random.randrange(20), lambda: "client-id: abc.def-1", lambda: "token=" + "k" * random.randrange(6, 10),
+        lambda: "AKIA" + "Z" * random.randrange(10, 14), lambda: "0123456789abcdef" * random.randrange(1, 4), lambda: "é " * random.randrange(150),
+        lambda: "https://u.example/?api_key=abcdefgh12", lambda: "words between",
+    ]
+    return ["".join(random.choice(parts)() + random.choice([" ", "\n", "", "  "]) for _ in range(random.randrange(90))) for _ in range(n)]
+
+
+def mask(text, spans):
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_linked_parts_against_all_pairs(frame):
+    texts = texts_with_parts(150, 6) + ["".join(texts_with_parts(12, 7))]
+    found = {r.doc_id: r.spans for r in scan_secrets(frame(list(enumerate(texts)))).collect()}
+    masked = {r.doc_id: r.text for r in mask_secrets(frame(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == linked(text), text
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+        assert masked[i] == mask(text, spans)
+
+
+def test_time_follows_the_number_of_matches(frame):
+    """Twice as many matches in one text take about twice as long, in scan and mask."""
+
+    def seconds(n):
+        text = "".join(f"é https://h{k}.example token=abcdefgh{k} ASIAABCDEFGHIJKL{k % 10}\n" for k in range(n // 3))
+        df = frame([(1, text)])
+        start = time.time()
+        scan_secrets(df).collect()
+        mask_secrets(df).collect()
+        return time.time() - start
+
+    seconds(3_000)
+    assert seconds(64_000) <= 2.5 * seconds(32_000)
+
+
 def test_masking_keeps_rows_and_columns(awkward, frame):
     plain = awkward.where("doc_id is null or doc_id <> 10")  # document 10 is one long hexadecimal run
     assert sorted(map(str, mask_secrets(plain).collect())) == sorted(map(str, plain.collect()))
