@@ -263,6 +263,58 @@ def integrated_gradients(t: Tables) -> DataFrame:
     return _round(scoring.integrated_gradients(t.embeddings, "vec_id", "embedding", weights(), BIAS), "value", places=6)
 
 
+_W2_SQL = "((i * 3 % 5) - 2) / 4::double"
+_STEPS = 8
+_UNITS_SQL = f"""SELECT vec_id, s1, s2, k, tanh((k + 0.5) / {_STEPS} * s1 + 0.1) AS h1, tanh((k + 0.5) / {_STEPS} * s2 - 0.2) AS h2 FROM
+  (SELECT vec_id, sum(v * {_W_SQL}) AS s1, sum(v * {_W2_SQL}) AS s2 FROM ({_LONG_SQL}) GROUP BY vec_id), range({_STEPS}) r(k)"""
+_FACTORS_SQL = f"""SELECT vec_id, avg(p * (1 - p) * 1.5 * (1 - h1 * h1)) AS f1, avg(p * (1 - p) * -0.75 * (1 - h2 * h2)) AS f2 FROM
+  (SELECT *, 1 / (1 + exp(-(1.5 * h1 - 0.75 * h2 + 0.05))) AS p FROM ({_UNITS_SQL})) GROUP BY vec_id"""
+
+
+@query("path_gradients", f"""SELECT vec_id, i AS dim, round(v * (f1 * {_W_SQL} + f2 * {_W2_SQL}), 6) AS value
+  FROM ({_LONG_SQL}) JOIN ({_FACTORS_SQL}) USING (vec_id)""")
+def path_gradients(t: Tables) -> DataFrame:
+    """Attributions of a scorer with two tanh units."""
+    hidden = [[((i * 5) % 7 - 3) / 4 for i in range(64)], [((i * 3) % 5 - 2) / 4 for i in range(64)]]
+    _, gradient = scoring.two_layer(hidden, [0.1, -0.2], [1.5, -0.75], 0.05)
+    return _round(scoring.path_gradients(t.embeddings, "vec_id", "embedding", gradient, _STEPS), "value", places=6)
+
+
+_EPOCHS, _RATE = 4, 2.0
+_HISTORY_ROWS_SQL = f"""SELECT split, quality, CASE WHEN lang = 'en' THEN 1.0::double ELSE 0.0::double END AS x0, ln(1 + n_chars::double) / 10 AS x1
+  FROM ({_SPLIT_SQL}) s JOIN documents USING (doc_id)"""
+
+
+def _history_sql() -> str:
+    """The same descent, an epoch after the other."""
+    steps = [f"WITH r AS ({_HISTORY_ROWS_SQL}), w0 AS (SELECT 0.0::double AS a, 0.0::double AS b, 0.0::double AS c)"]
+    for e in range(_EPOCHS + 1):
+        steps.append(f"p{e} AS (SELECT split, quality, x0, x1, 1 / (1 + exp(-(a * x0 + b * x1 + c))) AS p FROM r, w{e})")
+        steps.append(f"""l{e} AS (SELECT {e} AS epoch, avg(loss) FILTER (WHERE split = 'train') AS train, avg(loss) FILTER (WHERE split = 'validation') AS validation,
+          avg(loss) FILTER (WHERE split = 'test') AS test FROM (SELECT split, -(quality * ln(p) + (1 - quality) * ln(1 - p)) AS loss FROM p{e}))""")
+        steps.append(f"""w{e + 1} AS (SELECT any_value(a) - {_RATE}::double * avg((p - quality) * x0) AS a, any_value(b) - {_RATE}::double * avg((p - quality) * x1) AS b,
+          any_value(c) - {_RATE}::double * avg(p - quality) AS c FROM p{e}, w{e} WHERE split = 'train')""")
+    return ", ".join(steps) + ", h AS (" + " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(_EPOCHS + 1)) + ")"
+
+
+def _history(t: Tables) -> DataFrame:
+    english, length = F.when(F.col("lang") == "en", 1.0).otherwise(0.0), F.log(1 + F.col("n_chars").cast("double")) / 10
+    rows = split_labels(t).join(t.documents.select("doc_id", F.array(english, length).alias("x")), "doc_id")
+    return scoring.training_history(rows, "x", "quality", epochs=_EPOCHS, rate=_RATE)[0].withColumn("run", F.lit(1))
+
+
+@query("training_history", _history_sql() + """ SELECT epoch::int AS epoch, round(train, 6) AS train, round(validation, 6) AS validation, round(test, 6) AS test,
+  coalesce(validation < min(validation) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM h""")
+def training_history(t: Tables) -> DataFrame:
+    marked = scoring.running_best(_history(t), "run", "epoch", "validation").drop("run")
+    return _round(marked, "train", "validation", "test", places=6)
+
+
+@query("history_best_epoch", _history_sql() + " SELECT arg_min(epoch, (validation, epoch))::int AS best_epoch, round(min(validation), 6) AS best_loss FROM h")
+def history_best_epoch(t: Tables) -> DataFrame:
+    return _round(scoring.best_epoch(_history(t), "run", "epoch", "validation").drop("run"), "best_loss", places=6)
+
+
 _GROUPS = {"event_type": (0, 5), "event_text": (5, 63), "time": (63, 64)}
 
 

@@ -236,3 +236,29 @@ def test_sample_is_stable_across_layouts(spark):
     a = {r.id for r in split.sample_fraction(df, "id", 0.1).collect()}
     b = {r.id for r in split.sample_fraction(df.repartition(9), "id", 0.1).collect()}
     assert a == b and 140 < len(a) < 260
+
+
+def test_path_gradients_add_up_to_the_score(spark):
+    import random
+
+    rng = random.Random(3)
+    hidden = [[rng.uniform(-1, 1) for _ in range(5)] for _ in range(3)]
+    score, gradient = scoring.two_layer(hidden, [0.2, -0.4, 0.0], [1.0, -2.0, 0.5], -0.1)
+    df = spark.createDataFrame([(i, [rng.uniform(-2, 2) for _ in range(5)]) for i in range(20)] + [(99, None)], "i int, v array<double>")
+    found = scoring.path_gradients(df, "i", "v", gradient, steps=64).groupBy("i").agg(F.sum("value").alias("sum"))
+    zero = F.array(*[F.lit(0.0)] * 5)
+    wanted = {r.i: r.d for r in df.where("i < 99").select("i", (score(F.col("v")) - score(zero)).alias("d")).collect()}
+    got = {r.i: r["sum"] for r in found.collect()}
+    assert set(got) == set(wanted) and all(abs(got[i] - wanted[i]) < 1e-3 for i in wanted)
+
+
+def test_training_history_goes_down_and_misses_what_is_missing(spark):
+    rows = [(i, "train" if i % 4 else "test", [1.0 if i % 3 else -1.0, (i % 5) / 5], int(i % 3 > 0)) for i in range(200)]
+    df = spark.createDataFrame([*rows, (900, "train", None, 1), (901, "train", [0.0, 0.0], None)], "i int, split string, x array<double>, y int")
+    history, weights, bias = scoring.training_history(df, "x", "y", epochs=6, rate=1.0)
+    losses = history.orderBy("epoch").collect()
+    assert [r.epoch for r in losses] == list(range(7)) and all(r.validation is None for r in losses)
+    assert all(b.train < a.train and b.test < a.test for a, b in zip(losses, losses[1:]))
+    assert abs(losses[0].train - 0.6931471805599453) < 1e-12 and weights[0] > 0.5 and len(weights) == 2
+    empty, weights, bias = scoring.training_history(df.limit(0), "x", "y", epochs=1)
+    assert [tuple(r) for r in empty.orderBy("epoch").collect()] == [(0, None, None, None), (1, None, None, None)] and (weights, bias) == ([], 0.0)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,38 @@ def best_epoch(history: DataFrame, run: str, epoch: str, loss: str) -> DataFrame
     )
 
 
+def training_history(
+    df: DataFrame, features: str, label: str, split: str = "split", epochs: int = 10, rate: float = 1.0
+) -> tuple[DataFrame, list[float], float]:
+    """Train a linear scorer by gradient descent on the training rows.
+
+    Returns ``(epoch, train, validation, test)`` with the mean loss of each split after so many epochs (0: before the
+    first), and the weights and bias in the end. An epoch is one pass over the rows, whose losses and gradients are merged
+    in the tasks and then between them; one row per split reaches the driver. A split without rows has no loss. Without
+    training rows nothing is learnt.
+    """
+    spark = df.sparkSession
+    rows = df.select(
+        F.col(split).alias("split"), F.col(label).cast("double").alias("label"), F.col(features).cast("array<double>").alias("x")
+    ).where("label is not null and x is not null")
+    weights: list[float] | None = None
+    bias, history = 0.0, []
+    for epoch in range(epochs + 1):
+        logit = F.lit(bias) if weights is None else linear_score(F.col("x"), F.array(*map(F.lit, weights)), bias)
+        scored = rows.withColumn("p", sigmoid(logit)).withColumn("error", F.col("p") - F.col("label"))
+        pulls = array_to_vector(F.transform("x", lambda x: x * F.col("error")))
+        found = {r["split"]: r for r in scored.groupBy("split").agg(
+            F.avg(cross_entropy(F.col("p"), F.col("label"))).alias("loss"), F.avg("error").alias("mean_error"), Summarizer.mean(pulls).alias("pull")
+        ).collect()}
+        history.append((epoch, *(found[name]["loss"] if name in found else None for name in ("train", "validation", "test"))))
+        if "train" not in found or epoch == epochs:
+            continue
+        pull = found["train"]["pull"].toArray()
+        weights = [w - rate * float(g) for w, g in zip(weights or [0.0] * len(pull), pull)]
+        bias -= rate * found["train"]["mean_error"]
+    return spark.createDataFrame(history, "epoch int, train double, validation double, test double"), weights or [], bias
+
+
 def combine_features(pooled: Column, static: Column) -> Column:
     return F.concat(pooled, static)
 
@@ -73,6 +106,44 @@ def integrated_gradients(df: DataFrame, item: str, vector: str, weights: Column,
     return df.withColumn("_slope", slope).select(item, F.posexplode(values).alias("dim", "value"))
 
 
+def two_layer(
+    hidden: Sequence[Sequence[float]], hidden_bias: Sequence[float], outer: Sequence[float], bias: float
+) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Score and gradient, as column expressions of a vector, of the sigmoid of weighted tanh units."""
+    rows = [F.array(*[F.lit(float(w)) for w in row]) for row in hidden]
+
+    def units(vector: Column) -> list[Column]:
+        return [F.tanh(dot(vector, row) + F.lit(float(b))) for row, b in zip(rows, hidden_bias)]
+
+    def score(vector: Column) -> Column:
+        return sigmoid(sum((F.lit(float(v)) * h for v, h in zip(outer, units(vector))), F.lit(float(bias))))
+
+    def gradient(vector: Column) -> Column:
+        at = score(vector)
+        slopes = F.array(*[at * (1 - at) * F.lit(float(v)) * (1 - h * h) for v, h in zip(outer, units(vector))])
+        by_input = F.array(*[F.array(*[F.lit(float(row[i])) for row in hidden]) for i in range(len(hidden[0]))])
+        return F.get(F.transform(F.array(slopes), lambda s: F.transform(by_input, lambda w: dot(w, s))), 0)
+
+    return score, gradient
+
+
+def path_gradients(df: DataFrame, item: str, vector: str, gradient: Callable[[Column], Column], steps: int = 32) -> DataFrame:
+    """Attribution ``(item, dim, value)`` against a zero baseline for any scorer with a gradient.
+
+    The integral of the gradient along the straight path is taken at the middle of ``steps`` equal parts, row by row in
+    one pass. With more steps a row's values add up to the score minus the baseline score. A null vector has no rows.
+    """
+    x = F.col(vector).cast("array<double>")
+
+    def add(total: Column, k: Column) -> Column:
+        at = F.transform(x, lambda v: v * ((k + 0.5) / F.lit(float(steps))))
+        return F.zip_with(total, gradient(at), lambda a, b: a + b)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.transform(x, lambda v: F.lit(0.0)), add)
+    values = F.zip_with(x, total, lambda v, g: v * g / F.lit(float(steps)))
+    return df.select(item, F.posexplode(values).alias("dim", "value"))
+
+
 def feature_ablation(
     df: DataFrame, vector: str, scorer: Callable[[Column], Column], groups: Mapping[str, tuple[int, int]]
 ) -> DataFrame:
