@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 
 from wardline.llm.queries import QUERIES
-from wardline.llm.suffix_dedup import LEAST_WORDS, REACH, passages, repeated_passages, selected
+from wardline.llm.suffix_dedup import LEAST_WORDS, REACH, merged, repeated_passages, selected
 
 
 def repeated(rows):
@@ -58,9 +58,7 @@ def test_every_window_has_a_place():
 
 
 def test_passages_are_merged():
-    words = np.arange(200, dtype="<u4")
-    give = lambda a, b, of: {"words": words[a:b].tobytes(), "begin": a, "diagonal": 0, "of": of}
-    assert passages(words, [give(0, 60, 9), give(40, 130, 4), give(140, 180, 1), give(150, 200, None)]) == [(0, 130, 4), (150, 200, None)]
+    assert merged([(0, 60, 9), (40, 130, 4), (140, 180, 1), (150, 200, None)]) == [(0, 130, 4), (140, 200, None)]
 
 
 def brute_passages(rows):
@@ -132,3 +130,29 @@ def test_passages_are_whole_among_many_holders(frame):
     found = repeated_passages(frame(rows)).collect()
     assert spans_of(rows, found) == expected
     assert all(r.n_words == 400 for r in found if r.doc_id % 100 >= 50)
+
+
+def test_frequent_blocks_give_the_same(frame):
+    random.seed(14)
+    words = [f"w{i}" for i in range(3_000)]
+    some = lambda n: [random.choice(words) for _ in range(n)]
+    line, rows = some(40), []
+    for i in range(30):
+        lead, tail = some(6), some(6)
+        rows += [(10 * i + j, " ".join([*some(60), *lead, *line, *tail, *some(60)])) for j in range(2)]
+        rows += [(10 * i + 2, " ".join([*some(50), *line, *tail, *some(9)])), (10 * i + 3, " ".join([*some(9), *lead, *line, *some(50)]))]
+    expected = brute_passages(rows)
+    every = [repeated_passages(frame(rows), most).collect() for most in (20_000, 50, 1)]
+    for found in every:
+        assert spans_of(rows, found) == expected
+    assert sorted(every[0]) == sorted(every[1]) == sorted(every[2])
+
+
+def test_other_documents(frame):
+    text = " ".join(f"v{i}" for i in range(70))
+    rows = [(7, text), (3, text + " a"), (5, "b " + text), (None, "c " + text)]
+    for most in (20_000, 1):
+        got = {r.doc_id: r.other_doc_id for r in repeated_passages(frame(rows), most).collect()}
+        assert got == {7: 3, 5: 3, 3: 7, None: 3}
+        alone = {r.doc_id: r.other_doc_id for r in repeated_passages(frame([rows[0], rows[3]]), most).collect()}
+        assert alone == {7: None, None: 7}
