@@ -36,7 +36,8 @@ LEAST_WORDS, BLOCK = 50, 16
 REACH = LEAST_WORDS - BLOCK + 1
 #: Words kept of a suffix: LEAST_WORDS to the right of its anchor, REACH - 1 to the left.
 KEPT = LEAST_WORDS + REACH - 1
-#: Ids of documents with matches are sent to the texts up to this number (8 bytes each); more are joined by a shuffle.
+#: Ids of documents with matches are sent to the texts up to this number (about 40 bytes each as sent, 80 MB at
+#: most); more are joined by a shuffle.
 MOST_SENT = 2_000_000
 #: Suffixes with one block that are compared in one task (336 bytes each); tasks gather about as many before comparing.
 MOST_SUFFIXES = 20_000
