@@ -6,12 +6,11 @@ Every stage but the last returns the columns of ``documents``; a stage that drop
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm.common import documents_of, read_table, stored, without
-from wardline.llm.exact_dedup import exact_duplicates, normalised
-from wardline.llm.near_dedup import near_duplicates
+from wardline.llm.common import read_table, stored
+from wardline.llm.exact_dedup import distinct_documents
+from wardline.llm.near_dedup import unlike_documents
 from wardline.llm.packing import pack_documents
 from wardline.llm.quality import good_documents
 from wardline.llm.secret_scan import mask_secrets
@@ -22,34 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_documents(docs, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-def text_key(text: Column) -> Column:
-    """Tells the texts under one doc_id apart, as exact dedup does."""
-    return F.xxhash64(F.sha2(normalised(F.coalesce(text.cast("string"), F.lit(""))).cast("binary"), 256))
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id; other texts under a doc_id that goes stay."""
-    gone = exact_duplicates(docs).where(~F.col("kept")).select("doc_id", F.xxhash64("text_sha256").alias("text_key"))
-    return without(docs, gone, text_key(docs["text"]))
+    """Of equal texts one row, with the largest doc_id; other texts under a doc_id that goes stay."""
+    return distinct_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id.
-
-    Where a doc_id has several texts each is a document, and of those that are alike the one with the least key stays.
-    """
-    rows = documents_of(docs).where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("text_key"))
-    several = rows.groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high")
-    if several.isEmpty():
-        return without(docs, near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
-    order = ["doc_id", "text_key"]  # numbers rise with the doc_id, so the smallest one still stays
-    numbered = stored(
-        rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()), "numbered"
-    )
-    texts = documents_of(docs).withColumn("text_key", text_key(F.col("text")))
-    named = texts.join(numbered, order).select(F.col("number").alias("doc_id"), "text")
-    gone = near_duplicates(named).where(~F.col("kept")).select(F.col("doc_id").alias("number")).distinct()
-    return without(docs, numbered.join(gone, "number").select(*order), text_key(docs["text"]))
+    """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id."""
+    return unlike_documents(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,11 @@ def test_other_texts_under_an_id_that_goes_stay(spark, sf_dir, frame):
     rows = [(3, text), (5, text + " end"), (5, "other words under this id, not like any"), (7, text + " x"), (None, text)]
     found = corpus_pipeline.near_dedup(spark, frame(rows), sf_dir).collect()
     assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(i), t) for i, t in (rows[0], rows[2], rows[4]))
+
+
+def test_equal_rows_under_one_id_leave_one(spark, sf_dir, frame):
+    rows = [(5, "Some text"), (5, "some TEXT"), (5, "some text"), (4, "some text"), (6, "b"), (6, "b"), (6, "c"), (7, None), (7, ""), (None, "d"), (None, "d")]
+    found = corpus_pipeline.exact_dedup(spark, frame(rows), sf_dir).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in found) == [
+        ("5", "some text"), ("6", "b"), ("6", "c"), ("7", ""), ("None", "d"), ("None", "d")
+    ]

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents_of, stored
+from wardline.llm.common import documents_of, free_name, stored, without
 
 #: A chunk has at least 256 characters and ends at white space before a letter from a to m, after 2,048 at the latest.
 CHUNK = r"(?s).{256,2048}?[ \n](?=[a-m])|.{1,2048}"
@@ -71,3 +71,28 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(groups, same).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def text_key(text: Column) -> Column:
+    """Tells texts apart as exact dedup does."""
+    return F.xxhash64(F.sha2(normalised(F.coalesce(text.cast("string"), F.lit(""))).cast("binary"), 256))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, one with the largest doc_id; rows without doc_id stay.
+
+    Other texts under a doc_id that goes stay. Where several rows share that largest doc_id and its text any one of them
+    stays; only such rows are brought together, and a row for each is chosen before they are shuffled.
+    """
+    found = stored(exact_duplicates(docs).where("doc_id is not null").select("doc_id", "kept", F.xxhash64("text_sha256").alias("text_key")), "found")
+    left = without(docs, found.where(~F.col("kept")).select("doc_id", "text_key"), text_key(docs["text"]))
+    again = found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").select(
+        F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_text")
+    )
+    again = stored(again, "again")
+    if again.isEmpty():
+        return left
+    same = (left["doc_id"] == again["again_id"]) & (text_key(left["text"]) == again["again_text"])
+    key = free_name(left, "text_key")
+    once = left.join(again, same, "left_semi").withColumn(key, text_key(F.col("text"))).dropDuplicates(["doc_id", key]).drop(key)
+    return left.join(again, same, "left_anti").unionByName(once)

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import documents_of, map_batches, stored
+from wardline.llm.common import documents_of, map_batches, stored, without
+from wardline.llm.exact_dedup import text_key
 from wardline.llm.graph import components
 from wardline.llm.shingles import scramble, shingles, word_hashes
 
@@ -290,3 +291,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, parts: int = 80, whole: int
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def unlike_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each group of near copies; rows without doc_id stay.
+
+    Where a doc_id has several texts each is a document, and of those that are alike the one with the least key stays.
+    """
+    rows = documents_of(docs).where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("text_key"))
+    several = rows.groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high")
+    if several.isEmpty():
+        return without(docs, near_duplicates(docs).where(~F.col("kept")).select("doc_id"))
+    order = ["doc_id", "text_key"]  # numbers rise with the doc_id, so the smallest one still stays
+    numbered = stored(
+        rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id()), "numbered"
+    )
+    texts = documents_of(docs).withColumn("text_key", text_key(F.col("text")))
+    named = texts.join(numbered, order).select(F.col("number").alias("doc_id"), "text")
+    gone = near_duplicates(named).where(~F.col("kept")).select(F.col("doc_id").alias("number")).distinct()
+    return without(docs, numbered.join(gone, "number").select(*order), text_key(docs["text"]))
