@@ -6,6 +6,8 @@ the sequence, its number the batch or the item.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -297,10 +299,13 @@ def _history_sql() -> str:
     return ", ".join(steps) + ", h AS (" + " UNION ALL ".join(f"SELECT * FROM l{e}" for e in range(_EPOCHS + 1)) + ")"
 
 
-def _history(t: Tables) -> DataFrame:
+def _scored_rows(t: Tables) -> DataFrame:
     english, length = F.when(F.col("lang") == "en", 1.0).otherwise(0.0), F.log(1 + F.col("n_chars").cast("double")) / 10
-    rows = split_labels(t).join(t.documents.select("doc_id", F.array(english, length).alias("x")), "doc_id")
-    return scoring.training_history(rows, "x", "quality", epochs=_EPOCHS, rate=_RATE)[0].withColumn("run", F.lit(1))
+    return split_labels(t).join(t.documents.select("doc_id", F.array(english, length).alias("x")), "doc_id")
+
+
+def _history(t: Tables) -> DataFrame:
+    return scoring.training_history(_scored_rows(t), "x", "quality", epochs=_EPOCHS, rate=_RATE)[0].withColumn("run", F.lit(1))
 
 
 @query("training_history", _history_sql() + """ SELECT epoch::int AS epoch, round(train, 6) AS train, round(validation, 6) AS validation, round(test, 6) AS test,
@@ -349,6 +354,47 @@ def mortality_baseline(t: Tables) -> DataFrame:
     return gradients.select("slot", (F.round("gradient", 3) + 0.0).alias("gradient"), F.lit(None).cast("double").alias("rate")).unionByName(rate)
 
 
+_NEWTON_STEPS = 8
+
+
+def _newton_sql() -> str:
+    """The minimum of the same penalised loss by Newton steps, each solving three equations by determinants."""
+    steps = [f"""WITH r AS MATERIALIZED (SELECT * FROM ({_HISTORY_ROWS_SQL}) WHERE split = 'train'),
+      d AS MATERIALIZED (SELECT {REGULARIZATION}::double * var_samp(x0) AS d0, {REGULARIZATION}::double * var_samp(x1) AS d1 FROM r),
+      w0 AS MATERIALIZED (SELECT 0.0::double AS a, 0.0::double AS b, 0.0::double AS c)"""]
+    for e in range(_NEWTON_STEPS):
+        steps.append(f"""s{e} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+          avg((p - quality) * x0) + any_value(d0 * a) AS g0, avg((p - quality) * x1) + any_value(d1 * b) AS g1, avg(p - quality) AS g2,
+          avg(p * (1 - p) * x0 * x0) + any_value(d0) AS h00, avg(p * (1 - p) * x0 * x1) AS h01, avg(p * (1 - p) * x0) AS h02,
+          avg(p * (1 - p) * x1 * x1) + any_value(d1) AS h11, avg(p * (1 - p) * x1) AS h12, avg(p * (1 - p)) AS h22
+          FROM (SELECT *, 1 / (1 + exp(-(a * x0 + b * x1 + c))) AS p FROM r, w{e}, d))""")
+        steps.append(f"""w{e + 1} AS MATERIALIZED (SELECT
+          a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS a,
+          b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS b,
+          c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS c
+          FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM s{e}))""")
+    return ", ".join(steps)
+
+
+@query("baseline_coefficients", _newton_sql() + f""" SELECT i::int AS slot, round([a, b, c][i + 1], 3) AS coefficient
+  FROM w{_NEWTON_STEPS}, range(3) r2(i)""")
+def baseline_coefficients(t: Tables) -> DataFrame:
+    """The weights that Spark's solver finds, the intercept last, against those of another solver."""
+    train = _scored_rows(t).where("split = 'train'")
+    model = scoring.mortality_baseline(train, "x", "quality", max_iter=500, regularization=REGULARIZATION, tolerance=1e-12)
+    found = [*map(float, model.coefficients), float(model.intercept)]
+    return t.spark.createDataFrame(list(enumerate(found)), "slot int, c double").select("slot", (F.round("c", 3) + 0.0).alias("coefficient"))
+
+
+@query("two_layer_baseline", f"""SELECT count(*) AS n, true AS below_bound FROM ({_SPLIT_SQL}) JOIN documents USING (doc_id) WHERE split = 'test'""")
+def two_layer_baseline(t: Tables) -> DataFrame:
+    """Rows of the test split, and whether the mean loss there of a trained scorer with a hidden layer is below that of a coin."""
+    rows = stored(_scored_rows(t), "scored")
+    score, _ = scoring.two_layer(*scoring.two_layer_baseline(rows.where("split = 'train'"), "x", "quality", units=4, max_iter=100))
+    loss = scalars.cross_entropy(score(F.col("x")), F.col("quality"))
+    return rows.where("split = 'test'").agg(F.count(F.lit(1)).alias("n"), (F.avg(loss) < math.log(2)).alias("below_bound"))
+
+
 @query("attribution_histogram", f"""WITH w AS ({_LONG_SQL}), e AS (SELECT min(v) AS low, max(v) AS high FROM w)
   SELECT b.bin::int AS bin, count(v) AS n FROM range(50) b(bin) LEFT JOIN
   (SELECT v, least(floor((v - low) / ((high - low) / 50)), 49) AS bin FROM w, e) x ON x.bin = b.bin GROUP BY b.bin""")

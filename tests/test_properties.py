@@ -218,6 +218,26 @@ def test_baseline_beats_the_constant_predictor(spark, tables):
     assert set(losses) == {"train", "validation", "test"} and losses["train"] < constant
 
 
+def test_a_hidden_layer_learns_what_a_linear_scorer_cannot(spark):
+    rows = spark.range(400).selectExpr("id", "id % 2 AS a", "floor(id / 2) % 2 AS b", "id % 7 AS noise").selectExpr(
+        "id", "array(cast(a AS double) * 100, cast(b AS double), cast(noise AS double), 5.0D) AS x", "cast(a <> b AS int) AS y"
+    )
+    awkward = rows.unionByName(spark.sql("SELECT 1000L AS id, cast(NULL AS array<double>) AS x, 1 AS y UNION ALL SELECT 1001L, array(0D, 0D, 0D, 5D), NULL"))
+    fitted = scoring.two_layer_baseline(awkward, "x", "y", units=6, max_iter=300, seed=3)
+    score, gradient = scoring.two_layer(*fitted)
+    loss = lambda p: F.avg(scalars.cross_entropy(p, F.col("y")))
+    assert rows.agg(loss(score(F.col("x")))).first()[0] < 0.1
+    model = scoring.mortality_baseline(rows, "x", "y")
+    assert scoring.score_baseline(model, rows, "x").agg(loss(F.col("probability"))).first()[0] > 0.68
+    # along the path the attributions add up to the change of the score, also for the trained scorer
+    few = rows.where("id < 8")
+    sums = {r.id: r.total for r in scoring.path_gradients(few, "id", "x", gradient, 4000).groupBy("id").agg(F.sum("value").alias("total")).collect()}
+    zero = F.array(*[F.lit(0.0)] * 4)
+    for r in few.select("id", (score(F.col("x")) - score(zero)).alias("change")).collect():
+        assert sums[r.id] == pytest.approx(r.change, abs=1e-3)
+    assert all(row[3] == 0 for row in fitted[0])  # an input that does not vary
+
+
 def test_best_epoch_ignores_missing_losses(spark):
     history = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, None), (1, 3, 0.5), (1, 4, 0.4)], "run int, epoch int, loss double")
     assert tuple(scoring.best_epoch(history, "run", "epoch", "loss").first()) == (1, 4, 0.4)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -160,16 +161,47 @@ def feature_ablation(
 
 
 def mortality_baseline(
-    train: DataFrame, features: str, label: str, max_iter: int = 50, regularization: float = 0.01
+    train: DataFrame, features: str, label: str, max_iter: int = 50, regularization: float = 0.01, tolerance: float = 1e-6
 ) -> LogisticRegressionModel:
     """Logistic regression on an array column, trained by Spark."""
     packed = train.select(array_to_vector(F.col(features)).alias("_features"), F.col(label).cast("double").alias("_label"))
     model = LogisticRegression(
-        featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=regularization, standardization=True
+        featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=regularization, tol=tolerance,
+        standardization=True,
     )
     return model.fit(packed)
 
 
+def two_layer_baseline(
+    train: DataFrame, features: str, label: str, units: int = 8, max_iter: int = 200, seed: int = 0
+) -> tuple[list[list[float]], list[float], list[float], float]:
+    """A scorer with one hidden layer on an array column, trained by Spark: the arguments of ``two_layer``.
+
+    Inputs are scaled to mean zero and deviation one for the training; the scaling is part of the weights returned. An
+    input that does not vary has no weight. Rows without label or features are left out.
+    """
+    complete = train.where(F.col(features).isNotNull() & F.col(label).isNotNull())
+    packed = complete.select(array_to_vector(F.col(features)).alias("_x"), F.col(label).cast("double").alias("_label"))
+    moments = packed.agg(Summarizer.mean(F.col("_x")).alias("mean"), Summarizer.std(F.col("_x")).alias("deviation")).first()
+    mean, deviation = moments["mean"].toArray(), moments["deviation"].toArray()
+    scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0.0)
+    centre, factor = (F.array(*[F.lit(float(v)) for v in values]) for values in (mean, scale))
+    centred = F.zip_with(vector_to_array("_x"), centre, lambda x, m: x - m)
+    scaled = packed.select(array_to_vector(F.zip_with(centred, factor, lambda x, f: x * f)).alias("_x"), "_label")
+    model = MultilayerPerceptronClassifier(
+        featuresCol="_x", labelCol="_label", layers=[len(mean), units, 2], maxIter=max_iter, seed=seed
+    ).fit(scaled)
+    # per layer the weights, input by input, and the biases; hidden units are logistic, sigmoid(z) = (1 + tanh(z / 2)) / 2
+    flat, inner = model.weights.toArray(), len(mean) * units
+    hidden, hidden_bias = flat[:inner].reshape(len(mean), units).T * scale, flat[inner : inner + units]
+    outer, outer_bias = flat[inner + units : inner + 3 * units].reshape(units, 2), flat[inner + 3 * units :]
+    pull = (outer[:, 1] - outer[:, 0]) / 2
+    return (
+        (hidden / 2).tolist(), ((hidden_bias - hidden @ mean) / 2).tolist(), pull.tolist(),
+        float(outer_bias[1] - outer_bias[0] + pull.sum()),
+    )
+
+
 def score_baseline(model: LogisticRegressionModel, df: DataFrame, features: str, name: str = "probability") -> DataFrame:
     packed = df.withColumn("_features", array_to_vector(F.col(features)))
     scored = model.transform(packed).withColumn(name, vector_to_array("probability")[1])
