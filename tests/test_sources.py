@@ -90,6 +90,82 @@ def test_a_key_stored_twice_does_not_multiply_rows(spark, tmp_path):
     assert len(found) == 2 and {r.t: r.embedding is None for r in found} == {"x": False, "y": True}
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bucketed_cache_is_not_shuffled(spark, tables, tmp_path, no_broadcast):
+    path = str(tmp_path / "it's a cache")
+    texts = tables.documents.select("doc_id", "text")
+    vectors = texts.where("doc_id % 3 > 0").select(F.md5("text").alias("text_md5"), F.array(F.col("doc_id").cast("float")).alias("embedding"))
+    assert vector_cache.vector_cache_create(spark, path, 5) == 5
+    vector_cache.vector_cache_append(vectors, path)
+    cache = vector_cache.vector_cache_scan(spark, path)
+    keys = vector_cache.distinct_keys(texts, "text")
+    misses = vector_cache.vector_cache_misses(keys, cache, 5)
+    looked = vector_cache.vector_cache_lookup(texts, "text", cache, 5)
+    semi = cache.join(keys.repartition(5, "text_md5"), "text_md5", "left_semi")
+    for df, moves in ((misses, 2), (looked, 1), (semi, 2)):  # distinct keys move once for themselves
+        assert "Bucketed: true" in _plan(df) and _plan(df).count("Exchange") == moves
+    plain = vector_cache.vector_cache_lookup(texts, "text", vectors.dropDuplicates(["text_md5"]))
+    assert sorted(r.doc_id for r in looked.where("embedding is null").collect()) == sorted(r.doc_id for r in plain.where("embedding is null").collect())
+    assert looked.count() == texts.count()
+    known = {r.text_md5 for r in cache.collect()}
+    assert {r.text_md5 for r in misses.collect()} == {r.text_md5 for r in keys.collect()} - known
+
+
+def test_appending_known_keys_writes_no_file(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    vectors = spark.range(100).select(F.md5(F.col("id").cast("string")).alias("text_md5"), F.array(F.col("id").cast("float")).alias("embedding"))
+    vector_cache.vector_cache_append(vectors, path)
+    files = sorted(os.listdir(path))
+    vector_cache.vector_cache_append(vectors, path)
+    assert sorted(os.listdir(path)) == files
+    more = spark.range(90, 110).select(F.md5(F.col("id").cast("string")).alias("text_md5"), F.array(F.lit(-1.0)).alias("embedding"))
+    vector_cache.vector_cache_append(more.unionAll(more), path)
+    found = [list(r.embedding)[0] for r in vector_cache.vector_cache_scan(spark, path).collect()]
+    assert sorted(found) == [-1.0] * 10 + [float(i) for i in range(100)]
+
+
+def test_another_application_reads_the_buckets(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "text_md5 string, embedding array<float>")
+    vector_cache.vector_cache_append(vectors, path)
+    other = spark.newSession()
+    vector_cache.vector_cache_append(other.createDataFrame([("c", [3.0])], vectors.schema), path)
+    assert sorted(r.text_md5 for r in vector_cache.vector_cache_scan(spark, path).collect()) == ["a", "b", "c"]
+
+
+def test_frequent_texts_stay_in_place(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = spark.range(400).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("t"))
+    rows = rows.unionAll(spark.createDataFrame([(400, None)], "id long, t string"))
+    vectors = spark.createDataFrame([("hot",), ("399",), ("",)], "t string").select(F.md5("t").alias("text_md5"), F.array(F.lit(1.0)).alias("embedding"))
+    vector_cache.vector_cache_append(vectors, path)
+    cache, buckets = vector_cache.vector_cache_scan(spark, path), vector_cache.vector_cache_buckets(spark, path)
+    found = vector_cache.vector_cache_lookup(rows, "t", cache, buckets)
+    assert "BroadcastHashJoin" in _plan(found)
+    got = {r.id: r.embedding for r in found.collect()}
+    assert len(got) == 401 and [i for i in got if got[i] is not None] and sorted(i for i in got if got[i]) == [*range(300), 399, 400]
+
+
+def test_plain_folder_of_vectors_stays_plain(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "text_md5 string, embedding array<float>")
+    vectors.where("text_md5 = 'a'").write.parquet(path)
+    vector_cache.vector_cache_append(vectors, path)
+    assert vector_cache.vector_cache_create(spark, path) is None
+    assert sorted(r.text_md5 for r in vector_cache.vector_cache_scan(spark, path).collect()) == ["a", "b"]
+
+
 def test_second_run_encodes_nothing(spark, tmp_path):
     path = str(tmp_path / "cache")
     calls = spark.sparkContext.accumulator(0)

@@ -120,18 +120,19 @@ def embed_text(
     works where the texts are read, once a task; a given one gets each distinct text once. Texts are encoded whole unless
     ``max_tokens`` cuts them; use one cache for one such limit, as the key is that of the whole text.
     """
-    cache.vector_cache_create(spark, cache_path)
+    buckets = cache.vector_cache_create(spark, cache_path)
     keys = stored(cache.distinct_keys(df, text), "keys")
     known = cache.vector_cache_scan(spark, cache_path)
     first_run = known.isEmpty()
-    missing = keys if first_run else stored(cache.vector_cache_misses(keys, known), "missing")
+    missing = keys if first_run else stored(cache.vector_cache_misses(keys, known, buckets), "missing")
     if not missing.isEmpty():
         if encoder is None:
             fresh = _encoded_where_read(cache.keyed_texts(df, text), None if first_run else missing, max_tokens)
         else:
             fresh = encoded_vectors(cache.texts_of(df, text, missing), encoder, max_tokens=max_tokens, budget=budget)
         cache.vector_cache_append(fresh, cache_path)
-    return cache.vector_cache_scan(spark, cache_path).join(keys, "text_md5", "left_semi")
+    asked = keys if buckets is None else keys.repartition(buckets, "text_md5")
+    return cache.vector_cache_scan(spark, cache_path).join(asked, "text_md5", "left_semi")
 
 
 def _encoded_where_read(texts: DataFrame, missing: DataFrame | None, max_tokens: int | None) -> DataFrame:

@@ -27,7 +27,7 @@ from wardline.operators.sequences import (
 from wardline.operators.split import SEED, TEST_SHARE, VALIDATION_SHARE, stratified_split
 from wardline.session import stored
 from wardline.sources.schemas import STATIC_CATEGORIES, STATIC_NUMBER
-from wardline.sources.vector_cache import vector_cache_lookup
+from wardline.sources.vector_cache import vector_cache_buckets, vector_cache_lookup
 
 LABEL = "patient_expired_in_hospital"
 TIES = ("event_type", "event_text", "icu_stay_id")
@@ -107,7 +107,7 @@ def prepare_training_set(
     steps = flat if max_events is None else head_k_per_entity(flat, entity, order, max_events)
     steps = steps.select(entity, "icu_stay_id", "event_type", "event_text", RELATIVE_TIME)
     vectors = embed_text(flat.sparkSession, steps, "event_text", cache_path, encoder)
-    keyed = vector_cache_lookup(steps, "event_text", vectors)
+    keyed = vector_cache_lookup(steps, "event_text", vectors, vector_cache_buckets(flat.sparkSession, cache_path))
     encoded = keyed.withColumn("vector", step_vector(fitted, F.col("embedding"))).drop("embedding")
     sequences = sequence_per_entity(encoded, entity, ["vector"], RELATIVE_TIME, TIES, part_rows)
     return TrainingSet(
