@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,24 @@ def test_long_and_short_pieces_merge_alike(codec):
     assert codec._merge_short(pieces, 128) == [codec._merge_long(piece) for piece in pieces]
 
 
+@pytest.mark.parametrize("n", [129, 255, 256, 257, 1_000, 131_073])
+def test_long_pieces_of_any_length(codec, library, n):
+    random.seed(n)
+    text = "".join(random.choice("abcdeinst") for _ in range(n))
+    assert ids(codec._merge_long(text.encode())) == library.encode_ordinary(text)
+
+
+def test_memory_of_a_long_piece_is_a_few_bytes_a_byte(codec):
+    random.seed(3)
+    piece = bytes(random.choices(b"abcdeinst", k=40_000))
+    tracemalloc.start()
+    packed = codec._merge_long(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert codec.decode(packed) == piece
+    assert peak < 50 * len(piece)
+
+
 def test_awkward_documents(awkward, awkward_rows, library):
     found = sorted(map(tuple, encode_documents(awkward, PATH, public_tokenizers.PATTERN).collect()), key=str)
     expected = []

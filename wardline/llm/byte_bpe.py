@@ -24,6 +24,8 @@ from wardline.llm.pieces import PartEncoder
 
 #: Pieces up to this many bytes run side by side; this many leaves at a time.
 _SHORT, _LEAVES = 128, 1 << 17
+#: Pairs of a long piece that are looked up at a time at the start.
+_LOOKUP = 1 << 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,26 +142,33 @@ class ByteBpe:
         return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def _merge_long(self, piece: bytes) -> bytes:
-        """The same for one long piece."""
+        """The same for one long piece, in flat arrays of about 30 bytes a byte.
+
+        The tree has a leaf a position and as many inner nodes; node 1 is above all leaves, whatever their number.
+        """
         n = len(piece)
-        leaves = 1 << (n - 1).bit_length()
-        pairs, base, none = self.pairs, self.base, self.none * leaves
-        ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        live = bytearray(b"\1") * n
+        pairs, base, none = self.pairs, self.base, self.none * n
+        firsts = self.bytes_to_id[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        nodes = np.full(2 * n, none, np.int64)
+        for start in range(0, n - 1, _LOOKUP):
+            end = min(start + _LOOKUP, n - 1)
+            rank = self._pair_rank(firsts[start:end].astype(np.int64), firsts[start + 1 : end + 1].astype(np.int64))
+            nodes[n + start : n + end] = np.where(rank == self.none, none, rank * n + np.arange(start, end))
+        done = n  # nodes from here on are right
+        while done > 1:
+            first = (done + 1) // 2
+            nodes[first:done] = np.minimum(nodes[2 * first : 2 * done : 2], nodes[2 * first + 1 : 2 * done : 2])
+            done = first
+        follow, lead = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        there = np.ones(n, np.uint8)
+        tree, ids, after, before, live = map(memoryview, (nodes, firsts, follow, lead, there))
 
         def node_of(left: int, right: int) -> int:
             rank = pairs.get(ids[left] * base + ids[right]) if right < n else None
-            return none if rank is None else rank * leaves + left
-
-        tree = [none] * (2 * leaves)
-        for i in range(n - 1):
-            tree[leaves + i] = node_of(i, i + 1)
-        for i in range(leaves - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+            return none if rank is None else rank * n + left
 
         def put(place: int, value: int) -> None:
-            node = leaves + place
+            node = n + place
             tree[node] = value
             node >>= 1
             while node:
@@ -170,7 +179,7 @@ class ByteBpe:
                 node >>= 1
 
         while tree[1] < none:
-            merged, at = divmod(tree[1], leaves)
+            merged, at = divmod(tree[1], n)
             gone = after[at]
             ids[at], live[gone], after[at] = merged, 0, after[gone]
             if after[gone] < n:
@@ -179,7 +188,7 @@ class ByteBpe:
             put(at, node_of(at, after[at]))
             if before[at] >= 0:
                 put(before[at], node_of(before[at], at))
-        return np.asarray([i for i, there in zip(ids, live) if there], "<u4").tobytes()
+        return firsts[there.astype(bool)].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
