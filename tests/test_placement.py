@@ -5,7 +5,7 @@ import pytest
 from suite.all_queries import QUERIES
 from suite.clinical_view import clinical_tables
 from tests.clinical import clinical
-from wardline.operators import cohort, events
+from wardline.operators import cohort, events, rollups
 from wardline.plans import exports
 from wardline.sources.schemas import schema_of
 
@@ -48,6 +48,11 @@ def test_common_lines_are_joined_once(tables, large):
         assert data[name].count() == plain[name].count() and data[name].exceptAll(plain[name]).isEmpty()
 
 
+def test_wide_texts_are_not_shuffled(tables, large):
+    text = plan(exports.wide_export(clinical_tables(tables)))
+    assert "hashpartitioning(stay_id" not in text and "hashpartitioning(icu_stay_id" not in text
+
+
 def test_items_of_a_stay_are_shuffled_once(spark, sf_dir, large):
     # lines, orders of the lines, stays to be joined and stays to be kept
     assert plan(QUERIES["rollup_procedure_events"](spark, sf_dir)).count("Exchange hashpartitioning") <= 4
@@ -71,3 +76,24 @@ def test_patients_who_share_a_stay_number(spark):
     assert sorted(map(str, flat.collect())) == sorted(str(r) for r in exports.timeline(shared).collect())
     export = exports.structured_export(shared).where("icu_stay_id = 1").collect()
     assert len(export) == 2 and export[0].events == export[1].events
+    wide = {(r.patient_id, r.icu_stay_id): r for r in exports.wide_export(shared).collect()}
+    assert wide[10, 1].labevents == wide[12, 1].labevents and wide[None, 7].diagnosis == wide[10, 2].diagnosis is not None
+
+
+def test_rollups_by_patient_are_those_by_stay(spark):
+    data = clinical(spark)
+    stays = data["icustays"]
+    again = with_stays(spark, data, dict(subject_id=10, hadm_id=101, stay_id=1))  # a stay of two admissions
+    for tables in (data, again):
+        found = rollups.all_rollups(tables)
+        assert all("subject_id" in r.texts.columns for r in found)
+        stays = tables["icustays"]
+        for name, r in zip(["medications", "diagnoses", "procedures", "procedure_events", "microbiology", "labs", "ingredients"], found, strict=True):
+            if name == "diagnoses":
+                plain = rollups.rollup_diagnoses(stays, tables["diagnoses_icd"], tables["d_icd_diagnoses"])
+            elif name == "procedures":
+                plain = rollups.rollup_procedures(stays, tables["procedures_icd"], tables["d_icd_procedures"])
+            else:
+                rollup = rollups.ROLLUPS[name]
+                plain = rollups.field_rollup(rollup, tables[rollup.table], stays)
+            assert sorted(map(str, r.texts.drop("subject_id").collect())) == sorted(map(str, plain.texts.collect())), name
